@@ -74,7 +74,8 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """(row, text, n_lines, n_dropped): each document's columns as struct `row` and its text without dropped lines."""
     hashed = F.transform(lines_of(F.col(text)), lambda line: _hash_of(key_of(line), min_chars))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(hashed).alias("at", "k"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), hashed.alias("ks"))
+    rows = rows.select("uid", "doc", "text_hash", F.posexplode("ks").alias("at", "k"))
     keys = stored(rows.filter("k is not null").select("uid", "doc", "text_hash", "at", "k.h1", "k.h2"), "line-keys")
 
     runs = LineRuns(docs.sparkSession, fanout=fanout)
