@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from tamis.llm.decontaminate import OP1_SQL, op1_decontaminate
+from tamis.llm.jaccard import OP3_SQL, op3_ngram_jaccard
 from tamis.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tamis.llm.packing import op9_packing
 from tamis.llm.quality import op2_quality
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op9_packing, op10_line_dedup)}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_ngram_jaccard, op9_packing, op10_line_dedup)}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op10_line_dedup": OP10_SQL}
