@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from tamis.llm.chat import OP7_SQL, op7_chat_rotation
 from tamis.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tamis.llm.jaccard import OP3_SQL, op3_ngram_jaccard
 from tamis.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tamis.llm.packing import op9_packing
 from tamis.llm.quality import op2_quality
+from tamis.llm.token_counts import op5_token_counts
+from tamis.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_ngram_jaccard, op9_packing, op10_line_dedup)}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_ngram_jaccard, op5_token_counts, op6_toxicity, op7_chat_rotation, op9_packing, op10_line_dedup)}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op7_chat_rotation": OP7_SQL, "op10_line_dedup": OP10_SQL}
