@@ -71,8 +71,9 @@ class LineRuns:
         return self._read([p for level in self.levels for p in level]).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
-def dedup_lines(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """(row, text, n_lines, n_dropped): each document's columns as struct `row` and its text without dropped lines."""
+def dedup_lines(docs: DataFrame, *, carry: list[str] | None = None, doc: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """(row, text, n_lines, n_dropped): each document's `carry` columns (by default all but the text) as struct `row`, and
+    its text without dropped lines."""
     hashed = F.transform(lines_of(F.col(text)), lambda line: _hash_of(key_of(line), min_chars))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), hashed.alias("ks"))
     rows = rows.select("uid", "doc", "text_hash", F.posexplode("ks").alias("at", "k"))
@@ -86,7 +87,8 @@ def dedup_lines(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", min
 
     dropped = keys.join(frequent, ["h1", "h2"]).filter(F.col("doc") < F.col("last_doc"))
     dropped = dropped.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("at")).alias("drop"))
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.col(doc).cast("long").alias("_d"), F.xxhash64(text).alias("_h"))
+    carry = carry or [c for c in docs.columns if c != text] or [doc]
+    held = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text"), F.col(doc).cast("long").alias("_d"), F.xxhash64(text).alias("_h"))
     met = held.join(dropped.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left")
     lines = lines_of(F.col("text"))
     # The runs of lines between two dropped ones, by the sorted positions: linear in the number of lines.
@@ -108,7 +110,7 @@ def _hash_of(key: Column, min_chars: int) -> Column:
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), carry=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -1,6 +1,7 @@
 """Operator 6, toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A logistic model over a sentence's words gives each sentence a score, a document's
+A document is a bag of sentences. A logistic model over a sentence's words and
+their beginnings gives each sentence a score, a document's
 score is their noisy-or (one minus the product of one minus each), and the likelihood of the documents' labels under
 that score trains the sentence model, so sentences need no labels. Afterwards the sentences above one half are the
 offending ones. Training takes a sample of at most `max_training_documents` labelled documents, the first by a hash of
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.quality import plain_words
+from tamis.llm.tokens import ChunkCache
 
 MAX_TRAINING_DOCUMENTS = 12_000
-MIN_DOCUMENTS, ROUNDS, RATE, L2 = 6, 300, 0.08, 2e-5
-#: Weights smaller than this change no score by as much as its first digit.
-LEAST_WEIGHT = 0.02
+#: A feature counts if it is in so many training documents, and in toxic ones more often than by chance by so many deviations.
+MIN_DOCUMENTS, MIN_DEVIATIONS, MAX_FEATURES = 6, 4.0, 5_000
+ROUNDS, RATE, L2 = 300, 0.08, 1e-4
+#: Lengths of the beginnings of words that are features besides whole words: inflected and compound forms share them.
+STEMS = (5, 6, 7, 8)
 _ENDS = re.compile(rb"[.!?\n]+")
 
 
@@ -47,6 +51,10 @@ def held_out(doc) -> F.Column:
     return F.crc32(F.col(doc).cast("string").cast("binary")) % 5 == 0
 
 
+def features(word: bytes) -> list[bytes]:
+    return [word + b"$", *(word[:n] for n in STEMS if len(word) >= n)]
+
+
 class SentenceModel:
     """bias and a weight for each word; `fit` maximises the documents' noisy-or likelihood by full-batch Adam."""
 
@@ -58,12 +66,20 @@ class SentenceModel:
         if not texts:
             return cls()
         bags = [[plain_words(t[a:b]) for a, b in sentences(t)] for t in texts]
-        seen = Counter(w for bag in bags for w in {w for s in bag for w in s})
-        index = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= MIN_DOCUMENTS))}
+        seen, toxic = Counter(), Counter()
+        for bag, label in zip(bags, labels):
+            own = {f for w in {w for s in bag for w in s} for f in features(w)}
+            seen.update(own)
+            if label:
+                toxic.update(own)
+        base = sum(labels) / len(labels)
+        apart = {f: (toxic[f] - base * n) / math.sqrt(base * n * (1 - base)) for f, n in seen.items() if n >= MIN_DOCUMENTS and f in toxic} if 0 < base < 1 else {}
+        chosen = sorted((f for f, z in apart.items() if z >= MIN_DEVIATIONS), key=lambda f: (-apart[f], f))[:MAX_FEATURES]
+        index = {f: i for i, f in enumerate(chosen)}
         word, sentence, doc, n = [], [], [], 0
         for d, bag in enumerate(bags):
             for s in bag:
-                hits = {index[w] for w in s if w in index}
+                hits = [index[f] for w in set(s) for f in features(w) if f in index]
                 word.extend(sorted(hits))
                 sentence.extend([n] * len(hits))
                 doc.append(d)
@@ -86,13 +102,18 @@ class SentenceModel:
             c1, c2 = 1 - 0.9**t, 1 - 0.999**t
             w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
             bias -= RATE * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
-        return cls(float(bias), {k: float(w[i]) for k, i in index.items() if abs(w[i]) >= LEAST_WEIGHT})
+        return cls(float(bias), {k: float(w[i]) for k, i in index.items()})
+
+    def weigh(self, words: list[bytes]) -> list[float]:
+        get = self.weights.get
+        return [sum([get(f, 0.0) for f in features(w)]) for w in words]
 
-    def score(self, text: bytes) -> tuple[float, list[tuple[int, int, float]]]:
+    def score(self, text: bytes, cache: ChunkCache | None = None) -> tuple[float, list[tuple[int, int, float]]]:
         """(document's score, offending sentences as byte ranges with their scores)."""
-        get, bias, clean, bad = self.weights.get, self.bias, 0.0, []
+        bias, clean, bad = self.bias, 0.0, []
+        have = (cache or ChunkCache(self.weigh)).have(set(plain_words(text))).__getitem__
         for a, b in sentences(text):
-            z = bias + sum([get(w, 0.0) for w in set(plain_words(text[a:b]))])
+            z = bias + sum(map(have, set(plain_words(text[a:b]))))
             z = -30.0 if z < -30 else 30.0 if z > 30 else z
             clean -= math.log1p(math.exp(z))
             if z >= 0:
@@ -115,8 +136,9 @@ def score_documents(docs: DataFrame, model: SentenceModel, *, doc: str = "doc_id
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
+        cache = ChunkCache(model.weigh)
         for batch in batches:
-            found = [model.score(t or b"") for t in batch.column(1).to_pylist()]
+            found = [model.score(t or b"", cache) for t in batch.column(1).to_pylist()]
             bad = [[{"start": a, "end": b, "score": p} for a, b, p in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array(bad, kind)], ["doc_id", "score", "offending"])
 
