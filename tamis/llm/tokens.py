@@ -44,18 +44,19 @@ class ChunkCache:
 
 
 class WordEncoder:
-    """texts (UTF-8 bytes) -> their ids as little-endian uint32 bytes."""
+    """texts (UTF-8 bytes) -> their ids as little-endian bytes of `kind`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cache = ChunkCache(self._ids)
 
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
 
     def encode(self, texts: Iterable[bytes | None], slab: int = 256) -> Iterable[bytes]:
         texts = list(texts)
