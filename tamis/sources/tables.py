@@ -18,11 +18,12 @@ RECORD = T.StructType(
 
 def json_store(spark: SparkSession, paths: str | list[str], schema: T.StructType = RECORD, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """SRC-1..3: (records, corrupt): records of JSON files under a declared schema, and what could not be parsed with the
-    file it is in. Unreadable files are left out rather than failing the scan."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = spark.read.schema(full).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", True).json(paths)
-    read = read.withColumn("_file", F.col("_metadata.file_path"))
-    return read.filter("_corrupt is null").drop("_corrupt", "_file"), read.filter("_corrupt is not null").select("_file", "_corrupt")
+    file it is in. A file is one array of records, or (multi_line=False) has a record in each line."""
+    raw = spark.read.option("wholetext", multi_line).option("ignoreCorruptFiles", True).text(paths)
+    raw = raw.filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    whole = F.col("value") if multi_line else F.concat(F.lit("["), "value", F.lit("]"))
+    parsed = raw.withColumn("records", F.from_json(whole, T.ArrayType(schema)))
+    return parsed.select(F.inline("records")), parsed.filter("records is null").select("file", "value")
 
 
 def newest_backup(spark: SparkSession, paths: list[str], schema: T.StructType = RECORD) -> DataFrame:
