@@ -54,14 +54,33 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kind, tokenizer = kind, Tokenizer.from_file(path)
+        self.kind, tokenizer = np.dtype(kind), Tokenizer.from_file(path)
         self.batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        # Ids that end a word, if the vocabulary tells.
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.cores, self.cache = ChunkCache(self._encode), ChunkCache(self._ids)
         self.tails = dict(zip((b".", b","), self._encode([b".", b","])))
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        kind = self.kind
-        return [np.array(e.ids, kind).tobytes() for e in self.batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t.isalpha()] if self.ends.any() else []
+        for at in range(0, len(plain), 1000):
+            # Words of letters are one word to the tokenizer too, and go there joined; each has one id that ends it.
+            some = plain[at : at + 1000]
+            ids = np.array(self.batch([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.int64)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+            if len(stops) == len(some):
+                data, start = ids.astype(self.kind).tobytes(), 0
+                for i, stop in zip(some, stops.tolist()):
+                    out[i] = data[start:stop]
+                    start = stop
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.batch([texts[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = np.array(e.ids, self.kind).tobytes()
+        return out
 
     def _ids(self, chunks: list[bytes]) -> list[bytes]:
         parts = []
