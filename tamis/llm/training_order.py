@@ -102,7 +102,7 @@ def write_shards(placed: DataFrame, path: str) -> DataFrame:
     """Writes a folder shard=N for each shard, its records in order of slot; returns the table of all shards."""
     shards = (placed.agg(F.max("shard")).first()[0] or 0) + 1
     ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-    ordered.write.partitionBy("shard").parquet(path)
+    ordered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return placed.sparkSession.read.schema(SHARD).parquet(path)
 
 
