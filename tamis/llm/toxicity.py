@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tamis.llm.quality import plain_words
 from tamis.llm.tokens import ChunkCache
 
-MAX_TRAINING_DOCUMENTS = 12_000
+MAX_TRAINING_DOCUMENTS = 8_000
 #: A feature counts if it is in so many training documents, and in toxic ones more often than by chance by so many deviations.
 MIN_DOCUMENTS, MIN_DEVIATIONS, MAX_FEATURES = 6, 4.0, 5_000
 ROUNDS, RATE, L2 = 300, 0.08, 1e-4
@@ -65,7 +65,9 @@ class SentenceModel:
     def fit(cls, texts: list[bytes], labels: list[int], rounds: int = ROUNDS) -> SentenceModel:
         if not texts:
             return cls()
-        bags = [[plain_words(t[a:b]) for a, b in sentences(t)] for t in texts]
+        # One object for each distinct word, as words repeat.
+        same: dict[bytes, bytes] = {}
+        bags = [[[same.setdefault(w, w) for w in plain_words(t[a:b])] for a, b in sentences(t)] for t in texts]
         seen, toxic = Counter(), Counter()
         for bag, label in zip(bags, labels):
             own = {f for w in {w for s in bag for w in s} for f in features(w)}
