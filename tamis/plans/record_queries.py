@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import contacts as C
+from tamis.functions import qualify as Q
 from tamis.functions import scoring as S
 from tamis.functions import text as T
 from tamis.functions import urls as U
 from tamis.operators import core as O
+from tamis.operators import reports as R
+from tamis.plans.demo import LEADS, domain_sql, leads, safe_url_sql, table, url_part
 from tamis.sources import pages as P
 from tamis.sources.sinks import csv_lines, snapshot
 from tamis.sources.tables import api_results
-from tamis.plans.demo import LEADS, domain_sql, leads, safe_url_sql, table, url_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -519,6 +521,89 @@ def _(spark, d):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
+# --- record policies --------------------------------------------------------------------------------------------------
+
+
+@query("ded_entity_key", f"WITH p AS (SELECT page_id, url, {domain_sql('url')} AS d, lower(regexp_extract(trim({url_part('url', 4)}, '/'), '^([^/]+)', 1)) AS h FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'domain:acme' || page_id || '.com' WHEN h <> '' THEN 'profile:' || d || '/' || h ELSE 'domain:' || d END AS k FROM p")
+def _(spark, d):
+    none = F.array().cast("array<string>")
+    mail = F.when(F.col("page_id") % 3 == 0, F.array(F.concat(F.lit("Ana@acme"), "page_id", F.lit(".com")))).otherwise(none)
+    return table(spark, d, "pages").select("page_id", Q.entity_key(mail, none, F.col("url"), F.lit("x")).alias("k"))
+
+
+@query("ded_company_key", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'linkedin:company/c' || page_id WHEN page_id % 5 = 0 THEN 'name:firm-' || page_id ELSE 'domain:' || {domain_sql('url')} END AS k FROM pages")
+def _(spark, d):
+    u = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://www.linkedin.com/company/C"), "page_id")).when(F.col("page_id") % 5 == 0, "").otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", Q.company_key(u, F.concat(F.lit("Firm: "), "page_id")).alias("k"))
+
+
+@query("cls_outreach_score", f"""WITH {LEADS}, s AS (SELECT id, bucket, score, stage = 'contacted' AS has, CASE WHEN score >= 76 THEN 'A' WHEN score >= 58 THEN 'B' WHEN score >= 38 THEN 'C' ELSE 'D' END AS p,
+  CASE segment WHEN 'BUILDING' THEN 'partner' WHEN 'MACHINERY' THEN 'institution' ELSE 'research' END AS t FROM leads)
+SELECT id, CAST(greatest(0, least(100, floor(CASE t WHEN 'partner' THEN 25 WHEN 'institution' THEN 22 ELSE 0 END
+  + CASE WHEN bucket IN ('linkedin', 'instagram', 'x', 'telegram') THEN 20 WHEN bucket IN ('myfxbook', 'mql5', 'specialist') THEN CASE WHEN has THEN 12 ELSE 2 END WHEN bucket = 'tradingview' AND has THEN 6 ELSE 0 END
+  + least(25.0, score / 4.0) - CASE WHEN bucket = 'mql5' AND NOT has THEN 18 ELSE 0 END - CASE WHEN bucket = 'tradingview' THEN CASE WHEN has THEN 8 ELSE 25 END ELSE 0 END
+  - CASE WHEN bucket IN ('mql5', 'myfxbook', 'tradingview', 'specialist', 'forum') AND NOT has THEN 30 ELSE 0 END
+  + CASE WHEN p = 'A' AND has THEN 10 WHEN p = 'A' THEN -10 WHEN p = 'D' THEN -20 ELSE 0 END + 0.5))) AS INT) AS outreach FROM s""")
+def _(spark, d):
+    kind = F.when(F.col("segment") == "BUILDING", "partner").when(F.col("segment") == "MACHINERY", "institution").otherwise("research")
+    contact = Q.direct_contact_score(emails=F.col("stage") == "contacted")
+    return leads(spark, d).select("id", Q.outreach_score(kind, F.col("bucket"), S.priority(F.col("score")), F.col("score"), contact).alias("outreach"))
+
+
+@query("prj_qualify", f"""WITH {LEADS}, q AS (SELECT id, bucket, score + CASE WHEN stage = 'contacted' THEN 22 WHEN value > 150000 THEN 18 ELSE 0 END + CASE WHEN commercial_score > 70 THEN 14 ELSE 0 END + CASE WHEN segment = 'BUILDING' THEN 12 WHEN segment = 'MACHINERY' THEN 8 ELSE 0 END - 6 * CASE WHEN score < 65 THEN 1 ELSE 0 END AS total, stage = 'contacted' OR value > 150000 AS strong FROM leads),
+t AS (SELECT *, CASE WHEN total >= 105 THEN 'A1 Hot' WHEN total >= 88 THEN 'A2 Strong' WHEN total >= 68 THEN 'B Nurture' ELSE 'C Research' END AS t0 FROM q),
+u AS (SELECT id, total, CASE WHEN NOT strong AND t0 LIKE 'A%' THEN 'B Nurture' ELSE t0 END AS tier FROM t)
+SELECT id, total, tier, CASE tier WHEN 'A1 Hot' THEN 'High' WHEN 'A2 Strong' THEN 'Medium-High' WHEN 'B Nurture' THEN 'Medium' ELSE 'Low' END AS meeting_priority FROM u""")
+def _(spark, d):
+    mail, form, no = F.col("stage") == "contacted", F.col("value") > 150000, F.lit(False)
+    q = Q.qualify(
+        F.col("score"), emails=mail, phones=no, forms=form, links=no, likelihood=F.when(F.col("commercial_score") > 70, "High").otherwise("Low"), hot_segment=F.col("segment") == "BUILDING",
+        side_segment=F.col("segment") == "MACHINERY", intent=no, n_flags=(F.col("score") < 65).cast("int"), bucket=F.col("bucket"), strength=F.when(mail | form, "strong").otherwise("none"),
+    )
+    return leads(spark, d).select("id", q.alias("q")).select("id", "q.*")
+
+
+@query("cls_best_channel", f"WITH {LEADS} SELECT id, CASE WHEN stage = 'contacted' THEN 'Email' WHEN bucket = 'linkedin' THEN 'LinkedIn' WHEN bucket = 'telegram' THEN 'Telegram' WHEN value > 150000 THEN 'Contact form' ELSE 'Source URL' END AS channel FROM leads")
+def _(spark, d):
+    has = {"email": F.col("stage") == "contacted", "linkedin": F.col("bucket") == "linkedin", "telegram": F.col("bucket") == "telegram", "form": F.col("value") > 150000}
+    return leads(spark, d).select("id", Q.best_channel(has).alias("channel"))
+
+
+@query("flt_source_categories", f"WITH {LEADS} SELECT 'social' AS category, count(*) AS n FROM leads WHERE regexp_matches(bucket, 'linkedin|instagram|twitter|telegram|discord|tiktok|facebook|threads|reddit') UNION ALL SELECT 'web', count(*) FROM leads WHERE NOT regexp_matches(bucket, 'linkedin|instagram|twitter|telegram|discord|tiktok|facebook|threads|reddit|mql5|myfxbook|specialist|forum') UNION ALL SELECT 'non-mql5', count(*) FROM leads WHERE bucket <> 'mql5' UNION ALL SELECT 'forums', count(*) FROM leads WHERE bucket = 'forum'")
+def _(spark, d):
+    return O.category_counts(leads(spark, d), {c: Q.in_category(F.col("bucket"), c) for c in ("social", "web", "non-mql5", "forums")})
+
+
+@query("stm_due_queue", "WITH u AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'purchase') AS last, CAST(count(*) % 80 AS INT) AS complete, avg(value) > 50 AS hot FROM events GROUP BY 1), a AS (SELECT *, (epoch_us(TIMESTAMP '2024-01-30') - epoch_us(last)) / 3.6e9 AS age, CASE WHEN complete < 35 THEN 12 WHEN hot THEN 24 ELSE 168 END AS ttl FROM u), c AS (SELECT user_id, CASE WHEN last IS NULL THEN 'never' WHEN greatest(age, 0) >= ttl THEN CASE WHEN complete < 35 THEN 'contactless_due' ELSE 'scheduled_due' END WHEN greatest(age, 0) >= 72 THEN 'rotation_due' END AS due FROM a) SELECT user_id, due, CASE due WHEN 'contactless_due' THEN 0 WHEN 'never' THEN 1 WHEN 'scheduled_due' THEN 2 WHEN 'rotation_due' THEN 3 ELSE 9 END AS due_rank FROM c")
+def _(spark, d):
+    u = table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).cast("timestamp").alias("last"), (F.count("*") % 80).cast("int").alias("complete"), (F.avg("value") > 50).alias("hot"))
+    out = u.select("user_id", Q.due_code(F.lit("2024-01-30").cast("timestamp"), F.col("last"), F.col("complete"), F.col("hot")).alias("due"))
+    return out.withColumn("due_rank", Q.due_priority(F.col("due")))
+
+
+@query("agg_worker_summary", "WITH w AS (SELECT CAST(user_id % 3 AS VARCHAR) AS worker, event_type AS source, count(*) AS searches, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS raw FROM events GROUP BY 1, 2) SELECT worker, source, CAST(sum(searches) AS BIGINT) AS searches, CAST(sum(raw) AS BIGINT) AS raw, floor(100.0 * sum(raw) / sum(searches) + 0.5) / 100 AS raw_per_search FROM w GROUP BY GROUPING SETS ((worker), (source), ())")
+def _(spark, d):
+    per = table(spark, d, "events").groupBy((F.col("user_id") % 3).cast("string").alias("worker"), F.col("event_type").alias("source")).agg(F.count("*").alias("searches"), F.sum(F.floor("value")).alias("raw"))
+    status = per.groupBy("worker").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("searches", "raw")))).alias("stats"))
+    return R.worker_summary(status, "worker", "stats")
+
+
+@query("cls_health_issues", f"WITH {LEADS}, f AS (SELECT count(*) AS n, count(*) FILTER (WHERE score >= 50) AS good, count(*) - count(DISTINCT cust) AS dup FROM leads) SELECT 'critical' AS severity, 'empty_db' AS code FROM f WHERE n = 0 UNION ALL SELECT 'warning', 'duplicate_pressure' FROM f WHERE dup > greatest(25, n * 0.08) UNION ALL SELECT 'info', 'has_good_rows' FROM f WHERE good > 0")
+def _(spark, d):
+    facts = leads(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 50).alias("good"), (F.count("*") - F.countDistinct("cust")).alias("dup"))
+    return R.issues(facts, [("critical", "empty_db", F.col("n") == 0), ("warning", "duplicate_pressure", F.col("dup") > F.greatest(F.lit(25.0), F.col("n") * 0.08)), ("info", "has_good_rows", F.col("good") > 0)])
+
+
+@query("agg_source_chips", f"WITH {LEADS}, c AS (SELECT bucket AS name, count(*) AS n FROM leads GROUP BY 1) SELECT name, n, CASE name WHEN 'linkedin' THEN 1 WHEN 'x' THEN 2 ELSE 3 END AS pos FROM c WHERE name IN ('linkedin', 'x') UNION ALL (SELECT name, n, 3 FROM c WHERE name NOT IN ('linkedin', 'x') ORDER BY n DESC, name LIMIT 5)")
+def _(spark, d):
+    return R.source_chips(O.count_by(leads(spark, d), F.col("bucket"), name="name"), ["linkedin", "x"])
+
+
+@query("sup_longer_text", "SELECT c_custkey, CASE WHEN length(c_mktsegment) > length(c_name) THEN c_mktsegment ELSE c_name END AS kept, greatest(c_acctbal, 0) AS touched FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey", Q.longer(F.col("c_name"), F.col("c_mktsegment")).alias("kept"), Q.touched_at(F.col("c_acctbal"), F.lit(0.0)).alias("touched"))
+
+
 # --- extraction and exports -------------------------------------------------------------------------------------------
 
 
