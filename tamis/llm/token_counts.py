@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import re
 from collections import deque
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +81,12 @@ class LongestMatch:
                 todo.append(v)
         self.go, self.fail, self.pops = go, fail, pops
 
+    @classmethod
+    def of(cls, tables: tuple) -> LongestMatch:
+        match = cls.__new__(cls)
+        match.go, match.fail, match.pops = tables
+        return match
+
     def count(self, word: bytes) -> int:
         go, fail, pops = self.go, self.fail, self.pops
         v = n = 0
@@ -100,18 +105,14 @@ class LongestMatch:
         return n
 
 
-@lru_cache(maxsize=2)
-def automaton(path: str) -> LongestMatch:
-    """One for each Python worker, which serves many tasks."""
-    return LongestMatch(vocabulary(path))
-
-
 def count_tokens(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens, max_word_tokens) of every document."""
-    path = tokenizer or tokenizer_path("word_bpe_49k.json")
+    # The vocabulary's size bounds the automaton; a worker unpacks it once for all its tasks.
+    built = LongestMatch(vocabulary(tokenizer or tokenizer_path("word_bpe_49k.json")))
+    automaton = docs.sparkSession.sparkContext.broadcast((built.go, built.fail, built.pops))
 
     def run(batches):
-        match = automaton(path)
+        match = LongestMatch.of(automaton.value)
 
         def measure(chunks):
             for chunk in chunks:
