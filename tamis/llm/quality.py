@@ -174,4 +174,38 @@ def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang"
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     judged = judge(docs, carry=["doc_id"])
-    return judged.select("row.doc_id", *(c.split()[0] for c in BASE.split(", ")))
+    return judged.select("row.doc_id", *(c.split()[0] for c in BASE.split(", ") if "distance" not in c))
+
+
+_CLASS_SQL = ["[a-z]", "[A-Z]", "[0-9]", r"[ \t\r\x0b\x0c]", r"\n", r"""[.,;:!?''"()-]""", r"[#*$%&|<>]"]
+_COUNTS = ", ".join(f"len(regexp_extract_all(t, '{c}'))" for c in _CLASS_SQL)
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+  regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS p,
+  [{_COUNTS}] AS c, len(regexp_extract_all(t, '[^\x00-\x7F]')) AS beyond FROM d),
+v AS (SELECT doc_id, lang, t, w, p, list_concat(c, [length(t) - list_sum(c) - beyond, beyond]) AS c, c[7] AS n_symbols, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars FROM w),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM v WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM v),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+r AS (SELECT * FROM v WHERE 10 * n_symbols <= len(p)),
+rc AS (SELECT lang, k, CAST(sum(c[k]) AS DOUBLE) AS n FROM r, range(1, 10) k(k) GROUP BY 1, 2),
+rw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(p) AS word FROM r) GROUP BY 1, 2),
+tot AS (SELECT lang, sum(n) AS total FROM rw GROUP BY 1 HAVING sum(n) >= {MIN_REFERENCE_WORDS}),
+top AS (SELECT rw.lang, word, n FROM rw JOIN tot ON rw.lang = tot.lang QUALIFY row_number() OVER (PARTITION BY rw.lang ORDER BY n DESC, word) <= {COMMON}),
+qw AS (SELECT lang, word, n / total AS q FROM top JOIN tot USING (lang) UNION ALL SELECT lang, NULL, (max(total) - sum(n)) / max(total) FROM top JOIN tot USING (lang) GROUP BY 1),
+qc AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM rc WHERE lang IN (SELECT lang FROM tot)),
+dw AS (SELECT doc_id, v.lang, top.word, count(*) AS n FROM (SELECT doc_id, lang, unnest(p) AS word FROM v WHERE len(p) >= {MIN_WORDS}) v LEFT JOIN top ON v.lang = top.lang AND v.word = top.word GROUP BY 1, 2, 3),
+pw AS (SELECT doc_id, lang, word, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM dw),
+jw AS (SELECT v.doc_id, coalesce(pw.p, 0) AS p, qw.q FROM v JOIN qw ON v.lang = qw.lang LEFT JOIN pw ON pw.doc_id = v.doc_id AND pw.word IS NOT DISTINCT FROM qw.word WHERE len(v.p) >= {MIN_WORDS}),
+jc AS (SELECT v.doc_id, c[k] / list_sum(c) AS p, q FROM v JOIN qc ON v.lang = qc.lang WHERE list_sum(c) >= {MIN_CHARS}),
+js AS (SELECT 'w' AS kind, doc_id, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS d FROM jw GROUP BY 2
+  UNION ALL SELECT 'c', doc_id, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 FROM jc GROUP BY 2),
+b AS (SELECT v.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS n FROM v LEFT JOIN dup ON dup.doc_id = v.doc_id LEFT JOIN rep ON rep.doc_id = v.doc_id),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(sqrt(greatest(0, jc.d)) > {MAX_CHAR_DISTANCE} + 1 / sqrt(n), false) OR coalesce(sqrt(greatest(0, jw.d)) > {MAX_WORD_DISTANCE}, false)) AS kept
+FROM f LEFT JOIN js jc ON jc.doc_id = f.doc_id AND jc.kind = 'c' LEFT JOIN js jw ON jw.doc_id = f.doc_id AND jw.kind = 'w'
+"""
