@@ -25,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import partitions, remove_path, stored, new_path
+from tamis.llm.common import new_path, partitions, remove_path, stored
 
 K = 20
 #: Bytes that a task works on at once.
@@ -113,26 +114,54 @@ def _joined(held):
     return [i for i, _, _ in held], data, starts, np.array([at for *_, at in held], np.int64)
 
 
+def _pack(x: np.ndarray, delta: bool = False) -> bytes:
+    """An array's bytes, compressed; sorted numbers as their differences."""
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(level=1).compress(np.diff(x, prepend=x.dtype.type(0)).tobytes() if delta else np.ascontiguousarray(x).tobytes())
+
+
+def _unpack(data: bytes, kind: type, delta: bool = False) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+
+    x = np.frombuffer(ZstdDecompressor().decompress(data), kind)
+    return np.cumsum(x, dtype=kind) if delta else x
+
+
 RUN = "kind string, bucket int, suffix binary, doc binary, at binary, known binary"
 
 
 def _sampler(buckets: int, width: int):
-    """A batch's sampled suffixes: a row for each bucket and slab."""
+    """A batch's sampled suffixes: a row for each bucket and slab, and the hits that the slab itself shows.
+
+    Of a suffix that several documents of a slab share, all places are hits at once and one entry goes on, so that a
+    suffix of very many documents reaches its bucket once for each slab. Hits are dealt out by slab.
+    """
 
     def run(batches):
+        n = TaskContext.get().partitionId()
         for batch in batches:
             for docs, data, starts, offsets in _slabs(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), width):
                 text, _, _, at, h, _ = anchors(data, starts, width)
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((h >> np.uint64(32), bucket))
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                docs = np.array(docs, np.int64)
-                place = (at - starts[text] + offsets[text]).astype(np.uint32)
+                bucket, suffix = (h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+                doc, place = np.array(docs, np.int64)[text], (at - starts[text] + offsets[text]).astype(np.uint32)
+                order = np.lexsort((doc, suffix, bucket))
+                bucket, suffix, doc, place = (x[order] for x in (bucket, suffix, doc, place))
+                first = np.ones(len(order), bool)
+                first[1:] = (suffix[1:] != suffix[:-1]) | (bucket[1:] != bucket[:-1])
+                group, lead = np.cumsum(first) - 1, np.flatnonzero(first)
+                shared = (np.bincount(group, doc != doc[lead][group], minlength=len(lead)) > 0)[group] if len(order) else first
                 rows = []
+                if shared.any():
+                    rows.append(("hit", n % buckets, None, _pack(doc[shared]), _pack(place[shared]), None))
+                n += 1
+                goes = first | ~shared
+                bucket, suffix, doc, place, shared = (x[goes] for x in (bucket, suffix, doc, place, shared))
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 for k in range(buckets):
-                    own = order[cuts[k] : cuts[k + 1]]
-                    if len(own):
-                        rows.append(("new", k, (h[own] >> np.uint64(32)).astype(np.uint32).tobytes(), docs[text[own]].tobytes(), place[own].tobytes(), None))
+                    own = slice(cuts[k], cuts[k + 1])
+                    if cuts[k] < cuts[k + 1]:
+                        rows.append(("new", k, _pack(suffix[own], True), _pack(doc[own]), _pack(place[own]), _pack(shared[own])))
                 yield _run_batch(rows)
 
     return run
@@ -150,7 +179,11 @@ def _scanner(merge: set[str], keep: bool):
     `merge` become ("level" row)."""
 
     def bucket_out(bucket: int, rows: list[tuple]):
-        parts = [(kind, np.frombuffer(s, np.uint32), np.frombuffer(d, np.int64), np.frombuffer(a, np.uint32), np.frombuffer(k, np.bool_) if k else np.zeros(len(s) // 4, bool)) for kind, s, d, a, k in rows]
+        out = [("hit", bucket, None, d, a, None) for kind, _, d, a, _ in rows if kind == "hit"]
+        rows = [r for r in rows if r[0] != "hit"]
+        if not rows:
+            return _run_batch(out)
+        parts = [(kind, _unpack(s, np.uint32, True), _unpack(d, np.int64), _unpack(a, np.uint32), _unpack(k, np.bool_)) for kind, s, d, a, k in rows]
         suffix, doc, at, known = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3, 4))
         fresh = np.repeat([p[0] == "new" for p in parts], [len(p[1]) for p in parts])
         stays = np.repeat([p[0] == "new" or p[0] in merge for p in parts], [len(p[1]) for p in parts])
@@ -164,15 +197,14 @@ def _scanner(merge: set[str], keep: bool):
         touched = np.bincount(group, fresh, minlength=len(lead)) > 0
         shared = ((other | was) & touched)[group]
         hit = shared & ~known
-        out = []
         if hit.any():
-            out.append(("hit", bucket, None, doc[hit].tobytes(), at[hit].tobytes(), None))
+            out.append(("hit", bucket, None, _pack(doc[hit]), _pack(at[hit]), None))
         if keep:
             # Of a shared suffix, whose places are all known as hits, one entry is enough for later batches; of others all stay.
             known = known | shared
             order = np.flatnonzero(stays)
             one = order[np.append(True, group[order][1:] != group[order][:-1]) | ~known[order]] if len(order) else order
-            out.append(("level", bucket, suffix[one].tobytes(), doc[one].tobytes(), at[one].tobytes(), known[one].tobytes()))
+            out.append(("level", bucket, _pack(suffix[one], True), _pack(doc[one]), _pack(at[one]), _pack(known[one])))
         return _run_batch(out)
 
     def run(batches):
@@ -232,8 +264,8 @@ class SuffixLevels:
 
 def _hit_rows(batches):
     for batch in batches:
-        docs, at = (b"".join(batch.column(c).to_pylist()) for c in ("doc", "at"))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(np.frombuffer(at, np.uint32).astype(np.int64))], ["doc", "at"])
+        for docs, at in zip(batch.column("doc").to_pylist(), batch.column("at").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpack(docs, np.int64)), pa.array(_unpack(at, np.uint32).astype(np.int32))], ["doc", "at"])
 
 
 def _squeezed(batches):
@@ -251,12 +283,16 @@ def _texts(batch) -> list[bytes]:
     return [unpack(z) for z in batch.column("packed").to_pylist()]
 
 
+BLOCK = "key long, doc long, a int, n int, suffix long, block long, whole boolean"
+
+
 def _blocks(width: int):
-    """The blocks of a document's shared anchors: (key, doc, a, n, suffix, block), n windows after the one at a."""
+    """The blocks of a document's shared anchors, n windows after the one at a; whole: a smaller document of the same slab
+    has the block, so that a block of very many documents goes on once for each slab."""
 
     def run(batches):
         for batch in batches:
-            keys, docs = batch.column("key").to_pylist(), batch.column("doc").to_pylist()
+            keys, docs = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("key", "doc"))
             shared = [np.array(x, np.int64) for x in batch.column("ats").to_pylist()]
             for rows, data, starts, offsets in _slabs(list(range(len(keys))), _texts(batch), width):
                 text, a, b, at, h, block = anchors(data, starts, width)
@@ -266,8 +302,85 @@ def _blocks(width: int):
                 wanted = np.concatenate([shared[r] + r * base for r in sorted(set(rows.tolist()))])
                 is_shared = np.isin(at - starts[text] + offsets[text] + rows[text] * base, wanted)
                 text, a, b, h, block = (x[is_shared] for x in (text, a, b, h, block))
-                row = rows[text]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[row]), pa.array(np.array(docs, np.int64)[row]), pa.array(a - starts[text] + offsets[text]), pa.array(b - a), pa.array(h.view(np.int64)), pa.array(block.view(np.int64))], ["key", "doc", "a", "n", "suffix", "block"])
+                row, n, a = rows[text], b - a, a - starts[text] + offsets[text]
+                doc = docs[row]
+                order = np.lexsort((doc, block, h))
+                first = np.ones(len(order), bool)
+                first[1:] = (h[order][1:] != h[order][:-1]) | (block[order][1:] != block[order][:-1])
+                least = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else doc
+                whole = np.empty(len(order), bool)
+                whole[order] = doc[order] > least
+                columns = [keys[row], doc, a.astype(np.int32), n.astype(np.int32), h.view(np.int64), block.view(np.int64), whole]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "a", "n", "suffix", "block", "whole"])
+
+    return run
+
+
+def _open_blocks(width: int):
+    """The text of the given blocks: (suffix, key, doc, a, block)."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for key, doc, t, blocks in zip(batch.column("key").to_pylist(), batch.column("doc").to_pylist(), _texts(batch), batch.column("blocks").to_pylist()):
+                for x in blocks:
+                    for o, v in zip(out, (x["suffix"], key, doc, x["a"], t[x["a"] : x["a"] + x["n"] + width])):
+                        o.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["suffix", "key", "doc", "a", "block"])
+
+    return run
+
+
+def _compared(width: int):
+    """Blocks in order of suffix -> (key, a, e): their windows that a smaller document's block of the suffix has."""
+
+    def matched(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        suffix, key, doc, a = (table.column(c).to_numpy() for c in ("suffix", "key", "doc", "a"))
+        texts = table.column("block").to_pylist()
+        size = np.array([len(t) for t in texts])
+        start = np.cumsum(size) - size
+        v = _words(np.frombuffer(b"".join(texts) + bytes(8), np.uint8))
+        count = size - width + 1
+        row = np.repeat(np.arange(len(texts)), count)
+        t = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at, own = start[row] + t, suffix[row].view(np.uint64)
+        hashes = []
+        for seed in (1, 2):
+            w = own ^ np.uint64(seed)
+            for j in [*range(0, width - 7, 8), width - 8]:
+                w = _mix(w * _C[4] + v[at + j] * _C[seed])
+            hashes.append(w)
+        order = np.lexsort((doc[row], hashes[1], hashes[0]))
+        first = np.ones(len(order), bool)
+        for w in hashes:
+            first[1:] = first[1:] & (w[order][1:] == w[order][:-1])
+        first[1:] = ~first[1:]
+        ranked = doc[row][order]
+        hit = order[ranked > ranked[np.flatnonzero(first)][np.cumsum(first) - 1]]
+        hit.sort()
+        # Neighbouring windows of a block make one span.
+        begins = np.ones(len(hit), bool)
+        begins[1:] = (row[hit][1:] != row[hit][:-1]) | (t[hit][1:] != t[hit][:-1] + 1)
+        b = np.flatnonzero(begins)
+        e = np.append(b[1:], len(hit))[: len(b)] - 1
+        places = a[row[hit]] + t[hit]
+        return pa.RecordBatch.from_arrays([pa.array(key[row[hit]][b]), pa.array(places[b].astype(np.int32)), pa.array((places[e] + width).astype(np.int32))], ["key", "a", "e"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            # Whole groups go together: what belongs to the batch's last suffix waits.
+            suffix = batch.column("suffix").to_numpy()
+            cut = int(np.searchsorted(suffix, suffix[-1])) if len(suffix) else 0
+            if rows + cut > 20_000 and cut:
+                yield matched([*held, batch.slice(0, cut)])
+                held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows += batch.num_rows
+        if rows:
+            yield matched(held)
 
     return run
 
@@ -320,7 +433,7 @@ def _cutter(with_text: bool):
     return run
 
 
-def dedup_passages(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", width: int = 50, batches: int = 4, buckets: int | None = None, with_text: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", width: int = 50, batches: int = 4, buckets: int | None = None, max_blocks: int = 20_000, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the text that stays, or the hex SHA-256 of it."""
     if width < K + 8:
         raise ValueError(f"width must be {K + 8} at least")
@@ -334,22 +447,29 @@ def dedup_passages(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     ats = hits[0]
     for h in hits[1:]:
         ats = ats.unionByName(h)
-    ats = ats.mapInArrow(_hit_rows, "doc long, at long").groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    ats = ats.mapInArrow(_hit_rows, "doc long, at int").groupBy("doc").agg(F.collect_set("at").alias("ats"))
 
     packed = base.withColumn("key", F.xxhash64("doc", "text")).mapInArrow(_squeezed, "doc long, key long, packed binary")
-    entries = stored(packed.join(ats.hint("shuffle_hash"), "doc").mapInArrow(_blocks(width), "key long, doc long, a long, n long, suffix long, block long"), "blocks")
+    entries = stored(packed.join(ats.hint("shuffle_hash"), "doc").mapInArrow(_blocks(width), BLOCK), "blocks")
     _free(spark)
 
-    firsts = entries.groupBy("suffix", "block").agg(F.min("doc").alias("first"))
-    unlike = firsts.groupBy("suffix").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("suffix")
-    met = stored(entries.join(firsts, ["suffix", "block"]).select("key", "doc", "a", "n", "suffix", (F.col("doc") > F.col("first")).alias("whole")), "met")
-    _free(spark)
-    open_ = met.filter("not whole").join(unlike, "suffix", "left_semi").groupBy("key").agg(F.collect_list(F.struct("a", "n")).alias("blocks"))
-    windows = stored(packed.join(open_.hint("shuffle_hash"), "key").mapInArrow(_windows(width), "key long, doc long, i long, w1 long, w2 long"), "windows")
+    # Of each block the least document; rows of a block meet by suffix and block, at most one from each slab and document.
+    least = F.min("doc").over(Window.partitionBy("suffix", "block"))
+    met = stored(entries.filter("not whole").withColumn("whole", F.col("doc") > least).select("key", "a", "n", "suffix", "block", "whole"), "met")
     _free(spark)
-    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"))
-    single = windows.join(least, ["w1", "w2"]).filter("doc > first").select("key", F.col("i").alias("a"), (F.col("i") + width).alias("e"))
-    whole = met.filter("whole").select("key", "a", (F.col("a") + F.col("n") + width).alias("e"))
+    unlike = met.filter("not whole").groupBy("suffix").agg(F.approx_count_distinct("block").alias("blocks"), (F.min("block") < F.max("block")).alias("several")).filter("several")
+    open_ = met.filter("not whole").join(unlike, "suffix")
+    blocks = lambda rows: packed.join(rows.groupBy("key").agg(F.collect_list(F.struct("a", "n", "suffix")).alias("blocks")).hint("shuffle_hash"), "key")
+    few = blocks(open_.filter(F.col("blocks") <= max_blocks)).mapInArrow(_open_blocks(width), "suffix long, key long, doc long, a int, block binary")
+    single = few.repartition(levels.buckets, "suffix").sortWithinPartitions("suffix").mapInArrow(_compared(width), "key long, a int, e int")
+    many = open_.filter(F.col("blocks") > max_blocks)
+    if not many.isEmpty():
+        # A suffix of very many blocks: its windows meet by their own hashes instead.
+        windows = stored(blocks(many).mapInArrow(_windows(width), "key long, doc long, i long, w1 long, w2 long"), "windows")
+        firsts = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"))
+        hit = windows.join(firsts, ["w1", "w2"]).filter("doc > first")
+        single = single.union(hit.select("key", F.col("i").cast("int").alias("a"), (F.col("i") + width).cast("int").alias("e")))
+    whole = entries.filter("whole").select("key", "a", "n").union(met.filter("whole").select("key", "a", "n")).select("key", "a", (F.col("a") + F.col("n") + width).cast("int").alias("e"))
     spans = stored(whole.union(single).groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans")), "spans")
     _free(spark)
     return packed.join(spans.hint("shuffle_hash"), "key", "left").mapInArrow(_cutter(with_text), OUT)

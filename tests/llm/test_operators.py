@@ -171,14 +171,14 @@ def brute_passages(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3, 4])
-def test_passage_removal_is_brute_force(spark, batches):
+@pytest.mark.parametrize("batches, max_blocks", [(1, 20_000), (3, 1), (4, 2)])
+def test_passage_removal_is_brute_force(spark, batches, max_blocks):
     p, q = " ".join(words(14, 1)), " ".join(words(9, 2))
     t = [f"{' '.join(words(20, 100 + i))} {p if i % 2 else q[i:]} {' '.join(words(8, 200 + i))}{p[i:] if i % 3 else ''}" for i in range(12)]
     t += [t[3], t[3][:200], "a" * 130, "b" + "a" * 60, "a" * 49, p + p, "é" * 60, "xé" * 40 + "é" * 40, *ODD]
     ids = [*range(100, 100 - len(t) + 2, -1), None, 77]
     expected = sorted(map(repr, brute_passages(list(zip(ids, t)))))
-    found = suffix_dedup.dedup_passages(docs_of(spark, t, ids), batches=batches, buckets=3).collect()
+    found = suffix_dedup.dedup_passages(docs_of(spark, t, ids), batches=batches, buckets=3, max_blocks=max_blocks).collect()
     assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in found) == expected
 
 
