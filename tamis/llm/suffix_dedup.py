@@ -222,8 +222,19 @@ def _scanner(merge: set[str], keep: bool):
     return run
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of what nobody refers to any more."""
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows in a table of the shared folder, and its path; what led to them is let go."""
+    spark, path, schema = df.sparkSession, new_path(df.sparkSession, name), df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    _free(spark)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def _free(spark: SparkSession, *paths: str) -> None:
+    """Drops tables that are no longer needed, and lets Spark drop the shuffle files of what nobody refers to any more."""
+    for path in paths:
+        remove_path(spark, path)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -232,7 +243,7 @@ class SuffixLevels:
     """The levels: tables of rows (bucket, sorted suffixes), the younger the smaller; `add` scans and merges."""
 
     def __init__(self, spark: SparkSession, width: int = 50, buckets: int = 64):
-        self.spark, self.width, self.buckets, self.levels = spark, width, buckets, []
+        self.spark, self.width, self.buckets, self.levels, self.paths = spark, width, buckets, [], []
 
     def add(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """batch (doc, text): the hits as rows ("hit", doc, at as arrays). keep=False: the last batch, which no other follows."""
@@ -251,15 +262,19 @@ class SuffixLevels:
             _, old = self.levels.pop(int(name[5:]))
             remove_path(self.spark, f"{old}/kind=level")
         self.levels.append((rank, path))
+        self.paths.append(path)
         _free(self.spark)
         return self._read(path, "hit")
 
     def _read(self, path: str, kind: str) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(path).filter(F.col("kind") == kind)
 
+    def drop_levels(self) -> None:
+        _free(self.spark, *(f"{path}/kind=level" for _, path in self.levels))
+
     def drop(self) -> None:
-        for _, path in self.levels:
-            remove_path(self.spark, f"{path}/kind=level")
+        """Levels and hits."""
+        _free(self.spark, *self.paths)
 
 
 def _hit_rows(batches):
@@ -443,35 +458,45 @@ def dedup_passages(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     hits = []
     for n in range(batches):
         hits.append(levels.add(base.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == n), keep=n < batches - 1))
-    levels.drop()
+    levels.drop_levels()
     ats = hits[0]
     for h in hits[1:]:
         ats = ats.unionByName(h)
     ats = ats.mapInArrow(_hit_rows, "doc long, at int").groupBy("doc").agg(F.collect_set("at").alias("ats"))
 
     packed = base.withColumn("key", F.xxhash64("doc", "text")).mapInArrow(_squeezed, "doc long, key long, packed binary")
-    entries = stored(packed.join(ats.hint("shuffle_hash"), "doc").mapInArrow(_blocks(width), BLOCK), "blocks")
-    _free(spark)
+    entries, at_entries = _kept(packed.join(ats.hint("shuffle_hash"), "doc").mapInArrow(_blocks(width), BLOCK), "blocks")
+    del ats, hits
+    levels.drop()
 
     # Of each block the least document; rows of a block meet by suffix and block, at most one from each slab and document.
     least = F.min("doc").over(Window.partitionBy("suffix", "block"))
-    met = stored(entries.filter("not whole").withColumn("whole", F.col("doc") > least).select("key", "a", "n", "suffix", "block", "whole"), "met")
-    _free(spark)
+    settled = entries.filter("whole").select("key", "a", "n", F.lit(None).cast("long").alias("suffix"), F.lit(None).cast("long").alias("block"), "whole")
+    met, at_met = _kept(entries.filter("not whole").withColumn("whole", F.col("doc") > least).select("key", "a", "n", *(F.when(~F.col("whole"), F.col(c)).alias(c) for c in ("suffix", "block")), "whole").union(settled), "met")
+    del entries, settled
+    _free(spark, at_entries)
+
     unlike = met.filter("not whole").groupBy("suffix").agg(F.approx_count_distinct("block").alias("blocks"), (F.min("block") < F.max("block")).alias("several")).filter("several")
-    open_ = met.filter("not whole").join(unlike, "suffix")
+    open_, at_open = _kept(met.filter("not whole").join(unlike, "suffix").select("key", "a", "n", "suffix", "blocks"), "open-blocks")
     blocks = lambda rows: packed.join(rows.groupBy("key").agg(F.collect_list(F.struct("a", "n", "suffix")).alias("blocks")).hint("shuffle_hash"), "key")
     few = blocks(open_.filter(F.col("blocks") <= max_blocks)).mapInArrow(_open_blocks(width), "suffix long, key long, doc long, a int, block binary")
-    single = few.repartition(levels.buckets, "suffix").sortWithinPartitions("suffix").mapInArrow(_compared(width), "key long, a int, e int")
+    compared, at_compared = _kept(few.repartition(levels.buckets, "suffix").sortWithinPartitions("suffix").mapInArrow(_compared(width), "key long, a int, e int"), "compared")
+    del few
+    found, paths = [compared], [at_compared, at_met, at_open]
     many = open_.filter(F.col("blocks") > max_blocks)
     if not many.isEmpty():
         # A suffix of very many blocks: its windows meet by their own hashes instead.
-        windows = stored(blocks(many).mapInArrow(_windows(width), "key long, doc long, i long, w1 long, w2 long"), "windows")
-        firsts = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"))
+        windows, at_windows = _kept(blocks(many).mapInArrow(_windows(width), "key long, doc long, i long, w1 long, w2 long"), "windows")
+        firsts = stored(windows.groupBy("w1", "w2").agg(F.min("doc").alias("first")), "first-windows")
         hit = windows.join(firsts, ["w1", "w2"]).filter("doc > first")
-        single = single.union(hit.select("key", F.col("i").cast("int").alias("a"), (F.col("i") + width).cast("int").alias("e")))
-    whole = entries.filter("whole").select("key", "a", "n").union(met.filter("whole").select("key", "a", "n")).select("key", "a", (F.col("a") + F.col("n") + width).cast("int").alias("e"))
-    spans = stored(whole.union(single).groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans")), "spans")
-    _free(spark)
+        found.append(hit.select("key", F.col("i").cast("int").alias("a"), (F.col("i") + width).cast("int").alias("e")))
+        paths.append(at_windows)
+    merged = met.filter("whole").select("key", "a", (F.col("a") + F.col("n") + width).cast("int").alias("e"))
+    for part in found:
+        merged = merged.union(part)
+    spans, _ = _kept(merged.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans")), "spans")
+    del found, merged, met, open_, compared, part
+    _free(spark, *paths)
     return packed.join(spans.hint("shuffle_hash"), "key", "left").mapInArrow(_cutter(with_text), OUT)
 
 
