@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, *, carry: list[str] | None = None, doc: str = "
     for batch in range(batches):
         of_batch = F.pmod(F.xxhash64("doc"), F.lit(batches)) == batch
         runs.add(keys.filter(of_batch).select("uid", "doc", "h1", "h2").distinct())
-    frequent = runs.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+    # Stored, so that the join below has plain shuffles on both sides and a line of very many documents can be split.
+    frequent = stored(runs.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "frequent-lines")
 
     dropped = keys.join(frequent, ["h1", "h2"]).filter(F.col("doc") < F.col("last_doc"))
     dropped = dropped.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("at")).alias("drop"))
