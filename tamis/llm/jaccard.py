@@ -197,7 +197,8 @@ def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k:
     classes = stored(classes, "classes")
 
     cells = classes.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = cells.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    # Stored, so that the join has plain shuffles on both sides and a bucket of very many classes can be split.
+    buckets = stored(cells.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     ties = cells.join(buckets, ["band", "h"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     found = components(ties)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))

@@ -25,8 +25,9 @@ def _stored(df: DataFrame) -> DataFrame:
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, least): least is the smallest of u and all its neighbours; a partial aggregate and a join, so hubs split."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+    """(u, v, least): least is the smallest of u and all its neighbours: a partial aggregate and a join. The aggregate is
+    stored, so that the join has plain shuffles on both sides and Spark can split a hub's rows."""
+    least = _stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")))
     return edges.join(least, "u")
 
 
