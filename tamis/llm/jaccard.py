@@ -98,10 +98,13 @@ def _sets(k: int):
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            sets, good = [], []
+            sets, good, had = [], [], set()
             for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist()):
-                words = words_of(text)
-                good.append(xxh3_128_digest(b" ".join(words)) == node)
+                # Rows that repeat an id and text come here more than once, in one partition.
+                words = [] if node in had else words_of(text)
+                good.append(node not in had and xxh3_128_digest(b" ".join(words)) == node)
+                if good[-1]:
+                    had.add(node)
                 sets.append(np.unique(shingles(words, k)).tobytes())
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "blocks", "node", "copies")), pa.array(sets, pa.binary())], ["component", "blocks", "node", "copies", "set"])
             yield out.filter(pa.array(good, pa.bool_()))
@@ -137,7 +140,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _verifier(threshold: float):
     def group(rows: list[tuple]) -> tuple[list, list]:
         """rows (side, node, copies, set) of one pair of blocks -> ([node, links], [node, node])."""
-        left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+        left, right = (list({r[1]: r for r in rows if r[0] == side}.values()) for side in (0, 1))
         own = not right
         right = left if own else right
         a, b = ([np.frombuffer(r[3], np.uint64) for r in side] for side in (left, right))
@@ -207,7 +210,6 @@ def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k:
 
     texts = given.select("key", "text").join(members.hint("shuffle_hash"), "key")
     sets = texts.select("component", "blocks", "node", "copies", "text").mapInArrow(_sets(k), "component binary, blocks int, node binary, copies long, set binary")
-    # Rows that repeat an id and text come here more than once.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "node", "copies", "set")

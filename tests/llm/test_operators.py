@@ -152,6 +152,9 @@ def test_jaccard_join_of_odd_rows(spark):
     text = " ".join(words(30))
     found = jaccard.jaccard_join(docs_of(spark, [text, text, text, None, "alone here"], [4, 4, None, 5, 6])).collect()
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == Counter([(4, 4, 2), (4, 4, 2), (None, 4, 2), (5, 5, 0), (6, 6, 0)])
+    near = " ".join([*words(30)[:-1], "other"])
+    found = jaccard.jaccard_join(docs_of(spark, [text, text, near, near, near], [4, 4, 7, 7, 8]), recall=0.99999).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == Counter([(4, 4, 4), (4, 4, 4), (7, 4, 4), (7, 4, 4), (8, 4, 4)])
     assert jaccard.jaccard_join(docs_of(spark, [])).count() == 0
 
 
