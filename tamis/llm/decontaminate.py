@@ -56,7 +56,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", carry: li
 
     base = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*carry).alias("row"), words_of(F.col(text)).alias("words"))
     kind = base.schema["row"].dataType.simpleString()
-    itself = F.array(F.struct(F.lit(0).alias("at"), F.size("words").alias("length"), F.lit(None).cast("string").alias("gram"), F.col("row").alias("row")))
+    # A document's own row has a key that no window has, so that a join which shuffles spreads these rows.
+    itself = F.array(F.struct(F.lit(0).alias("at"), F.size("words").alias("length"), F.concat(F.lit(" "), F.col("uid")).alias("gram"), F.col("row").alias("row")))
     parts = [F.transform(windows_of(F.col("words"), k), lambda w: F.struct(w["at"].alias("at"), w["length"].alias("length"), w["gram"].alias("gram"), F.lit(None).cast(kind).alias("row"))) for k in sorted(sizes)]
     cut = base.select("uid", F.explode(F.concat(itself, *parts)).alias("w")).select("uid", "w.at", "w.length", F.col("w.gram").alias("key"), "w.row")
     met = cut.join(table, "key", "left").filter((F.col("at") == 0) | F.col("items").isNotNull())
