@@ -4,7 +4,9 @@ A first pass over all documents counts, for each language, the bytes of every ch
 with at most one symbol for ten words, so that junk doesn't blur what a language looks like; the most common words of a language with enough words are its vocabulary. A second pass compares each document's character-class
 histogram and its histogram over the common words (and all others together) with its language's by the Jensen-Shannon
 distance (base 2, so 0 to 1). A document is rejected when a distance passes its threshold, and each comparison is made
-only for documents that are long enough. Base rules count short and self-repeating texts.
+only for documents that are long enough. The word threshold of a language is a share of the distance that a text without
+any of its common words has, so that such a text can reach it, with a term for short texts. Base rules count short and
+self-repeating texts. The registered query turns the share off, as its SQL holds one threshold for all languages.
 
 Cases: null and empty texts have no words and fail the base rule; a null language is a language of its own; a language
 with fewer than `min_reference_words` words has no reference, and its documents are judged by the base rule alone;
@@ -37,6 +39,9 @@ COMMON, MIN_REFERENCE_WORDS = 40, 2_000
 #: A histogram of n characters strays by about 1 / sqrt(n) from its language's, which is added to the threshold.
 MIN_CHARS, MAX_CHAR_DISTANCE = 100, 0.18
 MIN_WORDS, MAX_WORD_DISTANCE = 60, 0.45
+#: A long text passes at most this share of the distance of a text without common words; a text of n words strays by more
+#: (the squared distance by about bins / (8 ln 2 n), here with a third on top).
+WORD_SHARE, WORD_SPREAD = 0.5, 1.35
 #: Distinct words that a task holds before it hands its counts on.
 FLUSH = 200_000
 
@@ -84,6 +89,13 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
+def word_threshold(reference: np.ndarray, n: int, share: float) -> float:
+    """Largest word distance of a text of n words; `reference` ends with the count of all words that aren't common."""
+    without = np.zeros(len(reference))
+    without[-1] = 1
+    return ((share * js_distance(without, reference)) ** 2 + WORD_SPREAD * (len(reference) - 1) / (8 * np.log(2) * n)) ** 0.5
+
+
 def _count(batches):
     """(lang, kind, key, n): bytes of each character class and words, summed in the task."""
     classes: dict = {}
@@ -132,8 +144,8 @@ def language_references(docs: DataFrame, *, lang: str = "lang", text: str = "tex
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
 
 
-def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang", text: str = "text", min_chars: int = MIN_CHARS, max_char_distance: float = MAX_CHAR_DISTANCE, min_words: int = MIN_WORDS, max_word_distance: float = MAX_WORD_DISTANCE, **options) -> DataFrame:
-    """The `carry` columns (all by default) as struct `row`, and BASE's columns."""
+def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang", text: str = "text", min_chars: int = MIN_CHARS, max_char_distance: float = MAX_CHAR_DISTANCE, min_words: int = MIN_WORDS, max_word_distance: float = MAX_WORD_DISTANCE, word_share: float | None = WORD_SHARE, **options) -> DataFrame:
+    """The `carry` columns (all by default) as struct `row`, and BASE's columns; without `word_share`, `max_word_distance` alone holds."""
     references = language_references(docs, lang=lang, text=text, **options)
     refs = {}
     for key, ref in references.items():
@@ -148,6 +160,7 @@ def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang"
         repeated = n_repeat_words(words)
         failed = n < 20 or 100 * repeated > 30 * n
         char_d = word_d = None
+        max_word_d = max_word_distance
         classes = (bc @ _ONE_HOT).astype(float)
         if lang in refs:
             index, ref_words, ref_classes = refs[lang]
@@ -157,7 +170,9 @@ def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang"
             if len(plain) >= min_words:
                 hist = np.bincount(np.fromiter((index.get(w, len(index)) for w in plain), np.int64, len(plain)), minlength=len(index) + 1).astype(float)
                 word_d = js_distance(hist, ref_words)
-        kept = not (failed or (char_d or 0) > max_char_distance + 1 / max(1, classes.sum()) ** 0.5 or (word_d or 0) > max_word_distance)
+                if word_share is not None:
+                    max_word_d = min(max_word_d, word_threshold(ref_words, len(plain), word_share))
+        kept = not (failed or (char_d or 0) > max_char_distance + 1 / max(1, classes.sum()) ** 0.5 or (word_d or 0) > max_word_d)
         return n, int(len(text) - bc[128:192].sum() - bc[_SPACE].sum()), int(bc[_SYM].sum()), n_dup_lines(text), repeated, failed, char_d, word_d, kept
 
     def run(batches):
@@ -173,7 +188,7 @@ def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang"
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    judged = judge(docs, carry=["doc_id"])
+    judged = judge(docs, carry=["doc_id"], word_share=None)
     return judged.select("row.doc_id", *(c.split()[0] for c in BASE.split(", ") if "distance" not in c))
 
 

@@ -8,6 +8,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 import pytest
 
+from tamis.llm import quality
 from tests.llm.test_operators import DOCS, assert_packed, brute_hits, brute_lines, brute_links, encoded, words
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +78,19 @@ def test_quality_stage(stages):
     assert left == columns and sorted(r["doc_id"] for r in after) == brute_quality(before) and 0 < len(after) < len(before)
 
 
+def test_word_distance_alone_rejects_long_texts_of_other_words(spark):
+    rng = np.random.default_rng(5)
+    own, other, rare, strange = words(40, 21), words(40, 22), words(3000, 23), words(3000, 24)
+    share = 1 / np.arange(1, 41)
+    text = lambda n, common, rest: " ".join(rng.choice(common, p=share / share.sum()) if common and rng.random() < 0.3 else rng.choice(rest) for _ in range(n))
+    texts = [text(n, own, rare) for n in [*[60] * 20, *[150] * 40, *[600] * 20]] + [text(600, other, strange), text(600, None, rare), text(200, None, rare)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    found = {r["row"]["doc_id"]: r for r in quality.judge(docs).collect()}
+    for i in (80, 81, 82):
+        assert not found[i]["base_failed"] and found[i]["char_distance"] < quality.MAX_CHAR_DISTANCE and found[i]["word_distance"] < quality.MAX_WORD_DISTANCE
+    assert sorted(r["doc_id"] for r in pipeline.quality(spark, docs, SF).collect()) == list(range(80))
+
+
 def test_line_stage(stages):
     _, before, after, columns, left = stages[1]
     assert left == columns
