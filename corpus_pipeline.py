@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm.common import new_path
 from tamis.llm.decontaminate import decontaminate
-from tamis.llm.jaccard import jaccard_join
+from tamis.llm.jaccard import jaccard_join, row_key
 from tamis.llm.line_dedup import dedup_lines
 from tamis.llm.packing import pack
 from tamis.llm.quality import judge
@@ -33,12 +33,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the least doc_id, of each group of exact and near copies.
 
-    Documents that are no other's copy stay, those without an id too; of rows that repeat an id and are copies of each
-    other one stays.
+    Rows are told by doc_id and text. Documents that are no other's copy stay, those without an id too; of rows that
+    repeat an id and are copies of each other one stays.
     """
-    groups = jaccard_join(docs)
-    gone = groups.filter("doc_id != class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    groups = jaccard_join(docs, with_rows=True)
+    gone = groups.filter("doc_id is not null and not first").select("doc_id", F.col("key").alias("_row_key")).distinct()
+    left = docs.withColumn("_row_key", row_key("doc_id", "text")).join(gone, ["doc_id", "_row_key"], "left_anti").select(docs.columns)
     return left if _unique(docs) else left.dropDuplicates(["doc_id", "text"])
 
 

@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import partitions, stored
@@ -189,11 +189,19 @@ def _verifier(threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 256) -> DataFrame:
-    """(doc_id, group_id, n_links, n_words_class): for each document the least doc_id of its group of linked texts, and
-    the number of other documents whose similarity with it reaches the threshold, copies included."""
+def row_key(doc: str, text: str) -> Column:
+    """Tells rows of one id by their texts."""
+    return F.xxhash64(doc, text)
+
+
+def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 256, with_rows: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_links): for each document the least doc_id of its group of linked texts, and
+    the number of other documents whose similarity with it reaches the threshold, copies included.
+
+    with_rows: and `key`, the row's `row_key`, and `first`, whether the row has its group's least (doc_id, key); rows
+    without words are the first of their own, those without an id are never the first of a group."""
     bands, rows = bands_for(threshold, recall)
-    given = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(doc, text).alias("key"), F.col(text).cast("string").cast("binary").alias("text"))
+    given = docs.select(F.col(doc).cast("long").alias("doc"), row_key(doc, text).alias("key"), F.col(text).cast("string").cast("binary").alias("text"))
     signed = stored(given.mapInArrow(_signer(k, bands, rows), "doc long, key long, node binary, bands array<long>"), "signatures")
     # One row per class of equal words. Copies have equal bands, so any of them will do; the key leads back to one text.
     classes = signed.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.first("bands").alias("bands"))
@@ -218,12 +226,14 @@ def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k:
 
     links = verified.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    least = signed.filter("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.count("*").alias("copies"))
+    row = F.when(F.col("doc").isNotNull(), F.struct("doc", "key"))
+    least = signed.filter("node is not null").groupBy("node").agg(F.min(row).alias("least"), F.count("*").alias("copies"))
     of = least.join(groups, "node", "left").join(links, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    heads = of.groupBy("component").agg(F.min("least").alias("group_id"))
-    of = of.join(heads, "component").select("node", "group_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc", "node").join(of, "node", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.coalesce("group_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    heads = of.groupBy("component").agg(F.min("least").alias("head"))
+    of = of.join(heads, "component").select("node", "head", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("doc", "key", "node").join(of, "node", "left")
+    rows = ["key", (F.col("node").isNull() | F.coalesce(row == F.col("head"), F.lit(False))).alias("first")] if with_rows else []
+    return out.select(F.col("doc").alias("doc_id"), F.coalesce("head.doc", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *rows)
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -109,6 +109,16 @@ def test_near_duplicate_stage(stages):
     assert left == columns and sorted(r["doc_id"] for r in after) == [before[i]["doc_id"] for i, h in enumerate(heads) if i == h]
 
 
+def test_near_duplicates_are_told_by_row(spark):
+    base, other = words(100, 31), words(100, 32)
+    near = [" ".join([*other[:-1], f"end{i}"]) for i in range(3)]
+    rows = [(3, " ".join(base)), (5, " ".join(base)), (5, "a unique text of its own"), (7, near[0]), (7, near[1]), (8, near[2]), (9, ""), (9, None), (None, " ".join(base))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    left = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert Counter(t for i, t in left if i == 7) in (Counter([near[0]]), Counter([near[1]]))
+    assert Counter(x for x in left if x[0] != 7) == Counter([rows[0], rows[2], rows[6], rows[7], rows[8]])
+
+
 def test_decontamination_stage(spark, stages):
     _, before, after, columns, left = stages[3]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
