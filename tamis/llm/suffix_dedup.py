@@ -84,9 +84,10 @@ def anchors(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarra
     # Neighbouring texts of which one ends where the other begins never share a window, as theirs aren't consecutive.
     text = np.searchsorted(starts, a, "right") - 1
     block = (b - a).astype(np.uint64)
-    for j in range(6):
+    # A block has at most width - K bytes after its first window; its head and its tail meet.
+    for j in range(width // 8):
         block = _mix(block * _C[4] + v[a + 8 * j])
-    for j in range(1, 5):
+    for j in range(1, -(-(width - K + width % 8) // 8) + 1):
         block = _mix(block * _C[4] + v[b + width - 8 * j])
     return text, a, b, at[a], h[at[a]], block
 

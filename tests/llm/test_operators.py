@@ -185,6 +185,21 @@ def test_passage_removal_is_brute_force(spark, batches, max_blocks):
     assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in found) == expected
 
 
+@pytest.mark.parametrize("width", [28, 47, 50, 64, 121])
+def test_block_hashes_cover_the_block(width):
+    rng, seen = np.random.default_rng(width), 0
+    for _ in range(300):
+        x = rng.integers(97, 123, 2 * width - 20, np.uint8)
+        y = x.copy()
+        y[rng.integers(0, len(y))] ^= 1
+        first, second = ({tuple(e[1:4]): e[5] for e in zip(*suffix_dedup.anchors(d, np.array([0]), width))} for d in (x, y))
+        for a, b, at in first.keys() & second.keys():
+            same = bytes(x[a : b + width]) == bytes(y[a : b + width])
+            assert (first[a, b, at] == second[a, b, at]) == same
+            seen += not same
+    assert seen
+
+
 def test_passage_removal_of_nothing(spark):
     assert suffix_dedup.dedup_passages(docs_of(spark, [])).count() == 0
 
