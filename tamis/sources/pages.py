@@ -105,14 +105,16 @@ def with_contacts(extracts: DataFrame) -> DataFrame:
     )
 
 
-def result_anchors(pages: DataFrame, limit: int = 10) -> DataFrame:
-    """SRC-6: a search page's outgoing links as result rows: distinct, unwrapped, in order, none to the page's own host."""
+def result_anchors(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """SRC-6: a search page's outgoing links as result rows: distinct, unwrapped, in order, none to the page's own host; `limit`: the first of each page only."""
     e = extract_pages(pages)
     both = F.arrays_zip(F.col("links").alias("u"), F.col("anchors").alias("t"))
     rows = e.select("page_id", U.domain_of("url").alias("own"), F.posexplode(both).alias("rank", "r"))
     rows = rows.select("page_id", "own", "rank", U.unwrap_redirect("r.u").alias("url"), normalize_space("r.t").alias("title"))
     rows = rows.filter("url is not null").filter(U.domain_of("url") != F.col("own"))
     first = rows.groupBy("page_id", "url").agg(F.min("rank").alias("rank"), F.min_by("title", "rank").alias("title"))
+    if limit is None:
+        return first
     from tamis.operators.core import newest
 
     return newest(first, ["page_id"], [F.asc("rank")], limit)

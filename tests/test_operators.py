@@ -120,3 +120,15 @@ def test_stream_windows(spark, tmp_path):
     q = R.windowed_counts(stream, "ts", ["k"], "1 hour").writeStream.format("memory").queryName("wins").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(str(r["window"]["start"]), r["k"], r["n"]) for r in spark.table("wins").collect()} >= {("2024-01-01 00:00:00", "a", 2)}
+
+
+def test_result_anchors_are_all_outgoing_links(spark):
+    hosts = {1: "own.example", 2: "two.example", 3: "three.example"}
+    links = {1: [f"https://a{n % 14}.example/p" for n in range(20)] + ["https://own.example/x"], 2: ["https://two.example/y"], 3: [f"https://b.example/{n}" for n in range(3)]}
+    pages = [(i, f"https://{hosts[i]}/", "<html><body>" + "".join(f'<a href="{u}">t{n}</a>' for n, u in enumerate(x)) + "</body></html>") for i, x in links.items()]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    expected = {(i, u) for i, x in links.items() for u in x if hosts[i] not in u}
+    found = P.result_anchors(df).collect()
+    assert sorted((r["page_id"], r["url"]) for r in found) == sorted(expected)
+    assert all(r["title"] == f"t{links[r['page_id']].index(r['url'])}" for r in found)
+    assert sum(r["page_id"] == 1 for r in P.result_anchors(df, 10).collect()) == 10
