@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -134,6 +135,23 @@ def test_packing_stage(stages):
     assert assert_packed
 
 
+def test_packing_stage_rows(stages):
+    _, before, after, _, _ = stages[4]
+    ids = {r["doc_id"]: np.array(encoded(r["text"]), "<u4").tobytes() for r in before}
+    docs, sequences = {}, {}
+    for r in after:
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])])
+        assert r["doc_tokens"] == len(ids[r["doc_id"]]) // 4 and r["length"] > 0
+        docs.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert docs.keys() == ids.keys()
+    for pieces in [*docs.values(), *sequences.values()]:
+        pieces.sort()
+        assert [x for x, _ in pieces] == np.cumsum([0, *(n for _, n in pieces[:-1])]).tolist()
+    assert all(sum(n for _, n in docs[i]) == len(x) // 4 for i, x in ids.items())
+    assert all(sum(n for _, n in s) <= 2048 for s in sequences.values())
+
+
 def test_odd_rows_go_through_all_stages(spark):
     text = " ".join(words(200, 3))
     rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text, None, None, None), (None, text + " end", "en", "s", 1), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "word " * 30, "en", "s", 1), (6, " ".join(words(80, 8)), "xx", "s", 1)]
