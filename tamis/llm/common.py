@@ -41,3 +41,29 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Entries of each of the two generations of a cache; some 40 MB each.
+CACHE = 200_000
+
+
+class ChunkCache:
+    """chunk -> value in two generations: what is used moves to the young one, and the old one is dropped when it is full."""
+
+    def __init__(self, make, limit: int = CACHE):
+        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+
+    def have(self, chunks: set[bytes]) -> dict[bytes, object]:
+        young, old = self.young, self.old
+        missing = []
+        for c in chunks.difference(young):
+            v = old.get(c)
+            if v is None:
+                missing.append(c)
+            else:
+                young[c] = v
+        if missing:
+            young.update(zip(missing, self.make(missing)))
+        if len(young) > self.limit:
+            self.young, self.old = {}, young
+        return young

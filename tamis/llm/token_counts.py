@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.tokens import ChunkCache, tokenizer_path
+from tamis.llm.common import ChunkCache
+from tamis.llm.tokens import tokenizer_path
 
 #: The symbol after a word's last byte.
 END = 256

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.quality import plain_words
-from tamis.llm.tokens import ChunkCache
+from tamis.llm.common import ChunkCache
 
 MAX_TRAINING_DOCUMENTS = 8_000
 #: A feature counts if it is in so many training documents, and in toxic ones more often than by chance by so many deviations.

@@ -1,8 +1,10 @@
 """The ten operators on small tables: brute force, edge rows and round trips."""
 
+import functools
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tamis.llm import chat, decontaminate, jaccard, line_dedup, packing, quality, suffix_dedup, token_counts, tokens, toxicity, training_order
+from tamis.llm import chat, common, decontaminate, jaccard, line_dedup, packing, quality, suffix_dedup, token_counts, tokens, toxicity, training_order
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -241,6 +243,13 @@ def test_token_counts_of_odd_rows(spark):
     assert token_counts.count_tokens(docs_of(spark, [])).count() == 0
 
 
+def test_cache_keeps_what_a_batch_needs():
+    cache = common.ChunkCache(lambda chunks: [c * 2 for c in chunks], limit=3)
+    for some in ({b"a", b"b", b"c", b"d", b"e"}, {b"a", b"x"}, {b"y"}, {b"a", b"z", b"q"}):
+        have = cache.have(some)
+        assert {c: have[c] for c in some} == {c: c * 2 for c in some}
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -301,12 +310,21 @@ def test_feistel_is_a_permutation(n, key):
     assert sorted(slots.tolist()) == list(range(n)) and (f(slots, back=True) == np.arange(n)).all()
 
 
-def encoded(text):
+PATH = tokens.tokenizer_path("word_bpe_49k.json")
+
+
+@functools.cache
+def tokenizer(path=PATH):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(path)
+
+
+def encoded(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
+ENCODER = tokens.WordEncoder(PATH, kept=50)
 TEXTS = ["Hello, WORLD. It's 3.14!", "İstanbul ΣΟΦΟΣ naïve é ﬁ", "<|endoftext|> x<|startoftext|>.", "a, b. c.. d,. é. »., ½.", " ".join(words(3000, 2)), *ODD]
 
 
@@ -317,27 +335,78 @@ def test_encoder_gives_the_tokenizers_ids():
             assert np.frombuffer(ids, kind).tolist() == encoded(t)[:-1], t
 
 
-def test_cache_keeps_what_a_batch_needs():
-    cache = tokens.ChunkCache(lambda chunks: [c * 2 for c in chunks], limit=3)
-    for some in ({b"a", b"b", b"c", b"d", b"e"}, {b"a", b"x"}, {b"y"}, {b"a", b"z", b"q"}):
-        have = cache.have(some)
-        assert {c: have[c] for c in some} == {c: c * 2 for c in some}
+UNICODE = st.text(st.one_of(st.sampled_from("İıAaBéÉßǰJTxZ.,'!<|> \n\t\x01\x1c\x85\u0307\u0301\u030c\u0331\u0338=\u00d7ÿŸŉſΣς—½3"), st.characters(codec="utf-8")), max_size=25)
+
+
+@given(st.lists(UNICODE, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_encoder_is_the_tokenizer_on_any_text(texts):
+    found = ENCODER.encode([t.encode() for t in texts], slab=20)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [encoded(t)[:-1] for t in texts]
+
+
+def test_encoder_of_long_texts_and_few_kept_segments():
+    texts = [*TEXTS, "İ. İ, aİ. BAKİ.", "J\u030c. T\u0308 W\u030a", "it's 'S a's,", "<|STARTOFTEXT|> <|endoftext|>X", "é,—,a—b ÷É×", None, " ".join(words(4000, 8)), "x" * 5000]
+    encoder = tokens.WordEncoder(PATH, "<u2", kept=10)
+    for _ in range(2):
+        for t, ids in zip(texts, encoder.encode([None if t is None else t.encode() for t in texts], slab=3000)):
+            assert np.frombuffer(ids, "<u2").tolist() == encoded(t)[:-1], t
+
+
+def test_encoder_of_other_tokenizers():
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    for t, ids in zip(TEXTS, tokens.WordEncoder(path).encode([None if t is None else t.encode() for t in TEXTS])):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer(path).encode(t or "", add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        tokens.WordEncoder(path, "u1")
 
 
 def test_shards_hold_every_sequence_in_its_slot(spark, tmp_path):
-    docs = docs_of(spark, [*TEXTS, "twin", "twin"], [*range(len(TEXTS)), 99, 99]).repartition(3)
-    placed = training_order.training_order(training_order.sequences(docs, length=16), key=5, per_shard=7)
-    shards = training_order.write_shards(placed, str(tmp_path / "shards"))
-    rows = shards.orderBy("slot").collect()
-    assert [r["slot"] for r in rows] == list(range(len(rows))) and all((r["shard"], r["record"]) == divmod(r["slot"], 7) and len(r["ids"]) == 32 for r in rows)
-    back = {}
+    texts = [*TEXTS, "twin", "twin", "no id at all " * 30]
+    ids = [*range(len(TEXTS)), 99, 99, None]
+    docs = docs_of(spark, texts, ids).repartition(3)
+    path = str(tmp_path / "shards")
+    placed, total = training_order.training_order(training_order.sequences(docs, length=16), key=5, per_shard=7)
+    training_order.write_shards(placed, total, path, 7)
+    rows = training_order.read_shards(spark, path, length=16, per_shard=7).orderBy("slot").collect()
+    assert total == len(rows) and [r["slot"] for r in rows] == list(range(total)) and all((r["shard"], r["record"]) == divmod(r["slot"], 7) and len(r["ids"]) == 32 for r in rows)
+    # The slots are the permutation of the indexes, partition by partition: undone, the ids are those of the documents in a row.
+    back = training_order.Feistel(total, 5)(np.arange(total), back=True)
+    rows = [rows[s] for s in np.argsort(back)]
+    joined = [x for r in rows for x in np.frombuffer(bytes(r["ids"]), "<u2")[: r["n_tokens"]].tolist()]
+    cut, found = 0, Counter()
+    while cut < len(joined):
+        end = joined.index(1, cut) + 1
+        found[tuple(joined[cut:end])] += 1
+        cut = end
+    assert found == Counter(tuple(encoded(t)) for t in texts)
+    by_id = {i: encoded(t) for i, t in zip(ids, texts)}
     for r in rows:
-        back.setdefault(r["doc_id"], []).append((r["piece"], np.frombuffer(bytes(r["ids"]), "<u2")[: r["n_tokens"]].tolist()))
-    for i, t in enumerate(TEXTS):
-        assert sum((x for _, x in sorted(back[i])), []) == encoded(t)
-    assert len(back[99]) == 2
-    assert [r["slot"] for r in training_order.resume(shards, 9, 7).collect()] == list(range(10, len(rows)))
-    assert training_order.training_order(training_order.sequences(docs.limit(0)), key=1).count() == 0
+        own = by_id[r["doc_id"]][r["start"] : r["start"] + r["n_tokens"]]
+        assert own and np.frombuffer(bytes(r["ids"]), "<u2")[: len(own)].tolist() == own
+    assert sum(r["n_tokens"] < 16 for r in rows) <= docs.rdd.getNumPartitions()
+
+
+def test_shards_are_read_by_seeking(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    docs = docs_of(spark, [" ".join(words(200, 1)), None])
+    placed, total = training_order.training_order(training_order.sequences(docs, length=16), key=5, per_shard=7)
+    training_order.write_shards(placed, total, path, 7)
+    rows = {r["slot"]: r for r in training_order.read_shards(spark, path, length=16, per_shard=7).collect()}
+    assert {r["slot"] for r in training_order.read_shards(spark, path, length=16, per_shard=7, after=9).collect()} == set(range(10, total))
+    # A record's place is known without reading what is before it; shards before it may be gone.
+    size = training_order.stride(16)
+    assert [p.stat().st_size for p in sorted((tmp_path / "shards" / "shard=1").glob("part-*"))] == [7 * size]
+    (file,) = (tmp_path / "shards" / "shard=1").glob("part-*")
+    with open(file, "rb") as f:
+        f.seek(3 * size + struct.calcsize(training_order.HEAD))
+        assert f.read(32) == bytes(rows[10]["ids"])
+    (gone,) = (tmp_path / "shards" / "shard=0").glob("part-*")
+    gone.write_bytes(b"broken")
+    assert {r["slot"]: r for r in training_order.read_shards(spark, path, length=16, per_shard=7, after=9).collect()} == {s: r for s, r in rows.items() if s > 9}
+    placed, total = training_order.training_order(training_order.sequences(docs.limit(0)), key=1)
+    training_order.write_shards(placed, total, str(tmp_path / "none"))
+    assert total == 0 and training_order.read_shards(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_packing_keeps_every_id_once(spark):
