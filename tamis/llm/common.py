@@ -23,6 +23,11 @@ def wide_hash(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(0x5BD1E995), text)]
 
 
+def col(*names: str) -> Column:
+    """A column by its exact name, whatever characters that holds; more names lead into its fields."""
+    return F.col(".".join("`" + n.replace("`", "``") + "`" for n in names))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -8,7 +8,7 @@ only for documents that are long enough. The word threshold of a language is a s
 any of its common words has, so that such a text can reach it, with a term for short texts. Base rules count short and
 self-repeating texts. The registered query turns the share off, as its SQL holds one threshold for all languages.
 
-Cases: null and empty texts have no words and fail the base rule; a null language is a language of its own; a language
+Cases: null and empty texts have no words and fail the base rule; a null language counts as the empty one; a language
 with fewer than `min_reference_words` words has no reference, and its documents are judged by the base rule alone;
 repeated rows are judged alike, each by itself; an empty table gives an empty result; other columns pass through.
 """
@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tamis.llm.common import col
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes by UTF-8 byte: lower, upper, digit, blank, newline, sentence marks, symbols, other ASCII, beyond ASCII (counted at the first byte).
@@ -122,7 +125,7 @@ def _count(batches):
 
 def language_references(docs: DataFrame, *, lang: str = "lang", text: str = "text", common: int = COMMON, min_reference_words: int = MIN_REFERENCE_WORDS) -> dict[str, dict]:
     """lang -> {"classes": counts, "words": {word: count}, "other": count}; a few dozen rows for each language reach the driver."""
-    counts = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(_count, "lang string, kind string, key binary, n long")
+    counts = docs.select(F.coalesce(col(lang), F.lit("")).alias("lang"), F.coalesce(col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(_count, "lang string, kind string, key binary, n long")
     counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     # The few most common words of each task's share first, so that no task gets all words of a language.
@@ -182,8 +185,8 @@ def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang"
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", *(c.split()[0] for c in BASE.split(", "))])
 
-    given = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.coalesce(lang, F.lit("")).alias("_lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
-    return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, {BASE}")
+    given = docs.select(F.struct(*map(col, carry or docs.columns)).alias("row"), F.coalesce(col(lang), F.lit("")).alias("_lang"), F.coalesce(col(text), F.lit("")).cast("binary").alias("_text"))
+    return given.mapInArrow(run, StructType([given.schema["row"], *StructType.fromDDL(BASE)]))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
