@@ -1,25 +1,35 @@
 """Operator 10, line dedup over levelled sorted runs of line hashes (built-in functions only).
 
-Every line key is a 128-bit hash. `LineRuns` keeps runs (h1, h2, n_docs, last_doc), each sorted by hash, in levels: a
-batch adds a run to level 0, and `fanout` runs of a level are merged into one run of the next, so a line is rewritten a
-logarithmic number of times. `novel` is the anti-join of a batch with the runs, both sorted by hash. For the corpus
-rule (a key in `min_docs` documents stays only in the largest doc_id), all batches add their runs, and the lines then
-meet the keys that reached the bound. Texts move once, to meet the positions of their dropped lines.
+Every line key is a 128-bit hash. `LineRuns` keeps runs (h1, h2, n_docs, last_doc) in levels, as tables bucketed and
+sorted by hash with one file a bucket, so that Spark merges them without a shuffle or a sort. Each new batch is
+merge-anti-joined with the runs: what none of them has becomes a run of level 0, with its counts; of the other keys the
+batch's counts are kept beside the runs. `fanout` runs of a level are merged into one of the next, so a line is
+rewritten a logarithmic number of times. For the corpus rule (a key in `min_docs` documents stays only in the largest
+doc_id) all lines then meet the keys whose counts, in the runs and beside them, reach the bound. Texts move once, to meet
+the positions of their dropped lines.
 
 Cases: null and empty texts are one empty line; a line whose stripped key is shorter than `min_chars` code points is
-never dropped; a key counts once for a row however often the row repeats it; rows that repeat a doc_id count as
-documents each and are dropped alike, and at the largest doc_id all of them keep the line; rows with a null doc_id
-count but lose nothing; an empty table gives an empty result; extra columns pass through untouched.
+never dropped; a key counts once for a document however often it holds it, and rows that repeat a doc_id are one
+document: they lose a line alike, and at the largest doc_id all of them keep it; rows with a null doc_id count as
+documents each but lose nothing; an empty table gives an empty result; extra columns pass through untouched, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import ASCII_SPACE, ascii_lower, new_path, remove_path, stored, wide_hash
+from tamis.llm.common import ASCII_SPACE, ascii_lower, col, new_path, partitions, remove_path, stored, wide_hash
 
-RUN = "h1 long, h2 long, n_docs long, last_doc long"
+KEY = ["h1", "h2"]
+#: Spark relies on the order of bucketed tables, where each bucket is one file, with this setting only.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def lines_of(text: Column) -> Column:
@@ -30,66 +40,107 @@ def key_of(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED, None)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before) if before is not None else spark.conf.unset(ORDERED)
+
+
 class LineRuns:
-    """Levelled sorted runs under one folder; `fanout` runs of a level become one of the next."""
+    """Levelled sorted runs under one folder of the shared one; `fanout` runs of a level become one of the next."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2):
-        self.spark, self.path, self.fanout, self.levels, self._n = spark, path or new_path(spark, "line-runs"), fanout, [], 0
+        self.spark, self.path, self.fanout, self.buckets = spark, path or new_path(spark, "line-runs"), fanout, partitions(spark)
+        self.levels: list[list[str]] = []
+        self.counts: list[str] = []
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+    def _save(self, keys: DataFrame) -> str:
+        """A bucketed and sorted table. Keys that come hash partitioned into as many parts as there are buckets, or from such
+        tables, make one file a bucket."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        with _in_order(self.spark):
+            keys.write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        return name
 
-    def _write(self, run: DataFrame) -> str:
-        self._n += 1
-        path = f"{self.path}/run-{self._n:06d}"
-        run.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove_path(self.spark, f"{self.path}/{name}")
 
-    def add(self, keys: DataFrame) -> None:
-        """keys: (h1, h2, doc), a row for each key and document, becomes a run of level 0."""
-        self._put(0, self._write(keys.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc").alias("last_doc"))))
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def novel(self, keys: DataFrame) -> DataFrame:
+        """The rows of `keys` whose (h1, h2) is in no run yet."""
+        return reduce(lambda left, run: left.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti"), self.runs(), keys)
 
-    def _put(self, level: int, path: str) -> None:
+    def add(self, keys: DataFrame) -> None:
+        """keys: (h1, h2, doc), a row for each key and document. New keys become a run of level 0; the counts of the others
+        stay beside the runs."""
+        batch = self._save(keys.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc")))
+        if not self.runs():
+            self._put(0, batch)
+            return
+        run = self._save(self.novel(self.spark.table(batch)))
+        self.counts.append(self._save(self.spark.table(batch).join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")))
+        self._drop(batch)
+        self._put(0, run)
+
+    def _put(self, level: int, name: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = self._write(self._read(full))
+            # Runs have no key in common, so the merge of two is a full outer merge join of their buckets.
+            merged = self._save(reduce(self._merge, map(self.spark.table, full)))
             for old in full:
-                remove_path(self.spark, old)
+                self._drop(old)
             self._put(level + 1, merged)
 
-    def novel(self, keys: DataFrame) -> DataFrame:
-        """The rows of `keys` whose (h1, h2) is in no run yet."""
-        for path in (p for level in self.levels for p in level):
-            keys = keys.join(self._read([path]).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return keys
+    @staticmethod
+    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.select(*KEY, F.col("n_docs").alias("_n"), F.col("last_doc").alias("_l")).hint("merge"), KEY, "full_outer").select(*KEY, F.coalesce("n_docs", "_n").alias("n_docs"), F.coalesce("last_doc", "_l").alias("last_doc"))
 
     def merged(self) -> DataFrame:
-        """One row per key over all levels."""
-        return self._read([p for level in self.levels for p in level]).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        """One row per key with its counts over all batches. The files are read as plain ones: a union of bucketed tables
+        counts as bucketed in Spark 4.1, even where it reads them unbucketed, and then groups wrongly."""
+        paths = [f"{self.path}/{name}" for name in (*self.runs(), *self.counts)]
+        rows = self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(*paths)
+        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def drop(self) -> None:
+        for name in (*self.runs(), *self.counts):
+            self._drop(name)
+        self.levels, self.counts = [], []
 
 
 def dedup_lines(docs: DataFrame, *, carry: list[str] | None = None, doc: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
     """(row, text, n_lines, n_dropped): each document's `carry` columns (by default all but the text) as struct `row`, and
     its text without dropped lines."""
-    hashed = F.transform(lines_of(F.col(text)), lambda line: _hash_of(key_of(line), min_chars))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), hashed.alias("ks"))
-    rows = rows.select("uid", "doc", "text_hash", F.posexplode("ks").alias("at", "k"))
-    keys = stored(rows.filter("k is not null").select("uid", "doc", "text_hash", "at", "k.h1", "k.h2"), "line-keys")
-
-    runs = LineRuns(docs.sparkSession, fanout=fanout)
+    spark = docs.sparkSession
+    id_ = col(doc).cast("long")
+    hashed = F.transform(lines_of(col(text)), lambda line: _hash_of(key_of(line), min_chars))
+    # Rows of one id are one document; those without id are documents each.
+    rows = docs.select(F.when(id_.isNull(), F.monotonically_increasing_id()).alias("uid"), id_.alias("doc"), F.xxhash64(col(text)).alias("text_hash"), F.pmod(F.xxhash64(id_), F.lit(batches)).cast("int").alias("batch"), F.posexplode(hashed).alias("at", "k"))
+    path = new_path(spark, "line-keys")
+    rows.filter("k is not null").select("uid", "doc", "text_hash", "at", "k.h1", "k.h2", "batch").write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    keys = spark.read.schema("uid long, doc long, text_hash long, at int, h1 long, h2 long, batch int").parquet(path)
+
+    runs = LineRuns(spark, fanout=fanout)
     for batch in range(batches):
-        of_batch = F.pmod(F.xxhash64("doc"), F.lit(batches)) == batch
-        runs.add(keys.filter(of_batch).select("uid", "doc", "h1", "h2").distinct())
+        runs.add(keys.filter(F.col("batch") == batch).select("uid", "doc", *KEY).distinct())
     # Stored, so that the join below has plain shuffles on both sides and a line of very many documents can be split.
-    frequent = stored(runs.merged().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "frequent-lines")
+    frequent = stored(runs.merged().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "frequent-lines")
+    runs.drop()
 
-    dropped = keys.join(frequent, ["h1", "h2"]).filter(F.col("doc") < F.col("last_doc"))
+    dropped = keys.join(frequent, KEY).filter(F.col("doc") < F.col("last_doc"))
     dropped = dropped.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("at")).alias("drop"))
     carry = carry or [c for c in docs.columns if c != text] or [doc]
-    held = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text"), F.col(doc).cast("long").alias("_d"), F.xxhash64(text).alias("_h"))
+    held = docs.select(F.struct(*map(col, carry)).alias("row"), col(text).alias("text"), id_.alias("_d"), F.xxhash64(col(text)).alias("_h"))
     met = held.join(dropped.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left")
     lines = lines_of(F.col("text"))
     # The runs of lines between two dropped ones, by the sorted positions: linear in the number of lines.
