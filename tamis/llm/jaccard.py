@@ -2,11 +2,12 @@
 
 Texts become sets of word shingles. Texts of the same words are one class from the start (the same shingles), counted,
 never paired. Each class gets a MinHash signature whose bands and rows are chosen for the target recall; classes that
-share a band are candidates, tied to the least class of the bucket (a row for each member, not for each pair). The
-components of these ties are verified on full shingle sets: a component is split into blocks of about `block` classes,
-and every pair of blocks is one group of rows whose similarities are one matrix product. So a task holds two blocks at
-most however large a component is, pairs exist as matrix cells only, and no candidate is left out. Classes whose
-similarity reaches the threshold are linked; linked classes form a group.
+share a band are a bucket of candidates, tied to the least class of the bucket (a row for each member, not for each
+pair). A class's home is the least of these over its buckets; homes of many classes are split into blocks of about
+`block`. Two blocks are compared, once, where some bucket has members in both: a group of rows holds the full shingle
+sets of two blocks, whose similarities are one matrix product. So a task holds two blocks at most however large a bucket
+is, pairs exist as matrix cells only, no candidate is left out, and a chain of buckets costs what its buckets cost, not
+the square of its length. Classes whose similarity reaches the threshold are linked; linked classes form a group.
 
 Cases: null, empty and word-less texts have no shingles and stay alone, without links; a text of 1 to `k`-1 words is one
 shingle of all its words; repeated rows and repeated ids are rows of the same class; a null doc_id takes part and keeps
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import partitions, stored
+from tamis.llm.common import col, partitions, stored
 from tamis.operators.components import components
 
 #: ASCII letters and digits and all beyond ASCII are word characters; A-Z count as a-z.
@@ -92,7 +93,7 @@ def _signer(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
-    """Members of candidate components with their distinct shingles, as bytes."""
+    """Candidate classes with their distinct shingles, as bytes."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -106,7 +107,7 @@ def _sets(k: int):
                 if good[-1]:
                     had.add(node)
                 sets.append(np.unique(shingles(words, k)).tobytes())
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "blocks", "node", "copies")), pa.array(sets, pa.binary())], ["component", "blocks", "node", "copies", "set"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("home", "own", "node", "copies")), pa.array(sets, pa.binary())], ["home", "own", "node", "copies", "set"])
             yield out.filter(pa.array(good, pa.bool_()))
 
     return run
@@ -137,6 +138,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+#: Two blocks that are compared.
+PAIR = ["home_a", "own_a", "home_b", "own_b"]
+
+
 def _verifier(threshold: float):
     def group(rows: list[tuple]) -> tuple[list, list]:
         """rows (side, node, copies, set) of one pair of blocks -> ([node, links], [node, node])."""
@@ -176,7 +181,7 @@ def _verifier(threshold: float):
         pack = lambda counts, ties: pa.RecordBatch.from_arrays([pa.array([*(c[0] for c in counts), *(t[0] for t in ties)], pa.binary()), pa.array([*(c[1] for c in counts), *([None] * len(ties))], pa.int64()), pa.array([*([None] * len(counts)), *(t[1] for t in ties)], pa.binary())], names)
         key, rows = None, []
         for batch in batches:
-            keys = zip(batch.column("component").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist())
+            keys = zip(*(batch.column(c).to_pylist() for c in PAIR))
             for k, *r in zip(keys, *(batch.column(c).to_pylist() for c in ("side", "node", "copies", "set"))):
                 if k != key and rows:
                     yield pack(*group(rows))
@@ -191,7 +196,7 @@ def _verifier(threshold: float):
 
 def row_key(doc: str, text: str) -> Column:
     """Tells rows of one id by their texts."""
-    return F.xxhash64(doc, text)
+    return F.xxhash64(col(doc), col(text))
 
 
 def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 256, with_rows: bool = False) -> DataFrame:
@@ -201,7 +206,7 @@ def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k:
     with_rows: and `key`, the row's `row_key`, and `first`, whether the row has its group's least (doc_id, key); rows
     without words are the first of their own, those without an id are never the first of a group."""
     bands, rows = bands_for(threshold, recall)
-    given = docs.select(F.col(doc).cast("long").alias("doc"), row_key(doc, text).alias("key"), F.col(text).cast("string").cast("binary").alias("text"))
+    given = docs.select(col(doc).cast("long").alias("doc"), row_key(doc, text).alias("key"), col(text).cast("string").cast("binary").alias("text"))
     signed = stored(given.mapInArrow(_signer(k, bands, rows), "doc long, key long, node binary, bands array<long>"), "signatures")
     # One row per class of equal words. Copies have equal bands, so any of them will do; the key leads back to one text.
     classes = signed.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.first("bands").alias("bands"))
@@ -210,18 +215,26 @@ def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k:
     cells = classes.select("node", F.posexplode("bands").alias("band", "h"))
     # Stored, so that the join has plain shuffles on both sides and a bucket of very many classes can be split.
     buckets = stored(cells.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    ties = cells.join(buckets, ["band", "h"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    found = components(ties)
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    members = found.join(sizes, "component").select("node", "component", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    members = members.join(classes.select("node", "copies", "key"), "node").dropDuplicates(["node"])
-
-    texts = given.select("key", "text").join(members.hint("shuffle_hash"), "key")
-    sets = texts.select("component", "blocks", "node", "copies", "text").mapInArrow(_sets(k), "component binary, blocks int, node binary, copies long, set binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "node", "copies", "set")
-    dealt = dealt.repartition(4 * partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "node")
+    ties = stored(cells.join(buckets, ["band", "h"]).select("node", "band", "h", "hub"), "ties")
+    homes = stored(ties.groupBy("node").agg(F.min("hub").alias("home")), "homes")
+    # Few homes are larger than a block; only these are split.
+    sizes = homes.groupBy("home").agg(F.count("*").alias("size")).filter(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    members = homes.join(stored(sizes.select("home", "blocks"), "sizes"), "home", "left")
+    members = stored(members.select("node", "home", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)).alias("own")), "members")
+
+    # The blocks that a bucket has members in; most have one.
+    met = stored(ties.select("node", "band", "h").join(members, "node").select("band", "h", "home", "own").distinct(), "met")
+    a, b = (met.select("band", "h", F.col("home").alias(f"home_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
+    pairs = a.join(b, ["band", "h"]).filter(F.struct("home_a", "own_a") <= F.struct("home_b", "own_b")).select(*PAIR).distinct()
+    pairs = stored(pairs, "block-pairs")
+
+    texts = given.select("key", "text").join(members.join(classes.select("node", "copies", "key"), "node").hint("shuffle_hash"), "key")
+    sets = stored(texts.select("home", "own", "node", "copies", "text").mapInArrow(_sets(k), "home binary, own int, node binary, copies long, set binary"), "sets")
+    sides = pairs.select(F.col("home_a").alias("home"), F.col("own_a").alias("own"), F.lit(0).alias("side"), *PAIR)
+    other = F.struct("home_a", "own_a") != F.struct("home_b", "own_b")
+    sides = sides.union(pairs.filter(other).select("home_b", "own_b", F.lit(1), *PAIR))
+    dealt = sets.join(sides, ["home", "own"]).select(*PAIR, "side", "node", "copies", "set")
+    dealt = dealt.repartition(4 * partitions(docs.sparkSession), *PAIR).sortWithinPartitions(*PAIR, "side", "node")
     verified = stored(dealt.mapInArrow(_verifier(threshold), "node binary, links long, other binary"), "links")
 
     links = verified.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
