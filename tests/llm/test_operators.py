@@ -59,7 +59,7 @@ def test_decontamination_is_brute_force(spark, most):
     items = [(1, " ".join(a)), (2, "Two WORDS"), (3, None), (10, " ".join(a[5:30])), (None, "never seen anywhere at all")]
     texts = [" ".join(b[:5] + a[3:20] + b[5:]), "TWO, words!", "two other words", " ".join(a[:9]), " ".join(a).upper(), *ODD]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.scan(docs_of(spark, texts), bench, max_broadcast_windows=most).collect()
+    found = decontaminate.scan(docs_of(spark, texts), bench, max_broadcast_bytes=most).collect()
     got = {r["row"]["doc_id"]: (r["n_words"], list(r["hits"]), list(r["items"])) for r in found}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
 
@@ -72,10 +72,39 @@ def test_decontamination_removes_spans_or_documents(spark):
     assert spans == {(5, "Keep, this. And (this)!"), (6, "clean"), (7, None)}
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [6, 6, 7]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, bench, max_broadcast_bytes=0).collect()) == [6, 6, 7]
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 4
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+NAMES = ["x.y", "my col", "a-b", "row", "words", "at", "key", "gram", "items", "own", "hits", "uid", "lines", "drop", "node", "home", "first", "n", "slot", "shard", "label"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    texts = ["some words of a text that is kept here\nand a line", None, "x " * 40]
+    docs = docs_of(spark, texts).select("*", *(F.lit(i).alias(c) for i, c in enumerate(NAMES)))
+    bench = spark.createDataFrame([(1, "never seen")], "item_id long, text string")
+    whole = sorted(map(repr, docs.collect()))
+    for remove in ("documents", "spans"):
+        left = decontaminate.decontaminate(docs, bench, remove=remove)
+        assert left.columns == docs.columns and sorted(map(repr, left.collect())) == whole
+    some = [c for c in docs.columns if c != "text"]
+    assert [r["row"]["x.y"] for r in decontaminate.scan(docs, bench, carry=some).collect()] == [0] * 3
+    for found in (quality.judge(docs), line_dedup.dedup_lines(docs)):
+        assert {(r["row"]["x.y"], r["row"]["my col"], r["row"]["row"]) for r in found.collect()} == {(0, 1, 3)}
+    assert jaccard.jaccard_join(docs).count() == suffix_dedup.dedup_passages(docs).count() == toxicity.score_documents(docs, toxicity.SentenceModel.fit([], [])).count() == 3
+    assert token_counts.count_tokens(docs).count() == packing.pack(docs).count() == 3 and training_order.sequences(docs).count() > 0
+    turns = spark.createDataFrame([(1, 0, "ana", "hi")], "conv_id long, turn long, role string, text string").select("*", *(F.lit(i).alias(c) for i, c in enumerate(NAMES)))
+    assert chat.rotate(turns).count() == 1
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    long = " ".join(words(400_000, 1)) + " one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, "One, two three four five six seven eight nine TEN!")], "item_id long, text string")
+    (r,) = decontaminate.scan(docs_of(spark, [long]), bench).collect()
+    assert (r["n_words"], list(r["hits"])) == (400_010, list(range(400_000, 400_010)))
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -461,7 +490,8 @@ def brute_lines(rows, min_chars=20, min_docs=3):
     holders = {}
     for n, (i, lines) in enumerate(split):
         for k in {key(x) for x in lines if len(key(x)) >= min_chars}:
-            holders.setdefault(k, []).append(i)
+            holders.setdefault(k, {})[("row", n) if i is None else i] = i
+    holders = {k: list(v.values()) for k, v in holders.items()}
     last = {k: max((i for i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= min_docs}
     out = []
     for i, lines in split:
@@ -482,14 +512,36 @@ def test_line_dedup_is_brute_force(spark, batches):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = "a line that is long enough to count"
+    for ids, gone in (([1, 1, 2], 0), ([1, 1, 2, 3], 3)):
+        found = line_dedup.dedup_lines(docs_of(spark, [f"{line}\n{i}" for i in range(len(ids))], ids)).collect()
+        assert sum(r["n_dropped"] for r in found) == gone and sum(r["n_dropped"] for r in found if r["row"]["doc_id"] == max(ids)) == 0
+
+
 def test_line_runs_merge_geometrically(spark, tmp_path):
     runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"))
     for n in range(5):
         batch = spark.range(n, n + 4).select(F.col("id").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(n).cast("long").alias("doc"))
         assert sorted(r["h1"] for r in runs.novel(batch).collect()) == (list(range(4)) if n == 0 else [n + 3])
         runs.add(batch)
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and len(runs.counts) == 4
+    own = [r["h1"] for name in runs.runs() for r in spark.table(name).collect()]
+    assert sorted(own) == list(range(8))
     assert {r["h1"]: (r["n_docs"], r["last_doc"]) for r in runs.merged().collect()}[3] == (4, 3)
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_line_runs_are_merged_without_shuffle_or_sort(spark, tmp_path):
+    runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"))
+    batch = lambda a, b: spark.range(a, b).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("doc")).repartition(3)
+    runs.add(batch(0, 500))
+    name = runs._save(batch(400, 900).groupBy(*line_dedup.KEY).count())
+    with line_dedup._in_order(spark):
+        plan = runs.novel(spark.table(name))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+    runs.drop()
 
 
 def test_hashes_of_kept_text(spark):
