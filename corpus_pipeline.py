@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import new_path
+from tamis.llm.common import col, new_path, stored
 from tamis.llm.decontaminate import decontaminate
 from tamis.llm.jaccard import jaccard_join, row_key
 from tamis.llm.line_dedup import dedup_lines
@@ -20,14 +20,17 @@ from tamis.llm.quality import judge
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge(docs).filter("kept").select("row.*")
+    kept = judge(docs).filter("kept")
+    return kept.select(*(col("row", c) for c in docs.columns)).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that many documents share; those of which no line is left have an empty text."""
+    """Documents without lines that many documents share. Those that lost lines and have no word left go; others stay, those
+    that were empty before too."""
     cleaned = dedup_lines(docs)
+    cleaned = cleaned.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     columns = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return cleaned.select(*(columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return cleaned.select(*(columns[c] if c in columns else col("row", c) for c in docs.columns)).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeat an id and are copies of each other one stays.
     """
     groups = jaccard_join(docs, with_rows=True)
-    gone = groups.filter("doc_id is not null and not first").select("doc_id", F.col("key").alias("_row_key")).distinct()
-    left = docs.withColumn("_row_key", row_key("doc_id", "text")).join(gone, ["doc_id", "_row_key"], "left_anti").select(docs.columns)
-    return left if _unique(docs) else left.dropDuplicates(["doc_id", "text"])
-
-
-def _unique(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    rows = groups.filter("doc_id is not null").groupBy("doc_id", F.col("key").alias("_key")).agg(F.count("*").alias("n"), F.max("first").alias("first"))
+    rows = stored(rows.filter("n > 1 or not first"), "copies")
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    once = keyed.join(rows.select("doc_id", "_key"), ["doc_id", "_key"], "left_anti")
+    # Rows that repeat an id and text, of which one stays.
+    several = keyed.join(rows.filter("first").select("doc_id", "_key"), ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    return once.select(*map(col, docs.columns)).union(several.select(*map(col, docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
