@@ -134,11 +134,41 @@ def training_order(rows: DataFrame, *, key: int, per_shard: int = PER_SHARD) ->
     return placed.withColumn("shard", F.floor(F.col("slot") / per_shard)), before[-1]
 
 
+def _squeezed(batches):
+    """The records that a batch has for a shard, as one compressed block."""
+    from zstandard import ZstdCompressor
+
+    squeeze = ZstdCompressor(level=3).compress
+    for batch in batches:
+        shard, slot = (batch.column(c).to_numpy() for c in ("shard", "slot"))
+        order = np.argsort(shard, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []
+        data = batch.column("data").to_pylist()
+        blocks = [squeeze(len(g).to_bytes(4, "little") + slot[g].tobytes() + b"".join([data[i] for i in g.tolist()])) for g in groups]
+        yield pa.RecordBatch.from_arrays([pa.array([shard[g[0]] for g in groups], pa.int64()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+
+def _spread(batches):
+    from zstandard import ZstdDecompressor
+
+    unpack = ZstdDecompressor().decompress
+    for batch in batches:
+        for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist()):
+            block = unpack(block)
+            n = int.from_bytes(block[:4], "little")
+            size = (len(block) - 4) // n - 8
+            data = [block[at : at + size] for at in range(4 + 8 * n, len(block), size)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(np.frombuffer(block, np.int64, n, 4)), pa.array(data, pa.binary())], ["shard", "slot", "data"])
+
+
 def write_shards(placed: DataFrame, total: int, path: str, per_shard: int = PER_SHARD) -> None:
-    """Writes a folder shard=N for each shard with one file of records in order of slot. The text source writes bytes as
-    they are and ends each record with a line feed; Spark commits whole tasks only."""
+    """Writes a folder shard=N for each shard with one file of records in order of slot. What a batch has for a shard goes
+    through the shuffle as one compressed block. The text source writes bytes as they are and ends each record with a
+    line feed; Spark commits whole tasks only."""
     shards = max(1, -(-total // per_shard))
-    ordered = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+    blocks = placed.select("shard", "slot", "data").mapInArrow(_squeezed, "shard long, block binary")
+    dealt = blocks.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(_spread, "shard long, slot long, data binary")
+    ordered = dealt.sortWithinPartitions("shard", "slot")
     ordered.select("shard", F.col("data").cast("string").alias("record")).write.partitionBy("shard").text(path)
 
 
