@@ -205,17 +205,31 @@ def brute_passages(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize("batches, max_blocks", [(1, 20_000), (3, 1), (4, 2)])
-def test_passage_removal_is_brute_force(spark, batches, max_blocks):
+@pytest.mark.parametrize("width, batches, max_blocks, slab", [(50, 1, 20_000, 1 << 21), (50, 4, 1, 400), (28, 3, 2, 1 << 21), (200, 2, 20_000, 700), (121, 4, 2, 1 << 21)])
+def test_passage_removal_is_brute_force(spark, monkeypatch, width, batches, max_blocks, slab):
+    monkeypatch.setattr(suffix_dedup, "SLAB", slab)
+    monkeypatch.setattr(suffix_dedup, "RANGE", 300)
     p, q = " ".join(words(14, 1)), " ".join(words(9, 2))
     t = [f"{' '.join(words(20, 100 + i))} {p if i % 2 else q[i:]} {' '.join(words(8, 200 + i))}{p[i:] if i % 3 else ''}" for i in range(12)]
-    t += [t[3], t[3][:200], "a" * 130, "b" + "a" * 60, "a" * 49, p + p, "é" * 60, "xé" * 40 + "é" * 40, *ODD]
+    long = " ".join(words(60, 9))
+    t += [t[3], t[3][:200], "a" * 130, "b" + "a" * 60, "a" * 49, p + p, "é" * 60, "xé" * 40 + "é" * 40, long, long[:110] + "#" + long[111:], long * 3, *ODD]
     ids = [*range(100, 100 - len(t) + 2, -1), None, 77]
-    expected = sorted(map(repr, brute_passages(list(zip(ids, t)))))
-    found = suffix_dedup.dedup_passages(docs_of(spark, t, ids), batches=batches, buckets=3, max_blocks=max_blocks).collect()
+    # Rows of one id are parts of one document.
+    t, ids = [*t, long[20:300], t[3][30:], "no"], [*ids, 90, 90, 90]
+    expected = sorted(map(repr, brute_passages(list(zip(ids, t)), width)))
+    found = suffix_dedup.dedup_passages(docs_of(spark, t, ids), width=width, batches=batches, max_blocks=max_blocks).collect()
     assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in found) == expected
 
 
+def test_a_changed_byte_in_a_long_text_stays(spark):
+    text = " ".join(words(60, 1))[:400]
+    other = text[:110] + "#" + text[111:]
+    found = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_passages(docs_of(spark, [text, other]), width=200).collect()}
+    assert found == {0: 0, 1: 289}
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup_passages(docs_of(spark, [text]), width=27)
+
+
 @pytest.mark.parametrize("width", [28, 47, 50, 64, 121])
 def test_block_hashes_cover_the_block(width):
     rng, seen = np.random.default_rng(width), 0
@@ -223,14 +237,24 @@ def test_block_hashes_cover_the_block(width):
         x = rng.integers(97, 123, 2 * width - 20, np.uint8)
         y = x.copy()
         y[rng.integers(0, len(y))] ^= 1
-        first, second = ({tuple(e[1:4]): e[5] for e in zip(*suffix_dedup.anchors(d, np.array([0]), width))} for d in (x, y))
-        for a, b, at in first.keys() & second.keys():
+        found = []
+        for d in (x, y):
+            _, a, b, at = suffix_dedup.anchors(d, np.array([0]), width)
+            found.append(dict(zip(zip(a, b, at), suffix_dedup.block_hashes(d, at, a, b, width)[1])))
+        for a, b, at in found[0].keys() & found[1].keys():
             same = bytes(x[a : b + width]) == bytes(y[a : b + width])
-            assert (first[a, b, at] == second[a, b, at]) == same
+            assert (found[0][a, b, at] == found[1][a, b, at]) == same
             seen += not same
     assert seen
 
 
+def test_suffix_arrays_are_in_text_order():
+    data = "".join(words(300, 5)).encode()
+    _, _, _, at = suffix_dedup.anchors(np.frombuffer(data, np.uint8), np.array([0]), 50)
+    key = suffix_dedup._order_key(np.frombuffer(data, np.uint8), at)
+    assert [data[i : i + 20] for i in at[np.lexsort(key[::-1])]] == sorted(data[i : i + 20] for i in at)
+
+
 def test_passage_removal_of_nothing(spark):
     assert suffix_dedup.dedup_passages(docs_of(spark, [])).count() == 0
 
@@ -238,7 +262,7 @@ def test_passage_removal_of_nothing(spark):
 def test_texts_longer_than_a_slab(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLAB", 128)
     data = "".join(words(300, 5)).encode()
-    whole = [(i, a, b) for i, d, s, o in suffix_dedup._slabs([1], [data], 50) for _, a, b, *_ in zip(*suffix_dedup.anchors(d, s, 50)) for a, b in [(a + o[0], b + o[0])]]
+    whole = [(i, a, b) for i, d, s, o in suffix_dedup._slabs([1], [data], 50) for _, a, b, _ in zip(*suffix_dedup.anchors(d, s, 50)) for a, b in [(a + o[0], b + o[0])]]
     assert sorted(x for _, a, b in whole for x in range(a, b + 1)) == list(range(len(data) - 49))
 
 
