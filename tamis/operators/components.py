@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one is set where it is unset (a local session)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session gets a temporary one; on a cluster the
+    executors would each have their own, so it must be set there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tamis-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/edges-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str = "edges") -> DataFrame:
+    """The rows written to a table in the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -27,7 +31,7 @@ def _stored(df: DataFrame) -> DataFrame:
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, least): least is the smallest of u and all its neighbours: a partial aggregate and a join. The aggregate is
     stored, so that the join has plain shuffles on both sides and Spark can split a hub's rows."""
-    least = _stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")))
+    least = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")))
     return edges.join(least, "u")
 
 
@@ -37,7 +41,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Nodes are those of some edge between different nodes. Every round writes its edges to the shared folder, so an
     executor's loss costs one round at most.
     """
-    now = _stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -50,7 +54,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # Small star: a node and its smaller neighbours are tied to the least of them.
         met = _with_least(large)
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        now = _stored(small)
+        now = stored(small)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

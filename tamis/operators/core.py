@@ -7,11 +7,12 @@ how rows are dealt out.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.operators.components import components
+from tamis.operators.components import components, stored
 
 # --- gates ------------------------------------------------------------------------------------------------------------
 
@@ -60,36 +61,57 @@ def quota(rest: int, of_class: int, share: float, least: int) -> int:
     return min(of_class, max(least, math.ceil(rest * share / max(0.01, 1 - share))))
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """The place of every row in the order, from 1, without a task that sees all rows: rows are range partitioned and sorted,
+    numbered within their partition and stored, and each partition's count (one number each) gives the next its start.
+    Give a total order, so that ranks don't depend on how rows are dealt out."""
+    spark = df.sparkSession
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(ordered.withColumn("_uid", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_uid", 33)
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before = [0, *accumulate(n for _, n in counts)]
+    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "_p long, _b long")
+    return rows.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, F.col("_b") + F.col("_uid").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_b", "_uid")
+
+
 def limit_share(df: DataFrame, in_class: Column, order: list[Column], share: float, least: int) -> DataFrame:
     """WIN-3: the first rows of a class up to its quota, and all others.
 
-    The quota is made of two counts; the class's first rows come from a distributed top-n.
+    The quota is made of two counts; the class's first rows are those of the lowest ranks.
     """
     n = df.agg(F.count_if(in_class).alias("c"), F.count_if(~in_class).alias("r")).first()
     allowed = quota(n["r"], n["c"], share, least)
     if allowed >= n["c"]:
         return df
-    kept = df.filter(in_class).orderBy(*order).limit(allowed)
+    kept = ranked(df.filter(in_class), order, "_rank").filter(F.col("_rank") <= allowed).drop("_rank")
     return df.filter(~in_class).unionByName(kept)
 
 
 def round_robin(df: DataFrame, bucket: str, bucket_rank: Column, order: list[Column], *, offset: int = 0, limit: int | None = None) -> DataFrame:
     """WIN-1, WIN-2: one row of each bucket in turn; each bucket starts `offset` rows in, around its end.
 
-    Keys must be distinct beforehand. Adds `turn`.
+    Keys must be distinct beforehand. Adds `turn`. With a limit, no bucket needs more than its first offset + limit rows,
+    which are cut off before they are shuffled; without one, places in the buckets come from `ranked`. A null bucket is one.
     """
-    n = F.count("*").over(Window.partitionBy(bucket))
-    at = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
-    out = df.withColumns({"_n": n, "_at": at}).withColumn("turn", F.pmod(F.col("_at") - offset, F.col("_n")))
+    sizes = df.groupBy(F.col(bucket).alias("_bucket")).agg(F.count("*").alias("_n"))
+    if limit is not None:
+        at = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
+        placed = df.withColumn("_rn", at).filter(F.col("_rn") <= offset + limit).withColumn("_at", F.col("_rn") - 1).drop("_rn")
+    else:
+        starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_bucket"))) - F.col("_n")).select("_bucket", "_start")
+        placed = ranked(df, [F.asc_nulls_first(bucket), *order], "_rank").join(F.broadcast(starts), F.col(bucket).eqNullSafe(F.col("_bucket"))).withColumn("_at", F.col("_rank") - 1 - F.col("_start")).drop("_rank", "_bucket", "_start")
+    out = placed.join(F.broadcast(sizes), F.col(bucket).eqNullSafe(F.col("_bucket"))).withColumn("turn", F.pmod(F.col("_at") - offset, F.col("_n")))
     out = out.withColumn("_rank", bucket_rank).orderBy("turn", "_rank", bucket)
-    return (out.limit(limit) if limit is not None else out).drop("_n", "_at", "_rank")
+    return (out.limit(limit) if limit is not None else out).drop("_n", "_at", "_rank", "_bucket")
 
 
 def diversify(df: DataFrame, platform: str, platform_rank: Column, order: list[Column], limit: int, cap: Column | None = None) -> DataFrame:
-    """WIN-4: platforms take turns up to a cap each, then what is left follows in its order."""
+    """WIN-4: platforms take turns up to a cap each, then what is left follows in its order. No platform needs more than its
+    first `limit` rows, which are cut off before they are shuffled."""
     cap = cap if cap is not None else F.lit(max(2, math.ceil(limit / 3)))
     rn = F.row_number().over(Window.partitionBy(platform).orderBy(*order))
-    out = df.withColumns({"_rn": rn, "_rank": platform_rank}).withColumn("_late", (F.col("_rn") > cap).cast("int"))
+    out = df.withColumn("_rn", rn).filter(F.col("_rn") <= limit).withColumn("_rank", platform_rank).withColumn("_late", (F.col("_rn") > cap).cast("int"))
     out = out.orderBy("_late", F.when(F.col("_late") == 0, F.col("_rn")), F.when(F.col("_late") == 0, F.col("_rank")), *order)
     return out.limit(limit).drop("_rn", "_rank", "_late")
 
@@ -100,10 +122,17 @@ def newest(df: DataFrame, partition: list[str], at: list[Column], most: int) ->
     return df.withColumn("_rn", rn).filter(F.col("_rn") <= most).drop("_rn")
 
 
-def prune(df: DataFrame, doomed: Column, order: list[Column], most: int) -> DataFrame:
-    """WIN-8: rows without the first `most` doomed ones."""
-    gone = df.filter(F.coalesce(doomed, F.lit(False))).orderBy(*order).limit(most)
-    return df.exceptAll(gone)
+def prune(df: DataFrame, doomed: Column, order: list[Column], most: int, key: str = "id") -> DataFrame:
+    """WIN-8: rows without the first `most` doomed ones, by their key."""
+    gone = df.filter(F.coalesce(doomed, F.lit(False))).orderBy(*order).limit(most).select(key)
+    return df.join(gone, key, "left_anti")
+
+
+def dead_letters(failed: DataFrame, key: list[str], error: Column, most: int = 8) -> DataFrame:
+    """STM-8, SUP-9: failed attempts -> a row per piece of work with its number of attempts, its largest error as `last` and
+    whether it failed `most` times and is given up (`dead`)."""
+    out = failed.groupBy(*key).agg(F.count("*").alias("attempts"), F.max(error).alias("last"))
+    return out.withColumn("dead", F.col("attempts") >= most)
 
 
 def interleave(families: DataFrame, family: str, text: str, family_rank: Column, regions: list[str]) -> DataFrame:
@@ -154,11 +183,16 @@ def merge_entities(df: DataFrame, key: str, order: list[Column], *, best: list[s
     rank = F.struct(F.coalesce(F.col(by), F.lit(0)).alias("s"), (-F.col("_ord")).alias("o"))
     numbered = df.withColumn("_ord", order[0])
     aggs = [F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in best]
-    aggs += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in union]
     aggs += [F.max(c).alias(c) for c in most]
     aggs += [F.min(first_seen).alias(first_seen)] if first_seen else []
     aggs += [F.max(last_seen).alias(last_seen)] if last_seen else []
-    return numbered.groupBy(key).agg(*aggs, F.count("*").alias("n_rows"))
+    out = numbered.groupBy(key).agg(*aggs, F.count("*").alias("n_rows"))
+    # Values are made distinct before they meet, so that an entity of very many rows holds its distinct values only.
+    for c in union:
+        values = df.select(F.col(key).alias("_key"), F.explode(c).alias("_v")).distinct().groupBy("_key").agg(F.array_sort(F.collect_list("_v")).alias(c))
+        empty = F.array().cast(df.schema[c].dataType)
+        out = out.join(values, out[key].eqNullSafe(values["_key"]), "left").drop("_key").withColumn(c, F.coalesce(c, empty))
+    return out
 
 
 def upsert(current: DataFrame, incoming: DataFrame, *, key: str, run_id: str | None, now: Column, ord_: str = "ord") -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tamis.operators.core import upsert
-from tamis.sources.sinks import replace_table
+from tamis.sources.sinks import read_table, replace_table
 
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
@@ -22,17 +23,47 @@ def windowed_counts(stream: DataFrame, at: str, by: list[str], width: str, late:
     return stream.withWatermark(at, late).groupBy(F.window(at, width).alias("window"), *by).agg(F.count("*").alias("n"))
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, *, key: str, now: Callable[[], Column], empty: DataFrame) -> StreamingQuery:
-    """STM-2: every micro-batch is merged into the table by key and the batch's number as run id; the table is replaced as
-    a whole, so a batch that runs again after a failure finds either the state before it or its own result, which merging
-    again doesn't change."""
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, *, key: str, now: Callable[[], Column], empty: DataFrame, buckets: int = 16) -> StreamingQuery:
+    """STM-2: every micro-batch is merged into the table by key, with the batch's number as run id. The table has a versioned
+    folder for each bucket of keys, of which a batch rewrites those that it touches; a batch that runs again after a
+    failure finds in each bucket the state before it or its own result, which merging again doesn't change."""
 
     def merge(batch: DataFrame, n: int) -> None:
         spark: SparkSession = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(table)
-        there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-        current = spark.read.parquet(table) if there else empty
-        merged = upsert(current, batch, key=key, run_id=f"batch-{n}", now=now()).drop("change")
-        replace_table(merged, table)
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        # At most `buckets` numbers.
+        for b in sorted(r[0] for r in dealt.select("_bucket").distinct().collect()):
+            at = f"{table}/bucket={b}"
+            current = read_table(spark, at)
+            merged = upsert(empty if current is None else current, dealt.filter(F.col("_bucket") == b).drop("_bucket"), key=key, run_id=f"batch-{n}", now=now())
+            replace_table(merged.drop("change"), at)
+        dealt.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_upserted(spark: SparkSession, table: str, buckets: int = 16) -> DataFrame | None:
+    """The table that `upsert_stream` keeps; null before its first batch."""
+    parts = [p for b in range(buckets) if (p := read_table(spark, f"{table}/bucket={b}")) is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def cooled_down(now: Column, done: Column, hours: float) -> Column:
+    """STM-5: whether the hours since the last work have passed; what was never done has."""
+    return done.isNull() | ((F.unix_micros(now) - F.unix_micros(done)) >= F.lit(int(hours * 3_600_000_000)))
+
+
+def stale(status: DataFrame, now: Column, at: str, minutes: float = 15) -> DataFrame:
+    """STM-6: workers whose last sign of life is too old, or that never gave one, with its age in minutes."""
+    age = (F.unix_micros(now) - F.unix_micros(at)) / 6e7
+    return status.withColumn("age_minutes", age).filter(F.col("age_minutes").isNull() | (F.col("age_minutes") > minutes))
+
+
+def periodic_export(stream: DataFrame, path: str, checkpoint: str, every: str = "90 seconds", once: bool = False) -> StreamingQuery:
+    """STM-1, STM-7: polls the source and writes what came as the next version of an export; `once` takes what is there."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        replace_table(batch.withColumn("batch", F.lit(n)), path)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -95,12 +95,56 @@ def test_exports_and_replacement(spark, tmp_path):
     assert {r["export_view"]: r["count"] for r in spark.read.parquet(str(tmp_path / "views")).groupBy("export_view").count().collect()} == {"small": 3, "even": 5}
     table = str(tmp_path / "table")
     sinks.replace_table(df, table)
-    sinks.replace_table(spark.read.parquet(table).filter("id < 5"), table)
-    assert spark.read.parquet(table).count() == 5 and spark.read.parquet(table + ".bak").count() == 10
+    sinks.replace_table(sinks.read_table(spark, table).filter("id < 5"), table)
+    assert sinks.read_table(spark, table).count() == 5 and sinks.versions(spark, table) == [1, 2]
+    sinks.replace_table(df.limit(3), table)
+    assert sinks.read_table(spark, table).count() == 3 and sinks.versions(spark, table) == [2, 3]
     sinks.write_csv(df.limit(1), str(tmp_path / "csv"))
     assert spark.read.text(str(tmp_path / "csv")).first()["value"] == '0,"n,0"'
 
 
+def test_a_crash_at_any_step_leaves_the_table_whole(spark, tmp_path):
+    table, df = str(tmp_path / "table"), spark.range(10)
+    sinks.replace_table(df, table)
+    # While the next version is written: some files, no commit.
+    (tmp_path / "table" / "v2").mkdir()
+    (tmp_path / "table" / "v2" / "part-0.parquet").write_bytes(b"half")
+    assert sinks.read_table(spark, table).count() == 10
+    sinks.replace_table(df.filter("id < 4"), table)
+    assert sinks.read_table(spark, table).count() == 4 and sinks.versions(spark, table) == [1, 2]
+    # After the commit, before old versions go.
+    spark.range(2).write.parquet(f"{table}/v3")
+    assert sinks.read_table(spark, table).count() == 2
+    sinks.replace_table(df, table)
+    assert sinks.read_table(spark, table).count() == 10 and sinks.versions(spark, table) == [3, 4]
+
+
+def test_json_and_archive(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "b")], "id long, name string")
+    sinks.write_json(df, str(tmp_path / "json"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "json")).collect()) == ['{"id":1,"name":null}', '{"id":2,"name":"b"}']
+    left = sinks.archive_before(df, F.col("id") == 2, str(tmp_path / "old"))
+    assert [r["id"] for r in left.collect()] == [1] and [r["id"] for r in spark.read.parquet(str(tmp_path / "old/rejected")).collect()] == [2]
+    assert len(sinks.report_lines(spark.range(1500), "t")) == 1504
+
+
+def test_ranks_and_round_robin_without_a_limit(spark):
+    df = spark.range(50).select("id", F.when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 3).cast("string")).alias("b"))
+    found = {r["id"]: r["rank"] for r in O.ranked(df, [F.desc("id")]).collect()}
+    assert found == {i: 50 - i for i in range(50)}
+    for offset in (0, 5):
+        whole = [(r["id"], r["turn"]) for r in O.round_robin(df, "b", F.lit(0), [F.asc("id")], offset=offset).collect()]
+        some = [(r["id"], r["turn"]) for r in O.round_robin(df, "b", F.lit(0), [F.asc("id")], offset=offset, limit=12).collect()]
+        assert len(whole) == 50 and some == whole[:12]
+
+
+def test_cooldown_and_stale_workers(spark):
+    df = spark.createDataFrame([(1, None), (2, "2024-01-01 23:00:00"), (3, "2024-01-01 10:00:00")], "id int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    now = F.lit("2024-01-02").cast("timestamp")
+    assert [r["id"] for r in df.filter(R.cooled_down(now, F.col("at"), 8)).orderBy("id").collect()] == [1, 3]
+    assert sorted(r["id"] for r in R.stale(df, now, "at", 90).collect()) == [1, 3]
+
+
 def test_stream_upsert_and_first_seen(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "table")
     source.mkdir()
@@ -109,7 +153,7 @@ def test_stream_upsert_and_first_seen(spark, tmp_path):
         (source / f"{n}.json").write_text("\n".join(json.dumps({"id": i, "name": x, "ord": o}) for i, x, o in batch))
         stream = spark.readStream.schema("id long, name string, ord int").json(str(source))
         R.upsert_stream(stream, table, str(tmp_path / "cp"), key="id", now=lambda: F.lit("2024-01-01").cast("timestamp"), empty=empty).awaitTermination()
-    found = {r["id"]: (r["name"], r["run_ids"]) for r in spark.read.parquet(table).collect()}
+    found = {r["id"]: (r["name"], r["run_ids"]) for r in R.read_upserted(spark, table).collect()}
     assert found == {1: ("a", ["batch-0"]), 2: ("B", ["batch-0", "batch-1"]), 3: ("c", ["batch-1"])}
 
 

@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tamis.plans.record_queries import ORACLES, QUERIES
+from tamis.plans import policy_queries, record_queries
+
+QUERIES, ORACLES = record_queries.QUERIES | policy_queries.QUERIES, record_queries.ORACLES | policy_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
