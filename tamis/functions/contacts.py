@@ -33,18 +33,26 @@ def extract_all(text: Column | str, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(f"({pattern})"), F.lit(1)))
 
 
-def clean_emails(emails: Column | str, blocked: list[str] = (), most: int = 8) -> Column:
-    """ARR-2: distinct, trimmed, lower case, rules applied, the first `most`. Distinctness is that before lower-casing."""
+# Patterns of addresses, local parts and hosts that are no one's mail.
+BAD_EMAIL = r"u00|\\u|%[0-9a-f]{2}|example\.|email@|domain\.|\.(?:png|jpe?g|gif|webp|svg)$"
+BAD_LOCAL = r"^n?email-|^\d{2,}|\.(?:com|net|org)|^[a-f0-9]{24,}$|instagraminstagram|facebookfacebook|youtubeyoutube|socials"
+BAD_MAIL_HOST = r"\.(?:com|net|org|co|io|ai|br|mx|es|pt|in|uk)[a-z]{2,}|\.(?:method|nelson)$"
+GOOD_EMAIL = r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,24}$"
+
+
+def clean_emails(emails: Column | str, blocked: list[str] = (), most: int = 8, broker_hosts: list[str] = ()) -> Column:
+    """ARR-2: distinct, trimmed, lower case, rules applied, the first `most`; `blocked` are parts of addresses, `broker_hosts`
+    hosts whose mail and whose subdomains' mail is left out. Distinctness is that before lower-casing."""
     given = F.transform(F.array_distinct(F.filter(_col(emails), lambda e: e != "")), lambda e: F.lower(F.trim(e)))
 
     def good(e: Column) -> Column:
-        local, host = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
-        bad = e.contains("u00") | e.contains("\\u") | e.rlike("%[0-9a-f]{2}") | local.rlike("^n?email-") | local.rlike(PLACEHOLDER) | local.rlike(NO_REPLY)
-        bad = bad | local.rlike(r"^\d{2,}") | local.rlike(r"\.(?:com|net|org)") | local.rlike("^[a-f0-9]{24,}$") | e.rlike(r"example\.|email@|domain\.")
-        bad = bad | host.rlike(r"\.(?:com|net|org|co|io|ai|br|mx|es|pt|in|uk)[a-z]{2,}") | e.rlike(r"\.(?:png|jpe?g|gif|webp|svg)$")
+        local, host = F.substring_index(e, "@", 1), F.regexp_replace(F.substring_index(e, "@", -1), r"^www\.", "")
+        bad = e.rlike(BAD_EMAIL) | local.rlike(PLACEHOLDER) | local.rlike(NO_REPLY) | local.rlike(BAD_LOCAL) | host.rlike(BAD_MAIL_HOST)
         for b in blocked:
             bad = bad | e.contains(b)
-        return ~bad & e.rlike(r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,24}$")
+        if broker_hosts:
+            bad = bad | host_in(host, list(broker_hosts))
+        return ~bad & e.rlike(GOOD_EMAIL)
 
     return F.slice(F.filter(given, good), 1, most)
 
@@ -87,8 +95,12 @@ ONE_SEGMENT = {
     "calendly.com": ["about", "pricing", "integrations"], "t.me": ["share", "iv", "proxy"], "telegram.me": ["share", "iv", "proxy"], "discord.gg": [],
     "instagram.com": ["p", "reel", "reels", "stories", "explore", "accounts", "about", "privacy", "terms"],
     "x.com": ["i", "share", "intent", "search", "home", "tos", "privacy", "settings"], "twitter.com": ["i", "share", "intent", "search", "home", "tos", "privacy", "settings"],
-    "threads.net": ["privacy", "terms", "login"],
+    "threads.net": ["privacy", "terms", "login"], **{h: ["s", "privacy", "marketplace", "features", "templates", "pricing", "link-in-bio", "solutions", "about", "blog", "help"] for h in ("linktr.ee", "beacons.ai", "bio.link", "msha.ke", "solo.to")},
 }
+# Of these hosts no subdomains count.
+OWN_HOST = ["calendly.com", "t.me", "telegram.me", "discord.gg", "x.com", "twitter.com", "linktr.ee", "beacons.ai", "bio.link", "msha.ke", "solo.to"]
+# First path segments that are no page, and those that have one below.
+FACEBOOK_NOT, FACEBOOK_BELOW = ["share", "privacy", "terms", "marketplace", "watch", "reel"], ["groups", "pages"]
 # First path segments of profiles, for hosts whose profiles are two segments.
 TWO_SEGMENTS = {
     "linkedin.com": ["in", "company", "posts"], "reddit.com": ["user", "u"], "tradingview.com": ["u"], "myfxbook.com": ["members", "portfolio", "community"],
@@ -103,11 +115,18 @@ def is_direct_contact(url: Column | str) -> Column:
         u, d, p = x["u"], x["d"], x["p"]
         first, second = F.lower(F.get(p, F.lit(0))), F.lower(F.get(p, F.lit(1)))
         below = lambda host: (d == host) | d.endswith("." + host)
-        out = F.when(d == "wa.me", F.array_join(p, "/").rlike(r"\d{8,}"))
+        third = F.get(p, F.lit(2))
+        out = F.when(d.isin("wa.me", "api.whatsapp.com", "web.whatsapp.com"), u.rlike(r"(?i)(?:wa\.me/|[?&]phone=)\+?\d{8,}"))
         for host, not_first in ONE_SEGMENT.items():
-            out = out.when(below(host), (F.size(p) == 1) & ~first.isin([*not_first, *BLOCKED_HANDLES]) & first.rlike(r"^[a-z0-9_.-]{2,80}$"))
+            out = out.when((d == host) if host in OWN_HOST else below(host), (F.size(p) == 1) & ~first.isin([*not_first, *BLOCKED_HANDLES]) & first.rlike(r"^[a-z0-9_.-]{2,80}$"))
+        out = out.when(below("tiktok.com"), (F.size(p) == 1) & first.startswith("@") & ~F.substring(first, 2, 200).isin(BLOCKED_HANDLES))
+        out = out.when(below("facebook.com") & first.isin(FACEBOOK_BELOW) & second.isNotNull(), ~second.isin(BLOCKED_HANDLES))
+        out = out.when(below("facebook.com"), (F.size(p) == 1) & ~first.isin([*FACEBOOK_NOT, *BLOCKED_HANDLES]))
+        out = out.when(below("mql5.com"), (first == "en") & second.isin("signals", "users") & third.isNotNull())
+        out = out.when(below("linkedin.com") & (first == "feed") & (second == "update"), True)
         for host, sections in TWO_SEGMENTS.items():
-            out = out.when(below(host), first.isin(sections) & second.isNotNull() & ~second.isin(BLOCKED_HANDLES))
+            named = F.lit(True) if host != "linkedin.com" else ~second.isin(BLOCKED_HANDLES)
+            out = out.when(below(host), first.isin(sections) & second.isNotNull() & named)
         return F.coalesce(out.otherwise(F.lit(False)) & u.isNotNull() & ~is_blocked(u) & ~is_referral(u), F.lit(False))
 
     return let(safe_url(url), lambda u: let(F.struct(u.alias("u"), domain_of(u).alias("d"), path_parts(u).alias("p")), judged))

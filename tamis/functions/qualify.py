@@ -75,14 +75,16 @@ def direct_contact_score(**has: Column) -> Column:
     return weighted([(has[k], w) for k, w in DIRECT.items() if k in has])
 
 
-def outreach_score(lead_type: Column, bucket: Column, priority: Column, score: Column, contact: Column, bonuses: list[tuple[Column, int]] = ()) -> Column:
-    """CLS-10: the second commercial formula: type, bucket and contacts, a quarter of the score, in 0..100."""
+def outreach_score(lead_type: Column, bucket: Column, priority: Column, score: Column, contact: Column, bonuses: list[tuple[Column, int]] = (), *, has_website: Column | None = None, noise: Column | None = None) -> Column:
+    """CLS-10: the second commercial formula: type, bucket and contacts, a quarter of the score, in 0..100. A source alone costs
+    30 unless it has a website, generic platform noise 40."""
     has = contact > 0
     total = F.when(lead_type == "partner", 25).when(lead_type == "institution", 22).when(lead_type == "recruitment", 14).otherwise(0)
     total = total + F.when(bucket.isin("linkedin", "instagram", "x", "telegram"), 20).when(bucket.isin("myfxbook", "mql5", "specialist"), F.when(has, 12).otherwise(2)).when((bucket == "tradingview") & has, 6).otherwise(0)
     total = total + weighted(list(bonuses)) + F.least(F.lit(25.0), F.coalesce(score, F.lit(0)) / 4)
     total = total - F.when((bucket == "mql5") & ~has, 18).otherwise(0) - F.when(bucket == "tradingview", F.when(has, 8).otherwise(25)).otherwise(0)
-    total = total - F.when(bucket.isin("mql5", "myfxbook", "tradingview", "specialist", "forum") & ~has, 30).otherwise(0)
+    site, generic = (F.coalesce(x, F.lit(False)) if x is not None else F.lit(False) for x in (has_website, noise))
+    total = total - F.when(bucket.isin("mql5", "myfxbook", "tradingview", "specialist", "forum") & ~has & ~site, 30).otherwise(0) - F.when(generic, 40).otherwise(0)
     total = total + F.when(priority == "A", F.when(has, 10).otherwise(-10)).when(priority == "D", -20).otherwise(0)
     return clamp(half_up(total)).cast("int")
 
@@ -94,14 +96,15 @@ def best_channel(has: dict[str, Column]) -> Column:
     return F.coalesce(*(F.when(has[k], F.lit(v)) for k, v in names if k in has), F.lit("Source URL"))
 
 
-def qualify(score: Column, *, emails: Column, phones: Column, forms: Column, links: Column, likelihood: Column, hot_segment: Column, side_segment: Column, intent: Column, n_flags: Column, bucket: Column, strength: Column) -> Column:
+def qualify(score: Column, *, emails: Column, phones: Column, forms: Column, links: Column, likelihood: Column, hot_segment: Column, side_segment: Column, intent: Column, n_flags: Column, bucket: Column, strength: Column, channel: Column | None = None) -> Column:
     """PRJ-5: struct(total, tier, meeting_priority): bonuses for contacts, people, segment and intent, six off for each red
     flag; tiers are capped where there is no strong contact."""
     contact = F.when(emails, 22).when(forms, 18).when(links, 15).when(phones, 12).otherwise(0)
     people = F.when(likelihood == "High", 14).when(likelihood == "Medium", 7).otherwise(0)
     segment = F.when(hot_segment, 12).when(side_segment, 8).otherwise(0)
     total = F.coalesce(score, F.lit(0)) + contact + people + segment + F.when(intent, 12).otherwise(0) - 6 * n_flags
-    weak = strength.isin("none", "source-only") | (bucket.isin("mql5", "forum") & (strength != "strong"))
+    no_channel = channel == "Source URL" if channel is not None else F.lit(False)
+    weak = strength.isin("none", "source-only") | ((bucket.isin("mql5", "forum") | no_channel) & (strength != "strong"))
     tier = icp_tier(total)
     tier = F.when(weak, cap_tier(tier, F.lit("B Nurture"))).otherwise(tier)
     meeting = F.when(tier == "A1 Hot", "High").when(tier == "A2 Strong", "Medium-High").when(tier == "B Nurture", "Medium").otherwise("Low")

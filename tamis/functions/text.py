@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 #: A word boundary between ASCII word characters only.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-#: Letters with marks and their plain ones, for identities in Latin script.
-MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+#: Small letters of Latin script with marks, and the letters that their canonical decompositions begin with.
+_DECOMPOSED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and unicodedata.normalize("NFD", c)[0].isascii()}
+MARKED, PLAIN = "".join(c for c, p in _DECOMPOSED.items() if p != c), "".join(p for c, p in _DECOMPOSED.items() if p != c)
 
 
 def _col(c: Column | str) -> Column:
@@ -64,14 +65,19 @@ def contains_word(text: Column | str, pattern: str) -> Column:
     return F.coalesce(_col(text).rlike(f"(?iu){EDGE}(?:{pattern}){EDGE}"), F.lit(False))
 
 
+def plain(text: Column | str) -> Column:
+    """Lower case without marks of Latin letters."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(_col(text), F.lit(""))), MARKED, PLAIN), r"[\x{0300}-\x{036F}]", "")
+
+
 def fold(text: Column | str) -> Column:
-    """STR-9: lower case, Latin marks dropped, only a-z and 0-9 kept."""
-    return F.regexp_replace(F.translate(F.lower(F.coalesce(_col(text), F.lit(""))), MARKED, PLAIN), "[^a-z0-9]+", "")
+    """STR-9: lower case, marks of Latin letters dropped (composed or not), only a-z and 0-9 kept."""
+    return F.regexp_replace(plain(text), "[^a-z0-9]+", "")
 
 
 def identity_tokens(text: Column | str, generic: list[str] = (), least: int = 3, most: int = 12) -> Column:
     """STR-10: the distinct folded words of at least `least` letters, generic ones left out, the first `most`."""
-    words = F.split(F.regexp_replace(F.translate(F.lower(F.coalesce(_col(text), F.lit(""))), MARKED, PLAIN), "[^a-z0-9]+", " "), " ")
+    words = F.split(F.regexp_replace(plain(text), "[^a-z0-9]+", " "), " ")
     long = F.filter(words, lambda w: F.length(w) >= least)
     return F.slice(F.array_distinct(F.array_except(long, F.array(*map(F.lit, generic)).cast("array<string>"))), 1, most)
 
@@ -130,3 +136,18 @@ def falsy(*columns: Column | str) -> Column:
 def half_up(x: Column) -> Column:
     """MTH-1: rounded half towards plus infinity."""
     return F.floor(x + 0.5)
+
+
+def decode_loose(text: Column | str) -> Column:
+    """STR-8: escapes that pages leave in texts and links, undone where they are whole: \\u0026, \\/, &amp; and percent codes; a
+    plus sign stays, and a text with a broken percent code stays as it is."""
+    t = F.coalesce(_col(text), F.lit(""))
+    for escaped, plain_ in (("\\u0026", "&"), ("\\u003d", "="), ("\\/", "/"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(escaped), F.lit(plain_))
+    return F.coalesce(F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B"))), t)
+
+
+def is_generic_name(name: Column | str, generic: str) -> Column:
+    """STR-13: a name that no search for a person or firm can start from: too short, or the generic pattern as a whole."""
+    n = F.trim(F.regexp_replace(F.lower(F.coalesce(_col(name), F.lit(""))), "[^a-z0-9]+", " "))
+    return (F.length(n) < 3) | n.rlike(f"^(?:{generic})$")

@@ -14,14 +14,22 @@ PLATFORMS = [
     ("linkedin.com", "LinkedIn"), ("instagram.com", "Instagram"), ("x.com", "X/Twitter"), ("twitter.com", "X/Twitter"),
     ("youtube.com", "YouTube"), ("youtu.be", "YouTube"), ("facebook.com", "Facebook"), ("tiktok.com", "TikTok"),
     ("threads.net", "Threads"), ("reddit.com", "Reddit"), ("t.me", "Telegram"), ("telegram.me", "Telegram"),
-    ("telegram.org", "Telegram"), ("discord.gg", "Discord"), ("discord.com", "Discord"), ("tradingview.com", "TradingView"),
+    ("discord.gg", "Discord"), ("discord.com", "Discord"), ("tradingview.com", "TradingView"),
     ("myfxbook.com", "Myfxbook"), ("mql5.com", "MQL5"), ("fxblue.com", "FXBlue"), ("zulutrade.com", "ZuluTrade"),
     ("darwinex.com", "Darwinex"), ("signalstart.com", "SignalStart"), ("collective2.com", "Collective2"),
-    ("forexfactory.com", "ForexFactory"), ("babypips.com", "BabyPips"), ("opencorporates.com", "Company Registry"),
+    ("forexfactory.com", "ForexFactory"), ("babypips.com", "BabyPips"), ("adviserinfo.sec.gov", "Regulatory Registry"), ("sec.gov", "Regulatory Registry"),
+    ("register.fca.org.uk", "Regulatory Registry"), ("opencorporates.com", "Company Registry"),
     ("linktr.ee", "Link Hub"), ("beacons.ai", "Link Hub"), ("bio.link", "Link Hub"), ("msha.ke", "Link Hub"), ("solo.to", "Link Hub"),
 ]
+# Hosts that are a platform only with a subdomain.
+BELOW_HOSTS = [
+    ("telegram.org", "Telegram"), ("fca.org.uk", "Regulatory Registry"), ("cvm.gov.br", "Regulatory Registry"), ("cnmv.es", "Regulatory Registry"), ("cmfchile.cl", "Regulatory Registry"), ("superfinanciera.gov.co", "Regulatory Registry"),
+    ("asic.gov.au", "Regulatory Registry"), ("mas.gov.sg", "Regulatory Registry"), ("sfc.hk", "Regulatory Registry"), ("dfsa.ae", "Regulatory Registry"), ("adgm.com", "Regulatory Registry"), ("companieshouse.gov.uk", "Company Registry"),
+]
+# A part of a host that makes it a registry.
+REGISTRY_PART = "company-information.service.gov.uk"
 # Hosts that are a platform only without a subdomain.
-EXACT_HOSTS = ["x.com", "twitter.com", "youtu.be", "t.me", "telegram.me", "discord.gg", "discord.com", "linktr.ee", "beacons.ai", "bio.link", "msha.ke", "solo.to"]
+EXACT_HOSTS = ["adviserinfo.sec.gov", "sec.gov", "register.fca.org.uk", "x.com", "twitter.com", "youtu.be", "t.me", "telegram.me", "discord.gg", "discord.com", "linktr.ee", "beacons.ai", "bio.link", "msha.ke", "solo.to"]
 # Addresses that are never kept.
 BAD_URL = r"(?i)/s/desktop/|/jsbin/|favicon|initplayback|error_204|csi_204|/installer/download/|(?:\\n|%5cn|/n[a-z0-9])|cart\.php|\.(?:png|jpe?g|gif|webp|svg|ico|css|js|mjs|map|woff2?|ttf|eot|mp4|webm|m3u8|pdf)/?(?:[?#].*)?$"
 # Marks of referrals in path and query.
@@ -74,6 +82,9 @@ def platform_of(url: Column | str) -> Column:
     for host, label in PLATFORMS:
         hit = (d == host) if host in EXACT_HOSTS else (d == host) | d.endswith("." + host)
         out = F.when(hit, label) if out is None else out.when(hit, label)
+    for host, label in BELOW_HOSTS:
+        out = out.when(d.endswith("." + host), label)
+    out = out.when(d.contains(REGISTRY_PART), "Company Registry")
     return F.when(d == "", "").otherwise(out.otherwise("Web"))
 
 

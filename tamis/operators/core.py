@@ -228,6 +228,20 @@ def patch(current: DataFrame, patches: DataFrame, key: str, now: Column) -> Data
     return met.select(*(F.coalesce(f"_{c}", c).alias(c) if c in patches.columns and c != key else F.col(c) for c in current.columns), F.when(F.col("_hit"), now).alias("updated_at"))
 
 
+def renamed(df: DataFrame, names: dict[str, str | list[str]], defaults: dict[str, str] | None = None) -> DataFrame:
+    """PRJ-7, PRJ-8, PRJ-12: columns under new names: one column as it is, or the first of several that isn't blank, trimmed,
+    with a default text where all are."""
+    defaults = defaults or {}
+
+    def of(new: str, old: str | list[str]) -> Column:
+        if isinstance(old, str):
+            return F.col(old).alias(new)
+        texts = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in old]
+        return F.coalesce(*texts, *([F.lit(defaults[new])] if new in defaults else [])).alias(new)
+
+    return df.select(*(of(new, old) for new, old in names.items()))
+
+
 # --- roll-ups ---------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tamis.functions import contacts as C
+from tamis.functions import discovery as D
+from tamis.functions import ownership as W
 from tamis.functions import scoring as S
 from tamis.functions import text as T
 from tamis.functions import urls as U
@@ -72,3 +74,48 @@ def test_tiers(spark):
     assert values(spark, [82, 81, 66, 65, 48, 47], S.commercial_tier(F.col("v")), "v int") == ["A", "B", "B", "C", "C", "D"]
     assert values(spark, ["A1 Hot", "C Research", "odd"], S.cap_tier(F.col("v"), F.lit("B Nurture"))) == ["B Nurture", "C Research", "odd"]
     assert values(spark, ["see netflix.com", "plain", "LinkedIn post on mql5"], S.source_bucket(F.col("v"))) == ["x", "web", "mql5"]
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*columns).first())
+
+
+def test_direct_contacts_of_more_hosts(spark):
+    good = ["https://wa.me/441234567890", "https://api.whatsapp.com/send?phone=441234567890", "https://www.tiktok.com/@ana", "https://facebook.com/ana.page", "https://facebook.com/groups/g1", "https://www.linkedin.com/feed/update/1", "https://mql5.com/en/users/ana", "https://solo.to/ana", "https://old.reddit.com/user/ana"]
+    bad = ["https://wa.me/", "https://web.whatsapp.com/", "https://tiktok.com/ana", "https://facebook.com/watch", "https://facebook.com/a/b", "https://mql5.com/en/market/x", "https://solo.to/pricing", "https://sub.x.com/ana", "https://a.t.me/ana", "https://linkedin.com/jobs/1"]
+    found = one(spark, *(C.is_direct_contact(F.lit(u)).alias(f"c{i}") for i, u in enumerate(good + bad)))
+    assert found == (True,) * len(good) + (False,) * len(bad)
+
+
+def test_mail_rules_and_folding(spark):
+    mails = F.array(*map(F.lit, ["a.b@firm.com", "x@broker.example", "x@sub.broker.example", "ana@host.method", "facebookfacebook@firm.com", "ana@firm.com"]))
+    assert one(spark, C.clean_emails(mails, broker_hosts=["broker.example"])) == (["a.b@firm.com", "ana@firm.com"],)
+    assert one(spark, T.fold(F.lit("Čašćż ő Nguyễn")), T.fold(F.lit("éa"))) == ("casczonguyen", "ea")
+    assert one(spark, T.decode_loose(F.lit("a\\u0026b\\/c&amp;d%20e+f")), T.decode_loose(F.lit("50% off")), T.decode_loose(F.lit(None).cast("string"))) == ("a&b/c&d e+f", "50% off", "")
+
+
+def test_ownership(spark):
+    p = W.Platforms(hosts=["hub.example"], widgets=["chat.example"], free_mail=["free.example"], handles=["brandname"], generic_words=["trader"])
+    urls = ["https://hub.example/u/ana", "https://a.chat.example/x", "https://x.com/@BrandName", "https://own.example/ana", ""]
+    assert one(spark, *(W.is_owned_url(F.lit(u), F.lit("https://own.example"), p) for u in urls)) == (True, True, True, False, True)
+    words = W.identity_words(F.lit("Ána-María Trader"), p)
+    mails = ["maria.l@free.example", "other@free.example", "info@own.example", "x@hub.example", "who@own.example", "", None]
+    assert one(spark, *(W.is_owned_email(F.lit(m), F.lit("https://hub.example/u/m"), words, p) for m in mails)) == (False, True, True, True, False, True, True)
+    assert one(spark, W.is_owned_email(F.lit("other@free.example"), F.lit("https://own.example"), words, p), W.handle_of(F.lit("https://www.linkedin.com/in/Ana-B/")), W.handle_of(F.lit("nothing"))) == (False, "ana-b", "")
+    links = F.array(*map(F.lit, ["https://linkedin.com/in/ana-b", "https://linkedin.com/in/ana-b", "https://linkedin.com/jobs/1", "https://own.example/"]))
+    people = F.array(F.struct(F.lit("").alias("name"), F.lit("Ana B - Founder").alias("title"), F.lit("").alias("url")), F.struct(F.lit("").alias("name"), F.lit("").alias("title"), F.lit("").alias("url")))
+    (found,) = one(spark, W.makers(people, links))
+    assert [(r["name"], r["url"]) for r in found] == [("Ana B", ""), ("in ana b", "https://linkedin.com/in/ana-b")]
+    assert one(spark, W.bare_websites(F.lit("see www.firm.example/a, (www.firm.example/a) or mail"))) == (["https://www.firm.example/a"],)
+    forms = F.array(F.struct(F.lit("https://f.example/").alias("page_url"), F.lit("/send").alias("action"), F.array(F.lit("email"), F.lit("text")).alias("fields")))
+    assert one(spark, W.forms_summary(forms), W.people_summary(people)) == (["https://f.example/ -> /send [email; text]"], ["Ana B - Founder", ""])
+
+
+def test_discovery(spark):
+    html = '<script>{"ownerChannelName":"Ana","subscriberCountText":{"simpleText":"12K"},"shortDescription":"say \\"hi\\" now"}</script>'
+    assert tuple(one(spark, D.video_info(F.lit(html)))[0]) == ("Ana", "12K", 'say \\"hi\\" now')
+    assert tuple(one(spark, D.video_info(F.lit(None).cast("string")))[0]) == (None, None, None)
+    aliases, tokens = D.aliases_of(F.lit("Ana María López Trading"), ["trading"])
+    hit = lambda t, c=None: D.matches_identity(F.lit(t), aliases, tokens, c)
+    assert one(spark, hit("ana maria lopez trading profile"), hit("maria from lopez"), hit("maria only"), hit("maria only", F.lit(True)), hit("")) == (True, True, False, True, False)
+    assert one(spark, D.contact_queries(F.lit(" "), ["{name} x"]), D.contact_queries(F.lit("A"), ["{name} {name}"])) == ([], ["A {name}"])
