@@ -21,17 +21,24 @@ def shared_dir(spark) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "edges") -> DataFrame:
-    """The rows written to a table in the shared folder and read again."""
+def stored(df: DataFrame, name: str = "edges", paths: list[str] | None = None) -> DataFrame:
+    """The rows written to a table in the shared folder and read again; its path is added to `paths`."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def remove_path(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _with_least(edges: DataFrame, paths: list[str]) -> DataFrame:
     """(u, v, least): least is the smallest of u and all its neighbours: a partial aggregate and a join. The aggregate is
     stored, so that the join has plain shuffles on both sides and Spark can split a hub's rows."""
-    least = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")))
+    least = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")), "least", paths)
     return edges.join(least, "u")
 
 
@@ -39,9 +46,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """edges (a, b), any orderable type -> (node, component): the least node that it is connected with.
 
     Nodes are those of some edge between different nodes. Every round writes its edges to the shared folder, so an
-    executor's loss costs one round at most.
+    executor's loss costs one round at most; the tables of earlier rounds are removed.
     """
-    now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    paths: list[str] = []
+    now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), paths=paths)
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -50,11 +58,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         before = state
         # Large star: every larger neighbour is tied to the least of the neighbourhood.
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = _with_least(both, paths).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         # Small star: a node and its smaller neighbours are tied to the least of them.
-        met = _with_least(large)
+        met = _with_least(large, paths)
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        now = stored(small)
+        now = stored(small, paths=paths)
+        for path in paths[:-1]:
+            remove_path(edges.sparkSession, path)
+        del paths[:-1]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
