@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.operators.components import shared_dir
+from tamis.operators.components import remove_path, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = "\t\n\x0b\x0c\r "
@@ -32,18 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a table in the shared folder and read again: a cut in the lineage that outlives executors."""
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """The rows written to a table in the shared folder and read again: a cut in the lineage that outlives executors. Its path
+    is added to `paths`, whose tables the caller removes once nothing reads them."""
     path = new_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import col, partitions, stored
+from tamis.llm.common import col, partitions, remove_path, stored
 from tamis.operators.components import components
 
 #: ASCII letters and digits and all beyond ASCII are word characters; A-Z count as a-z.
@@ -208,34 +208,37 @@ def jaccard_join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", k:
     bands, rows = bands_for(threshold, recall)
     given = docs.select(col(doc).cast("long").alias("doc"), row_key(doc, text).alias("key"), col(text).cast("string").cast("binary").alias("text"))
     signed = stored(given.mapInArrow(_signer(k, bands, rows), "doc long, key long, node binary, bands array<long>"), "signatures")
+    done: list[str] = []
     # One row per class of equal words. Copies have equal bands, so any of them will do; the key leads back to one text.
     classes = signed.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("key"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    classes = stored(classes, "classes", done)
 
     cells = classes.select("node", F.posexplode("bands").alias("band", "h"))
     # Stored, so that the join has plain shuffles on both sides and a bucket of very many classes can be split.
-    buckets = stored(cells.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    ties = stored(cells.join(buckets, ["band", "h"]).select("node", "band", "h", "hub"), "ties")
-    homes = stored(ties.groupBy("node").agg(F.min("hub").alias("home")), "homes")
+    buckets = stored(cells.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets", done)
+    ties = stored(cells.join(buckets, ["band", "h"]).select("node", "band", "h", "hub"), "ties", done)
+    homes = stored(ties.groupBy("node").agg(F.min("hub").alias("home")), "homes", done)
     # Few homes are larger than a block; only these are split.
     sizes = homes.groupBy("home").agg(F.count("*").alias("size")).filter(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    members = homes.join(stored(sizes.select("home", "blocks"), "sizes"), "home", "left")
-    members = stored(members.select("node", "home", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)).alias("own")), "members")
+    members = homes.join(stored(sizes.select("home", "blocks"), "sizes", done), "home", "left")
+    members = stored(members.select("node", "home", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)).alias("own")), "members", done)
 
     # The blocks that a bucket has members in; most have one.
-    met = stored(ties.select("node", "band", "h").join(members, "node").select("band", "h", "home", "own").distinct(), "met")
+    met = stored(ties.select("node", "band", "h").join(members, "node").select("band", "h", "home", "own").distinct(), "met", done)
     a, b = (met.select("band", "h", F.col("home").alias(f"home_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
     pairs = a.join(b, ["band", "h"]).filter(F.struct("home_a", "own_a") <= F.struct("home_b", "own_b")).select(*PAIR).distinct()
-    pairs = stored(pairs, "block-pairs")
+    pairs = stored(pairs, "block-pairs", done)
 
     texts = given.select("key", "text").join(members.join(classes.select("node", "copies", "key"), "node").hint("shuffle_hash"), "key")
-    sets = stored(texts.select("home", "own", "node", "copies", "text").mapInArrow(_sets(k), "home binary, own int, node binary, copies long, set binary"), "sets")
+    sets = stored(texts.select("home", "own", "node", "copies", "text").mapInArrow(_sets(k), "home binary, own int, node binary, copies long, set binary"), "sets", done)
     sides = pairs.select(F.col("home_a").alias("home"), F.col("own_a").alias("own"), F.lit(0).alias("side"), *PAIR)
     other = F.struct("home_a", "own_a") != F.struct("home_b", "own_b")
     sides = sides.union(pairs.filter(other).select("home_b", "own_b", F.lit(1), *PAIR))
     dealt = sets.join(sides, ["home", "own"]).select(*PAIR, "side", "node", "copies", "set")
     dealt = dealt.repartition(4 * partitions(docs.sparkSession), *PAIR).sortWithinPartitions(*PAIR, "side", "node")
     verified = stored(dealt.mapInArrow(_verifier(threshold), "node binary, links long, other binary"), "links")
+    for path in done:
+        remove_path(docs.sparkSession, path)
 
     links = verified.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(verified.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
