@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamis.functions.text import _col, let, normalize_space
-from tamis.functions.urls import domain_of, host_in, is_blocked, is_referral, path_parts, safe_url
+from tamis.functions.urls import domain_of, host_in, is_blocked, is_referral, path_and_query, path_parts, safe_url
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}"
 PHONE = r"(?:\+|00)[0-9][0-9 ().-]{8,20}[0-9]"
@@ -175,3 +175,46 @@ def email_quality(email: Column | str, mx: Column | str) -> Column:
     person = ~F.substring_index(e, "@", 1).rlike(r"^(?:info|contact|hello|support|sales|admin|office)$")
     score = F.lit(40) + F.when(_col(mx), 30).otherwise(0) + F.when(person, 20).otherwise(0)
     return F.when(e.rlike(f"^{EMAIL}$"), score).otherwise(0)
+
+
+# Lengths of phone numbers that messaging links take.
+CHAT_DIGITS = r"^\d{8,16}$"
+
+
+def chat_link(digits: Column | str) -> Column:
+    """URL-7: the messaging link of a number of 8 to 16 digits, null for others."""
+    d = F.regexp_replace(F.coalesce(_col(digits), F.lit("")), r"\D", "")
+    return F.when(d.rlike(CHAT_DIGITS), F.concat(F.lit("https://wa.me/"), d))
+
+
+def normal_chat_link(url: Column | str) -> Column:
+    """URL-7: a messaging address with a number, in path or query, as the short link; others as they are."""
+    u = safe_url(url)
+    number = F.regexp_extract(F.coalesce(u, F.lit("")), r"(?i)(?:wa\.me/|[?&]phone=)(?:%2B|\+)?(\d+)", 1)
+    return F.coalesce(F.when(domain_of(u).rlike(r"^(?:wa\.me|(?:[a-z]+\.)?whatsapp\.com)$"), chat_link(number)), u)
+
+
+def url_kinds(url: Column | str, social_hosts: list[str]) -> Column:
+    """SUP-21: struct(social, contact, direct): on a social host, of a contact page, and a direct way to someone."""
+    u = safe_url(url)
+    social = host_in(domain_of(u), list(social_hosts)) if social_hosts else F.lit(False)
+    contact = path_and_query(u).rlike(r"contact|contato|contacto|about|partner|affiliate")
+    return F.struct(F.coalesce(social, F.lit(False)).alias("social"), F.coalesce(contact, F.lit(False)).alias("contact"), is_direct_contact(url).alias("direct"))
+
+
+def split_links(links: Column | str, social_hosts: list[str], most: int = 20) -> Column:
+    """ARR-10: struct(social, contact, website) of clean links, the first `most` of each; a link may be in several."""
+    clean = clean_links(links)
+    pick = lambda good: F.slice(F.filter(clean, good), 1, most)
+    social = lambda u: url_kinds(u, social_hosts)["social"]
+    return F.struct(pick(social).alias("social"), pick(lambda u: url_kinds(u, social_hosts)["contact"] | is_direct_contact(u)).alias("contact"), pick(lambda u: ~social(u)).alias("website"))
+
+
+def display(name: Column, title: Column, domain: Column, contact: Column, url: Column, width: int = 78) -> Column:
+    """SUP-29: struct(title, href, short): what a list shows of a record, with fallbacks."""
+    full = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    c = full(contact)
+    href = F.when(c.rlike("^[^@/ ]+@[^@/ ]+$"), F.concat(F.lit("mailto:"), c)).when(c.rlike(r"^\+?[0-9 ().-]{8,}$"), F.concat(F.lit("tel:"), F.regexp_replace(c, "[^0-9+]", ""))).otherwise(c)
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"^https?://(?:www\.)?|/$", "")
+    short = F.when(F.length(bare) > width, F.concat(F.substring(bare, 1, width - 3), F.lit("..."))).otherwise(bare)
+    return F.struct(F.coalesce(full(name), full(title), full(domain), F.lit("Untitled")).alias("title"), href.alias("href"), short.alias("short"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.functions.contacts import clean_emails, clean_links, is_direct_contact
+from tamis.functions.contacts import best_contact, clean_emails, clean_links, clean_phones, is_direct_contact
 from tamis.functions.text import _col, normalize_space, plain
 from tamis.functions.urls import domain_of, host_in, path_parts, safe_url, title_from_url
 
@@ -139,3 +139,21 @@ def forms_summary(forms: Column | str) -> Column:
 def people_summary(people: Column | str) -> Column:
     """PRJ-10: "name | title | url" of each person, without what is empty."""
     return F.transform(_col(people), lambda p: F.array_join(F.filter(F.array(p["name"], p["title"], p["url"]), lambda x: x != ""), " | "))
+
+
+def clean_contacts(leads: DataFrame, platforms: Platforms) -> DataFrame:
+    """PRJ-6, SUP-12: a lead's contacts without the platform's: addresses, phones, links and websites cleaned, a best contact
+    that is the platform's blanked, and where none is left the best of the rest picked. Columns: url, name, title, emails,
+    phones, links, websites, forms (page addresses), best_contact, best_type."""
+    words = identity_words(F.concat_ws(" ", "name", "title"), platforms)
+    out = leads.withColumns({
+        "emails": decision_emails("emails", "url", words, platforms),
+        "phones": clean_phones("phones"),
+        "links": decision_links("links", platforms),
+        "websites": F.filter(clean_links("websites", allow_channels=False), lambda u: ~is_profile_url(u, platforms)),
+    })
+    owned = F.when(F.col("best_type") == "email", is_owned_email(F.col("best_contact"), "url", words, platforms)).otherwise(is_owned_url("best_contact", "url", platforms))
+    keeps = (F.coalesce("best_contact", F.lit("")) != "") & ~F.coalesce(owned & (F.col("best_type") != "phone"), F.lit(True))
+    best = best_contact(F.col("emails"), F.col("phones"), F.concat("links", "websites"), F.col("forms"))
+    out = out.withColumns({"_keeps": keeps, "_best": best})
+    return out.withColumns({"best_contact": F.when(F.col("_keeps"), F.col("best_contact")).otherwise(F.col("_best.contact")), "best_type": F.when(F.col("_keeps"), F.col("best_type")).otherwise(F.col("_best.kind"))}).drop("_keeps", "_best")

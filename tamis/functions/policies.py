@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions.text import normalize_space
+
 #: Texts, numbers and flags that rules read. `text` is all visible text with names and addresses, `visible` the one that a
 #: reader sees, `identity` names and addresses only, `query` the search that found the row. Contacts are counted after
 #: cleaning: n_emails to n_makers; best_type is the kind of the best contact, owned_best and owned_email tell that it, or an
@@ -83,6 +85,8 @@ SIGNALS = [
     ("directory_page", "(has(text, directory_page) OR has(url, directory_page)) AND NOT direct_profile"),
     ("company_or_person", "direct_profile OR (validated_contact AND has(text, person_words)) OR (validated_contact AND segment IN ('IB / Partner', 'Affiliate', 'Trading Education', 'Community', 'Creator / Influencer', 'Prop / Funded Trading', 'Fund / Asset Manager', 'High-Calibre Trader'))"),
     ("generic_portal", "has(text, generic_portal) OR has(url, generic_portal)"),
+    ("synthetic", "has(snippet, synthetic)"),
+    ("query_intent", "has(query, intent) AND has(query, searchable)"),
     ("contact_first", "bucket IN ('tradingview', 'mql5', 'myfxbook', 'specialist', 'forum') OR generic_portal"),
     ("best_score", "CASE WHEN commercial_score > 0 THEN commercial_score ELSE score END"),
     ("prop_firm", "has(domain, official_prop) OR entity_type = 'prop_firm_company' OR has(text, prop_name) OR (has(text, prop_category) AND NOT has(text, partner_role))"),
@@ -550,6 +554,18 @@ class Policy:
             own.add(name)
         return groups
 
+    def classified(self, leads: DataFrame, segments: list[tuple[str, str]], score: Column) -> DataFrame:
+        """PRJ-3: segment (the first whose pattern the text holds, then the overrides of intent and source), kind of lead, score
+        and priority of raw results; name, title and snippet get their fallbacks first."""
+        found = self.facts(leads)
+        name = F.coalesce(*(F.nullif(normalize_space(c), F.lit("")) for c in ("name", "title", "domain")), F.lit(""))
+        found = found.withColumns({"name": name, "title": F.coalesce(F.nullif(normalize_space("title"), F.lit("")), name), "snippet": F.substring(normalize_space("snippet"), 1, 1000)})
+        found = found.withColumn("segment", F.coalesce(*(F.when(F.col("text").rlike(p), F.lit(label)) for label, p in segments), F.lit("Unclear")))
+        out = self.apply(found, ["segment_now"]).withColumn("segment", F.col("segment_now")).drop("segment_now")
+        out = self.apply(out, ["lead_type_now"]).withColumn("lead_type", F.col("lead_type_now")).drop("lead_type_now")
+        # Bounds of the priorities.
+        return out.withColumn("score", score).withColumn("priority", F.when(F.col("score") >= 76, "A").when(F.col("score") >= 58, "B").when(F.col("score") >= 38, "C").otherwise("D"))
+
     def needed(self, wanted: list[str] | None) -> list[tuple[str, str]]:
         if wanted is None:
             return self.steps

@@ -154,3 +154,12 @@ def touched_at(*times: Column | str) -> Column:
 def longer(a: Column, b: Column) -> Column:
     """SUP-18: the longer text; the first on ties; the other where one is missing."""
     return F.when(F.length(F.coalesce(b, F.lit(""))) > F.length(F.coalesce(a, F.lit(""))), b).otherwise(a)
+
+
+def client_category(text: Column, category: str) -> Column:
+    """SUP-31: the category filter of the screen, which differs: web is what is neither specialist nor social, and an unknown
+    category is a substring."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    if category == "web":
+        return ~t.rlike(f"{CATEGORIES['specialist']}|{CATEGORIES['social']}")
+    return t.rlike(CATEGORIES[category]) if category in CATEGORIES else t.contains(category.lower())

@@ -151,3 +151,23 @@ def is_generic_name(name: Column | str, generic: str) -> Column:
     """STR-13: a name that no search for a person or firm can start from: too short, or the generic pattern as a whole."""
     n = F.trim(F.regexp_replace(F.lower(F.coalesce(_col(name), F.lit(""))), "[^a-z0-9]+", " "))
     return (F.length(n) < 3) | n.rlike(f"^(?:{generic})$")
+
+
+def clean_identity(name: Column | str, drop: str = "official|profile|page|account") -> Column:
+    """STR-12: a name without handles' marks, bracketed parts, generic words and what follows a separator."""
+    t = F.regexp_replace(F.coalesce(_col(name), F.lit("")), r"\([^)]*\)|\[[^\]]*\]", " ")
+    t = F.regexp_replace(t, r"\s+[|•–—-]\s+.*$", "")
+    return normalize_space(F.regexp_replace(F.regexp_replace(t, rf"(?i)\b(?:{drop})\b", " "), "^@+", ""))
+
+
+def is_useful_identity(name: Column | str, generic: str) -> Column:
+    """STR-12: a clean name of three letters or more that isn't generic."""
+    n = clean_identity(name)
+    return (F.length(fold(n)) >= 3) & ~is_generic_name(n, generic)
+
+
+def names_in_text(text: Column | str, most: int = 5) -> Column:
+    """STR-12: runs of two or three capitalised words, and @handles, in order, distinct."""
+    t = F.coalesce(_col(text), F.lit(""))
+    found = F.concat(F.regexp_extract_all(t, F.lit(r"(?:^|[^\p{L}])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){1,2})(?![\p{L}])"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"(?:^|[^\w.])@([A-Za-z0-9_]{3,30})"), F.lit(1)))
+    return F.slice(F.array_distinct(found), 1, most)

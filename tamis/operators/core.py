@@ -7,11 +7,13 @@ how rows are dealt out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.functions.text import normalize_space
 from tamis.operators.components import components, stored
 
 # --- gates ------------------------------------------------------------------------------------------------------------
@@ -195,6 +197,27 @@ def merge_entities(df: DataFrame, key: str, order: list[Column], *, best: list[s
     return out
 
 
+def merge_enrichment(base: DataFrame, found: DataFrame, key: str, *, arrays: dict[str, Callable[[Column], Column]], reset: Column, text: str = "snippet", most: int = 1400) -> DataFrame:
+    """ARR-11, SUP-10: what an enrichment found is added to a record: of each array the record's values and the new ones,
+    cleaned anew by its function; a record of a platform's profile (`reset`) drops its own values first. Texts are joined
+    and cut at `most`; other columns of `found` win where they aren't null. A record that wasn't enriched stays."""
+    b = base.withColumn("_reset", F.coalesce(reset, F.lit(False))).alias("b")
+    f = found.withColumn("_found", F.lit(True)).alias("f")
+    met = b.join(f, F.col(f"b.{key}") == F.col(f"f.{key}"), "left")
+    there = F.col("f._found")
+
+    def of(c: str) -> Column:
+        if c in arrays:
+            empty = F.array().cast(base.schema[c].dataType)
+            own = F.when(F.col("b._reset"), empty).otherwise(F.coalesce(F.col(f"b.{c}"), empty))
+            return F.when(there, arrays[c](F.concat(own, F.coalesce(F.col(f"f.{c}"), empty)))).otherwise(F.col(f"b.{c}"))
+        if c == text and c in found.columns:
+            return F.when(there, F.substring(normalize_space(F.concat_ws(" ", f"b.{c}", f"f.{c}")), 1, most)).otherwise(F.col(f"b.{c}"))
+        return F.coalesce(F.col(f"f.{c}"), F.col(f"b.{c}")) if c in found.columns and c != key else F.col(f"b.{c}")
+
+    return met.select(*(of(c).alias(c) for c in base.columns), *(F.col(f"f.{c}") for c in found.columns if c not in base.columns))
+
+
 def upsert(current: DataFrame, incoming: DataFrame, *, key: str, run_id: str | None, now: Column, ord_: str = "ord") -> DataFrame:
     """UPS-1: incoming rows update or insert by key. Kept from the current row: stage, notes, first_seen; run ids are
     added; last_seen is now; other columns are the incoming ones where they aren't null. Several incoming rows of a key

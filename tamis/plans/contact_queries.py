@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions import contacts as C
 from tamis.functions import discovery as D
 from tamis.functions import ownership as W
 from tamis.functions import text as T
@@ -133,3 +134,29 @@ def _(spark, d):
     """PRJ-7, PRJ-8, PRJ-12: a record's columns under the names of the work space, with defaults."""
     s = table(spark, d, "supplier").withColumn("tier", F.when(F.col("s_acctbal") >= 5000, "A").otherwise("B"))
     return O.renamed(s, {"id": "s_suppkey", "name": ["s_name"], "title": ["s_name"], "priority": ["tier"]}, {"name": "unknown"})
+
+
+@query("arr_merge_enrichment", """WITH b AS (SELECT s_suppkey AS id, s_name AS snippet, [s_name, 'own'] AS tags FROM supplier), f AS (SELECT s_suppkey AS id, 'found' AS snippet, ['new', 'own'] AS tags FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT b.id, CASE WHEN f.id IS NULL THEN b.snippet ELSE b.snippet || ' found' END AS snippet, CASE WHEN f.id IS NULL THEN b.tags WHEN b.id % 3 = 0 THEN ['new', 'own'] ELSE [b.snippet, 'own', 'new'] END AS tags FROM b LEFT JOIN f ON b.id = f.id""")
+def _(spark, d):
+    """ARR-11, SUP-10: what was found is added; profiles of a platform drop their own values first."""
+    s = table(spark, d, "supplier")
+    base = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("snippet"), F.array("s_name", F.lit("own")).alias("tags"))
+    found = s.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.lit("found").alias("snippet"), F.array(F.lit("new"), F.lit("own")).alias("tags"))
+    return O.merge_enrichment(base, found, "id", arrays={"tags": F.array_distinct}, reset=F.col("id") % 3 == 0)
+
+
+@query("url_chat_links", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'https://wa.me/4412345678' || c_custkey ELSE 'https://own.example/x' END AS link FROM customer")
+def _(spark, d):
+    """URL-7: messaging addresses as short links."""
+    c = F.col("c_custkey").cast("string")
+    url = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("https://api.whatsapp.com/send?phone=4412345678"), c)).when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("https://wa.me/+4412345678"), c)).otherwise(F.lit("https://own.example/x"))
+    return table(spark, d, "customer").select("c_custkey", C.normal_chat_link(url).alias("link"))
+
+
+@query("prj_display", "SELECT c_custkey, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'mailto:a' || c_custkey || '@own.example' ELSE 'tel:+4412345678' END AS href FROM customer")
+def _(spark, d):
+    """SUP-29: what a list shows."""
+    contact = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@own.example"))).otherwise(F.lit("+44 12345678"))
+    shown = C.display(F.lit(""), F.col("c_name"), F.lit("d"), contact, F.lit(None).cast("string"))
+    return table(spark, d, "customer").select("c_custkey", shown["title"].alias("title"), shown["href"].alias("href"))

@@ -177,6 +177,27 @@ def _(spark, d):
     return facts(spark, d).filter(~blocked_query(POLICY, "query")).select("id")
 
 
+_SEGMENTS = [("Event / Expo", r"(?i)\bexpo\b"), ("Fund / Asset Manager", r"(?i)fund manager"), ("Trading Education", r"(?i)\bacademy\b"), ("Community", r"(?i)\bcommunity\b")]
+
+
+def _classify_sql() -> str:
+    cases = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{label}'" for label, p in _SEGMENTS)
+    first, last = POLICY.query("f0", ["segment_now"])
+    second, end = POLICY.query("g", ["lead_type_now"])
+    second = second.replace("p0 AS", "q0 AS")
+    assert end == "p0" == last
+    return f"""WITH {FACTS_SQL}, f0 AS (SELECT * REPLACE (CASE {cases} ELSE 'Unclear' END AS segment) FROM facts), {first}, g AS (SELECT * EXCLUDE (segment_now) REPLACE (segment_now AS segment) FROM p0), {second}
+SELECT id, segment, lead_type_now AS lead_type, CASE WHEN score >= 76 THEN 'A' WHEN score >= 58 THEN 'B' WHEN score >= 38 THEN 'C' ELSE 'D' END AS priority FROM q0"""
+
+
+@query("pol_classify", _classify_sql())
+def _(spark, d):
+    """PRJ-3: segment, kind of lead and priority of raw results."""
+    return POLICY.classified(facts(spark, d), _SEGMENTS, F.col("score")).select("id", "segment", "lead_type", "priority")
+
+
+policy_query("pol_search_signals", "synthetic", "query_intent")
+
 #: SNK-5: the columns of a row that is ready for sales.
 SALES_COLUMNS = ["best_score", "contact_score", "priority", "bucket", "best_type", "name", "url", "n_emails", "n_phones", "n_links", "n_websites", "n_makers", "snippet"]
 

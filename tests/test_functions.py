@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tamis.functions import contacts as C
 from tamis.functions import discovery as D
 from tamis.functions import ownership as W
+from tamis.functions import qualify as Q
 from tamis.functions import scoring as S
 from tamis.functions import text as T
 from tamis.functions import urls as U
@@ -119,3 +120,27 @@ def test_discovery(spark):
     hit = lambda t, c=None: D.matches_identity(F.lit(t), aliases, tokens, c)
     assert one(spark, hit("ana maria lopez trading profile"), hit("maria from lopez"), hit("maria only"), hit("maria only", F.lit(True)), hit("")) == (True, True, False, True, False)
     assert one(spark, D.contact_queries(F.lit(" "), ["{name} x"]), D.contact_queries(F.lit("A"), ["{name} {name}"])) == ([], ["A {name}"])
+
+
+def test_links_names_and_lists(spark):
+    links = F.array(*map(F.lit, ["https://instagram.com/ana", "https://firm.example/contact", "https://firm.example/"]))
+    (found,) = one(spark, C.split_links(links, ["instagram.com"]))
+    assert (found["social"], found["contact"], found["website"]) == (["https://instagram.com/ana"], ["https://instagram.com/ana", "https://firm.example/contact"], ["https://firm.example/contact", "https://firm.example/"])
+    assert one(spark, C.chat_link(F.lit("+44 1234 5678")), C.chat_link(F.lit("123")), C.normal_chat_link(F.lit("https://wa.me/"))) == ("https://wa.me/4412345678", None, "https://wa.me/")
+    assert one(spark, T.clean_identity(F.lit("@Ana Lopez (official) - Trader")), T.is_useful_identity(F.lit("forex"), "forex|gold"), T.is_useful_identity(F.lit("Ana"), "forex")) == ("Ana Lopez", False, True)
+    assert one(spark, T.names_in_text(F.lit("Ask Ana Lopez or Juan Carlos Diaz via @ana_fx, ana@x.example"))) == (["Ask Ana Lopez", "Juan Carlos Diaz", "ana_fx"],)
+    assert one(spark, Q.client_category(F.lit("Own site"), "web"), Q.client_category(F.lit("a Blog"), "blog"), Q.client_category(F.lit("mql5"), "web")) == (True, True, False)
+
+
+def test_clean_contacts(spark):
+    p = W.Platforms(hosts=["hub.example"], free_mail=["free.example"], handles=["hub"])
+    schema = "id int, url string, name string, title string, emails array<string>, phones array<string>, links array<string>, websites array<string>, forms array<string>, best_contact string, best_type string"
+    rows = [
+        (1, "https://hub.example/u/a", "Ana Lopez", "", ["other@free.example", "lopez@free.example"], [], ["https://hub.example/u/a"], [], [], "https://hub.example/u/a", "social"),
+        (2, "https://own.example", "B", "", [], ["+44 20 7946 0958"], [], ["https://hub.example/x", "https://b.example/"], [], "someone@b.example", "email"),
+        (3, "https://own.example", "C", "", None, None, None, None, None, None, None),
+    ]
+    one_, two, three = W.clean_contacts(spark.createDataFrame(rows, schema), p).orderBy("id").collect()
+    assert (one_["emails"], one_["links"], one_["best_contact"], one_["best_type"]) == (["lopez@free.example"], [], "lopez@free.example", "email")
+    assert (two["websites"], two["best_contact"], two["best_type"]) == (["https://b.example/"], "someone@b.example", "email")
+    assert (three["best_contact"], three["best_type"]) == (None, None)
