@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import col
 from tamis.llm.tokens import WordEncoder, tokenizer_path
 
 TIERS = (256, 512, 1024, 2048)
@@ -122,7 +123,7 @@ def pack(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer:
         if rows:
             yield out()
 
-    return docs.select(F.col(doc).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
+    return docs.select(col(doc).cast("long"), col(text).cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import ChunkCache
+from tamis.llm.common import col, ChunkCache
 from tamis.llm.tokens import tokenizer_path
 
 #: The symbol after a word's last byte.
@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", to
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_words", "n_tokens", "max_word_tokens"])
 
-    return docs.select(F.col(doc).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, max_word_tokens long")
+    return docs.select(col(doc).cast("long"), col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, max_word_tokens long")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,10 @@
 """Operator 6, toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A logistic model over a sentence's words and
-their beginnings gives each sentence a score, a document's
-score is their noisy-or (one minus the product of one minus each), and the likelihood of the documents' labels under
+A document is a bag of sentences. A logistic model over a sentence's words and their beginnings gives each sentence a
+score, a document's score is their noisy-or (one minus the product of one minus each), and the likelihood of the documents' labels under
 that score trains the sentence model, so sentences need no labels. Afterwards the sentences above one half are the
-offending ones. Training takes a sample of at most `max_training_documents` labelled documents, the first by a hash of
-their id; every document is scored over its whole text.
+offending ones. Training takes a sample of labelled documents, the first by a hash of their id, of at most
+MAX_TRAINING_DOCUMENTS and MAX_TRAINING_BYTES; every document is scored over its whole text.
 
 Cases: null and empty texts have one empty sentence and the score of the bias alone; a document with several labels
 trains once, with the largest; null labels and labels without a document don't train; repeated rows are scored each;
@@ -23,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import ChunkCache, col
 from tamis.llm.quality import plain_words
-from tamis.llm.common import ChunkCache
 
-MAX_TRAINING_DOCUMENTS = 8_000
+MAX_TRAINING_DOCUMENTS, MAX_TRAINING_BYTES = 8_000, 64_000_000
 #: A feature counts if it is in so many training documents, and in toxic ones more often than by chance by so many deviations.
 MIN_DOCUMENTS, MIN_DEVIATIONS, MAX_FEATURES = 6, 4.0, 5_000
 ROUNDS, RATE, L2 = 300, 0.08, 1e-4
@@ -48,7 +47,7 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 
 
 def held_out(doc) -> F.Column:
-    return F.crc32(F.col(doc).cast("string").cast("binary")) % 5 == 0
+    return F.crc32(col(doc).cast("string").cast("binary")) % 5 == 0
 
 
 def features(word: bytes) -> list[bytes]:
@@ -123,13 +122,26 @@ class SentenceModel:
         return -math.expm1(clean), bad
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAINING_DOCUMENTS) -> DataFrame:
-    """(text, label) of at most `most` labelled documents that are not held out."""
-    known = labels.filter(F.col(label).isNotNull() & ~held_out(doc)).groupBy(F.col(doc).alias("_doc")).agg(F.max(label).alias("label"))
+def training_sample(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAINING_DOCUMENTS, max_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
+    """(text, label) of labelled documents that are not held out: the first by a hash of their id, at most `most` and
+    `max_bytes` of text."""
+    known = labels.filter(col(label).isNotNull() & ~held_out(doc)).groupBy(col(doc).alias("_doc")).agg(F.max(col(label)).alias("label"))
     chosen = known.orderBy(F.xxhash64("_doc"), "_doc").limit(most)
     # `chosen` holds `most` short rows at most, which bounds the broadcast.
-    texts = docs.select(F.col(doc).alias("_doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return texts.join(F.broadcast(chosen), "_doc").orderBy(F.xxhash64("_doc"), F.xxhash64("text")).limit(most).select("text", "label")
+    texts = docs.select(col(doc).alias("_doc"), F.coalesce(col(text), F.lit("")).cast("binary").alias("text"))
+    place = [F.xxhash64("_doc"), F.xxhash64("text")]
+    found = texts.join(F.broadcast(chosen), "_doc").select(*(p.alias(f"p{i}") for i, p in enumerate(place)), "text", "label")
+    # Places and lengths first: three numbers for each of `most` rows.
+    sizes = found.select("p0", "p1", F.octet_length("text").alias("n")).orderBy("p0", "p1").limit(most).collect()
+    last, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > max_bytes:
+            break
+        last = (r["p0"], r["p1"])
+    if last is None:
+        return found.select("text", "label").limit(0)
+    return found.filter(F.struct("p0", "p1") <= F.struct(F.lit(last[0]).alias("p0"), F.lit(last[1]).alias("p1"))).orderBy("p0", "p1").limit(most).select("text", "label")
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,7 +156,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, *, doc: str = "doc_id
             bad = [[{"start": a, "end": b, "score": p} for a, b, p in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array(bad, kind)], ["doc_id", "score", "offending"])
 
-    return docs.select(F.col(doc).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
+    return docs.select(col(doc).cast("long"), col(text).cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tamis.llm.common import new_path, stored
+from tamis.llm.common import col, new_path, stored
 from tamis.llm.tokens import WordEncoder, tokenizer_path
 
 LENGTH, PER_SHARD, ROUNDS = 512, 16_384, 4
@@ -111,7 +111,7 @@ def sequences(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", token
                     yield pack(cutter.records())
         yield pack(cutter.records(last=True))
 
-    return docs.select(F.col(doc).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "data binary")
+    return docs.select(col(doc).cast("long"), col(text).cast("string").cast("binary")).mapInArrow(run, "data binary")
 
 
 def training_order(rows: DataFrame, *, key: int, per_shard: int = PER_SHARD) -> tuple[DataFrame, int]:
