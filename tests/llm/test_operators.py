@@ -248,6 +248,14 @@ def test_block_hashes_cover_the_block(width):
     assert seen
 
 
+@pytest.mark.parametrize("n", [0, 1, 200, 201, 5000])
+def test_packed_suffixes_come_back(n):
+    rng = np.random.default_rng(n)
+    columns = [np.sort(rng.integers(0, 2**64, n, np.uint64)), *(rng.integers(0, 2 if k is np.bool_ else np.iinfo(k).max, n, np.uint8 if k is np.bool_ else k).astype(k) for k in suffix_dedup.FIELDS[1:])]
+    back = suffix_dedup._unpack(suffix_dedup._pack(columns))
+    assert all((a == b).all() and b.dtype == k for a, b, k in zip(columns, back, suffix_dedup.FIELDS))
+
+
 def test_suffix_arrays_are_in_text_order():
     data = "".join(words(300, 5)).encode()
     _, _, _, at = suffix_dedup.anchors(np.frombuffer(data, np.uint8), np.array([0]), 50)

@@ -97,10 +97,18 @@ def test_line_stage(stages):
     _, before, after, columns, left = stages[1]
     assert left == columns
     kept = [(i, t) for i, _, dropped, t in brute_lines([(r["doc_id"], r["text"]) for r in before]) if not dropped or re.search(r"[0-9A-Za-z\x80-\U0010ffff]", t)]
-    assert sorted((r["doc_id"], r["text"]) for r in after) == sorted(kept) and len(kept) < len(before)
+    assert sorted((r["doc_id"], r["text"]) for r in after) == sorted(kept)
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
 
+def test_documents_whose_lines_all_went_go(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, f"{line}\n  \n."), (2, f"{line}\nown words"), (3, line), (4, ""), (5, None), (6, "\n"), (None, line)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    left = {(r["doc_id"], r["text"]) for r in pipeline.lines(spark, docs, SF).collect()}
+    assert left == {(2, "own words"), (3, line), (4, ""), (5, None), (6, "\n"), (None, line)}
+
+
 def test_near_duplicate_stage(stages):
     _, before, after, columns, left = stages[2]
     before = sorted(before, key=lambda r: r["doc_id"])

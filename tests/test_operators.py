@@ -176,3 +176,20 @@ def test_result_anchors_are_all_outgoing_links(spark):
     assert sorted((r["page_id"], r["url"]) for r in found) == sorted(expected)
     assert all(r["title"] == f"t{links[r['page_id']].index(r['url'])}" for r in found)
     assert sum(r["page_id"] == 1 for r in P.result_anchors(df, 10).collect()) == 10
+
+
+def test_periodic_export_writes_a_version_for_each_batch(spark, tmp_path):
+    source, table = tmp_path / "in", str(tmp_path / "export")
+    source.mkdir()
+    for n in range(2):
+        (source / f"{n}.json").write_text(json.dumps({"id": n}))
+        stream = spark.readStream.schema("id long").json(str(source))
+        R.periodic_export(stream, table, str(tmp_path / "cp"), once=True).awaitTermination()
+        assert [(r["id"], r["batch"]) for r in sinks.read_table(spark, table).collect()] == [(n, n)]
+
+
+def test_dead_letters_and_renamed_columns(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, e int")
+    assert sorted(tuple(r) for r in O.dead_letters(df, ["k"], F.col("e"), 2).collect()) == [("a", 2, 5, True), ("b", 1, 2, False)]
+    rows = spark.createDataFrame([(1, " ", "x "), (2, None, None)], "i int, a string, b string")
+    assert [tuple(r) for r in O.renamed(rows, {"id": "i", "name": ["a", "b"]}, {"name": "none"}).orderBy("id").collect()] == [(1, "x"), (2, "none")]
