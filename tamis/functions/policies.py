@@ -543,6 +543,12 @@ class Policy:
             out = out.withColumns({name: F.expr(self.sql(condition)) for name, condition in level})
         return out
 
+    def where(self, leads: DataFrame, condition: str, wanted: list[str]) -> DataFrame:
+        """The rows of `apply` for which a condition on the derived columns holds. The condition stays above them: pushed down,
+        it would repeat the rules of every column that it reads."""
+        out = self.apply(leads, wanted).withColumn("_fence", F.monotonically_increasing_id())
+        return out.filter(F.expr(condition) & (F.col("_fence") >= 0)).drop("_fence")
+
     def levels(self, wanted: list[str] | None = None) -> list[list[tuple[str, str]]]:
         """The steps in groups, none of which reads a column of its own group."""
         groups, own = [[]], set()

@@ -134,7 +134,7 @@ _RANK = "CASE WHEN actionable_contact THEN 35 ELSE 0 END + contact_confidence +
 @query("pol_final_list", oracle(["id", "domain", "bucket"], ["export_ok", "actionable_contact"], "export_ok", f"QUALIFY row_number() OVER (PARTITION BY domain, path ORDER BY {_RANK} DESC, score DESC, id) = 1"))
 def _(spark, d):
     """SUP-4: gate, order, one row of each address; the quota of a bucket follows with `limit_share`."""
-    rows = POLICY.apply(facts(spark, d), ["export_ok", "actionable_contact"]).filter("export_ok")
+    rows = POLICY.where(facts(spark, d), "export_ok", ["export_ok", "actionable_contact"])
     rows = O.first_per(rows.withColumn("_key", F.struct("domain", "path")), "_key", [F.expr(_RANK).desc(), F.desc("score"), F.asc("id")])
     return rows.select("id", "domain", "bucket")
 
@@ -145,21 +145,21 @@ _DUE_ORDER = "due_rank, CASE WHEN completeness < 35 THEN 0 ELSE 1 END, CASE WHEN
 @query("pol_enrichment_order", oracle(["id", "due"], ["due_rank", "due", "completeness", "outreach", "platform_rank"], "due <> ''", f"ORDER BY {_DUE_ORDER} LIMIT 50"))
 def _(spark, d):
     """SUP-8, SRT-6: what is due, in the order of nine keys; a work list of fifty."""
-    rows = POLICY.apply(facts(spark, d), ["due_rank", "due", "completeness", "outreach", "platform_rank"]).filter("due <> ''")
+    rows = POLICY.where(facts(spark, d), "due <> ''", ["due_rank", "due", "completeness", "outreach", "platform_rank"])
     return rows.orderBy(*(F.expr(k.strip().removesuffix(" DESC")).desc() if k.endswith(" DESC") else F.expr(k.strip()).asc() for k in _DUE_ORDER.split(", "))).limit(50).select("id", "due")
 
 
 @query("pol_commercial_rank", oracle(["id", "row_number() OVER (ORDER BY outreach DESC, contact_confidence DESC, score DESC, id) AS place"], ["outreach", "export_ok"], "export_ok"))
 def _(spark, d):
     """SRT-5: exported leads by outreach score, confidence and score."""
-    rows = POLICY.apply(facts(spark, d), ["outreach", "export_ok"]).filter("export_ok").select("id", "outreach", "contact_confidence", "score")
+    rows = POLICY.where(facts(spark, d), "export_ok", ["outreach", "export_ok"]).select("id", "outreach", "contact_confidence", "score")
     return O.ranked(rows, [F.desc("outreach"), F.desc("contact_confidence"), F.desc("score"), F.asc("id")], "place").select("id", "place")
 
 
 @query("pol_audit_order", oracle(["id", "n_suspicious"], ["n_suspicious", "best_score"], "n_suspicious > 0", "ORDER BY best_score DESC, n_suspicious DESC, id LIMIT 100"))
 def _(spark, d):
     """SRT-9: a report of the hundred most suspicious by score and number of reasons."""
-    rows = POLICY.apply(facts(spark, d), ["n_suspicious", "best_score"]).filter("n_suspicious > 0")
+    rows = POLICY.where(facts(spark, d), "n_suspicious > 0", ["n_suspicious", "best_score"])
     return rows.orderBy(F.desc("best_score"), F.desc("n_suspicious"), "id").limit(100).select("id", "n_suspicious")
 
 
@@ -205,7 +205,7 @@ SALES_COLUMNS = ["best_score", "contact_score", "priority", "bucket", "best_type
 @query("pol_sales_rows", oracle(["id", *SALES_COLUMNS], ["sales_gate", "contact_score", "best_score"], "sales_gate = ''"))
 def _(spark, d):
     """SNK-5: rows ready for sales with the columns of their export."""
-    return POLICY.apply(facts(spark, d), ["sales_gate", "contact_score", "best_score"]).filter("sales_gate = ''").select("id", *SALES_COLUMNS)
+    return POLICY.where(facts(spark, d), "sales_gate = ''", ["sales_gate", "contact_score", "best_score"]).select("id", *SALES_COLUMNS)
 
 
 @query("pol_dead_letters", "SELECT user_id, event_type, count(*) AS attempts, max(CAST(floor(value) AS INT)) AS last_value, count(*) >= 3 AS dead FROM events WHERE CAST(floor(value) AS INT) % 7 = 0 GROUP BY 1, 2")
