@@ -28,7 +28,7 @@ WORDS = {
     },
 }
 #: Bytes of text that are worked on at once, and segments whose ids are kept.
-SLAB, KEPT = 4 << 20, 300_000
+SLAB, KEPT = 2 << 20, 300_000
 _BLANK, _ALNUM, _MARK, _QUOTE, _BEYOND = range(5)
 _CLASS = np.array([_BLANK if b in b" \t\n\x0b\x0c\r" else _BEYOND if b >= 128 else _ALNUM if chr(b).isalnum() else _QUOTE if b == 39 else _MARK for b in range(256)], np.uint8)
 # A segment ends at white space, and where letters or digits meet an ASCII mark that isn't an apostrophe.
