@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,26 +135,40 @@ def _joined(held):
     return [i for i, _, _ in held], data, starts, np.array([at for *_, at in held], np.int64)
 
 
-#: A range's sorted suffixes: text order (first three), document, place, windows before and in all, known as shared.
+#: A range's sorted suffixes: text order (first three), document, place, windows before and in all, known as shared. The
+#: bytes of the first number's steps and of the place are laid out by significance, which compresses better.
 FIELDS = (np.uint64, np.uint64, np.uint32, np.int64, np.uint32, np.uint8, np.uint8, np.bool_)
+_BY_BYTE = (0, 4)
 
 
 def _pack(columns) -> bytes:
     from zstandard import ZstdCompressor
 
+    squeeze = ZstdCompressor(level=1).compress
     first, *rest = (np.ascontiguousarray(c, k) for c, k in zip(columns, FIELDS))
     data = [np.diff(first, prepend=np.uint64(0)), *rest]
-    return ZstdCompressor(level=1).compress(len(first).to_bytes(4, "little") + b"".join(c.tobytes() for c in data))
+    data = [(c.view(np.uint8).reshape(-1, c.itemsize).T if i in _BY_BYTE else c).tobytes() for i, c in enumerate(data)]
+    # Few rows are one part, as each part has a head of its own.
+    parts = [squeeze(c) for c in data] if len(first) > 200 else [squeeze(b"".join(data))]
+    return b"".join(x.to_bytes(4, "little") for x in (len(first), *map(len, parts))) + b"".join(parts)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
     from zstandard import ZstdDecompressor
 
-    data = ZstdDecompressor().decompress(blob)
-    n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for kind in FIELDS:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+    unpack = ZstdDecompressor().decompress
+    n = int.from_bytes(blob[:4], "little")
+    sizes = np.frombuffer(blob, "<u4", len(FIELDS) if n > 200 else 1, 4).tolist()
+    at, data = 4 + 4 * len(sizes), b""
+    for size in sizes:
+        data += unpack(blob[at : at + size])
+        at += size
+    out, at = [], 0
+    for i, kind in enumerate(FIELDS):
+        width = np.dtype(kind).itemsize
+        raw = np.frombuffer(data, np.uint8, n * width, at)
+        out.append(np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel() if i in _BY_BYTE else raw.view(kind))
+        at += n * width
     return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
@@ -537,27 +552,45 @@ def _window_spans(width: int):
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def _merged(batch, width: int) -> tuple[np.ndarray, ...]:
+    """(row, begin, end) of a batch's own spans, sorted and joined where they meet."""
+    lists = batch.column("spans")
+    spans, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    key, n, data = spans.field("key").to_numpy(), pc.fill_null(spans.field("n"), -1).to_numpy().astype(np.int64), spans.field("data")
+    if not len(row):
+        return row, row, row
+    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    values = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view("<u4").astype(np.int64)
+    count = np.diff(offsets) // 4
+    of = np.repeat(np.arange(len(row)), count)
+    place = np.arange(len(values)) - (np.cumsum(count) - count)[of]
+    # Pairs, or first windows of blocks; those of another row with the same id aren't this row's.
+    paired = n[of] < 0
+    begins = np.flatnonzero((~paired | (place % 2 == 0)) & (key == batch.column("key").to_numpy()[row])[of])
+    if not len(begins):
+        return begins, begins, begins
+    a, r = values[begins], row[of[begins]]
+    e = np.where(paired[begins], values[np.minimum(begins + 1, len(values) - 1)], a + n[of[begins]] + width)
+    # One number for row and place keeps rows apart.
+    a, e = a + (r << 40), e + (r << 40)
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(e[order])
+    new = np.append(True, a[1:] > reach[:-1])
+    a, e = a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
+    return a >> 40, a & ((1 << 40) - 1), e & ((1 << 40) - 1)
+
+
 def _cutter(width: int, with_text: bool):
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, key, t, spans in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), _texts(batch), batch.column("spans").to_pylist()):
-                found = []
-                for x in spans or ():
-                    if x["key"] == key:
-                        data = np.frombuffer(x["data"], "<u4").astype(np.int64)
-                        found.append(data.reshape(-1, 2) if x["n"] is None else np.stack([data, data + x["n"] + width], axis=1))
-                kept, removed, n_spans = t, 0, 0
-                if found:
-                    found = np.concatenate(found)
-                    # Sorted spans, joined where they meet.
-                    found = found[np.argsort(found[:, 0], kind="stable")]
-                    reach = np.maximum.accumulate(found[:, 1])
-                    new = np.append(True, found[1:, 0] > reach[:-1])
-                    begins, ends = found[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(found) - 1)]
-                    removed, n_spans = int((ends - begins).sum()), len(begins)
-                    kept = b"".join(t[i:j] for i, j in zip([0, *ends.tolist()], [*begins.tolist(), len(t)]))
-                out.append((doc, len(t), removed, n_spans, kept if with_text else hashlib.sha256(kept).hexdigest().encode()))
+            row, begins, ends = _merged(batch, width)
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            begins, ends, out = begins.tolist(), ends.tolist(), []
+            for i, (doc, t) in enumerate(zip(batch.column("doc").to_pylist(), _texts(batch))):
+                b, e = begins[cuts[i] : cuts[i + 1]], ends[cuts[i] : cuts[i + 1]]
+                kept = b"".join([t[x:y] for x, y in zip([0, *e], [*b, len(t)])]) if b else t
+                out.append((doc, len(t), sum(e) - sum(b), len(b), kept if with_text else hashlib.sha256(kept).hexdigest().encode()))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
