@@ -144,11 +144,11 @@ def test_ball_kmeans_ties_and_small_tables(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = bk.ball_kmeans(bk.usable(df))
     members, centroids = lloyd(rows)
-    assert found.centroids == centroids and sorted(tuple(r) for r in found.members.collect()) == members
+    assert found.centroids == centroids and sorted((tuple(r) for r in found.members.collect()), key=repr) == members
     few = spark.createDataFrame(rows[:3] + rows[:1], df.schema)
     found = bk.ball_kmeans(bk.usable(few))
     members, centroids = lloyd(rows[:3] + rows[:1])
-    assert found.centroids == centroids and sorted(tuple(r) for r in found.members.collect()) == members
+    assert found.centroids == centroids and sorted((tuple(r) for r in found.members.collect()), key=repr) == members
     assert bk.ball_kmeans(bk.usable(df.limit(0))).members.count() == 0
     with pytest.raises(Exception, match="beyond"):
         bk.ball_kmeans(bk.usable(spark.createDataFrame([(1, [1e9] + [0.0] * 63)], df.schema)))
