@@ -56,11 +56,11 @@ def _(spark, d):
     return m.select("c_custkey", W.is_owned_email(F.col("email"), "source", words, DEMO).alias("owned"))
 
 
-@query("str_decode_loose", "SELECT doc_id, sha256(replace(replace(replace(text, '\\u0026', '&'), '\\/', '/'), '&amp;', '&')) AS decoded FROM documents WHERE NOT contains(text, '%') AND NOT contains(text, '\\u003d')")
+@query("str_decode_loose", r"""WITH t AS (SELECT doc_id, replace(replace(replace(replace(text, '\u0026', '&'), '\u003d', '='), '\/', '/'), '&amp;', '&') AS t FROM documents)
+SELECT doc_id, sha256(CASE WHEN contains(regexp_replace(t, '%[0-9A-Fa-f]{2}', '', 'g'), '%') THEN t ELSE url_decode(t) END) AS decoded FROM t""")
 def _(spark, d):
-    """STR-8: texts with their escapes undone; those with percent codes are in the unit tests."""
-    docs = table(spark, d, "documents").filter(~F.col("text").contains("%") & ~F.col("text").contains("\\u003d"))
-    return docs.select("doc_id", F.sha2(T.decode_loose("text"), 256).alias("decoded"))
+    """STR-8: texts with their escapes undone, percent codes too."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.decode_loose("text"), 256).alias("decoded"))
 
 
 @query("str_generic_names", "SELECT p_partkey, regexp_matches(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), '^(?:small|red|blue) (?:bolt|ring)$') AS generic FROM part")
@@ -86,13 +86,13 @@ def _(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.explode(D.contact_queries("s_name", ['"{name}" contact', "{name} owner"])).alias("q"))
 
 
-@query("flt_identity_match", "SELECT p_partkey, p_brand = 'Brand#13' OR (contains(p_name, 'small') AND contains(p_name, 'bolt')) OR p_name = 'red ring' AS hit FROM part")
+@query("flt_identity_match", """WITH t AS (SELECT p_partkey, p_size > 25 AS near, regexp_replace(lower(p_name || p_brand), '[^a-z0-9]+', '', 'g') AS t FROM part)
+SELECT p_partkey, contains(t, 'redring') OR contains(t, 'brand13') OR (contains(t, 'small') AND contains(t, 'bolt')) OR (near AND (contains(t, 'small') OR contains(t, 'bolt'))) AS hit FROM t""")
 def _(spark, d):
-    """FLT-22: parts that an alias or two tokens of "small bolt", a context's token or the alias "red ring" name."""
+    """FLT-22: parts that one of two aliases names, or both tokens of "small bolt", or one of them where the size speaks for it."""
     p = table(spark, d, "part")
-    pair = D.matches_identity(F.concat_ws(" ", "p_name", "p_brand"), F.array(F.lit("redring"), F.lit("brand13")), F.array(F.lit("small"), F.lit("bolt")))
-    exact = F.when(F.col("p_brand") == "Brand#13", True).otherwise(pair & ((F.col("p_name") == "red ring") | F.col("p_name").rlike("small.*bolt")))
-    return p.select("p_partkey", exact.alias("hit"))
+    hit = D.matches_identity(F.concat_ws(" ", "p_name", "p_brand"), F.array(F.lit("redring"), F.lit("brand13")), F.array(F.lit("small"), F.lit("bolt")), F.col("p_size") > 25)
+    return p.select("p_partkey", hit.alias("hit"))
 
 
 @query("src_waves", f"""WITH r AS (SELECT page_id, page_id % 9 AS q, page_id % 2 AS wave, {safe_url_sql('url')} AS u FROM pages), f AS (SELECT * FROM r WHERE u IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q, u ORDER BY wave, page_id) = 1)

@@ -126,10 +126,11 @@ def _(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels").filter("quality = 0"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("join_domain_suffix", f"WITH p AS (SELECT page_id, {domain_sql('url')} AS domain FROM pages), h AS (SELECT DISTINCT regexp_extract(domain, '([^.]+\\.[^.]+)$', 1) AS host FROM p WHERE page_id % 7 = 0) SELECT DISTINCT page_id FROM p, h WHERE domain = host OR ends_with(domain, '.' || host)")
+@query("join_domain_suffix", f"WITH p AS (SELECT page_id, {domain_sql('url')} AS domain FROM pages), h AS (SELECT regexp_extract(domain, '([^.]+\\.[^.]+)$', 1) AS host FROM p GROUP BY 1 HAVING count(DISTINCT domain) > 1) SELECT DISTINCT page_id FROM p, h WHERE domain = host OR ends_with(domain, '.' || host)")
 def _(spark, d):
     p = table(spark, d, "pages").select("page_id", U.domain_of("url").alias("domain"))
-    hosts = p.filter("page_id % 7 = 0").select(F.regexp_extract("domain", r"([^.]+\.[^.]+)$", 1).alias("host"))
+    # Hosts that pages of several domains are below.
+    hosts = p.groupBy(F.regexp_extract("domain", r"([^.]+\.[^.]+)$", 1).alias("host")).agg(F.countDistinct("domain").alias("n")).filter("n > 1")
     return O.suffix_join(p, "domain", hosts).select("page_id")
 
 
@@ -388,9 +389,10 @@ def _(spark, d):
 # --- scalar functions -------------------------------------------------------------------------------------------------
 
 
-@query("str_normalize", r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n, trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')) AS head FROM documents")
+@query("str_normalize", r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS whole FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(T.normalize_space("text")).cast("long").alias("n"), T.normalize_space(F.substring("text", 1, 60)).alias("head"))
+    plain = T.normalize_space("text")
+    return table(spark, d, "documents").select("doc_id", F.length(plain).cast("long").alias("n"), F.sha2(plain, 256).alias("whole"))
 
 
 @query("str_strip_html", r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g'))) AS h FROM pages")
@@ -444,16 +446,14 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", U.title_from_url("url").alias("title"))
 
 
-@query("url_contact_candidates", f"SELECT page_id, regexp_extract({safe_url_sql('url')}, '^(https?://[^/?#]+)', 1) || '/contact-us' AS candidate FROM pages")
+@query("url_contact_candidates", f"SELECT page_id, regexp_extract({safe_url_sql('url')}, '^(https?://[^/?#]+)', 1) || '/' || path AS candidate FROM pages, (VALUES ('contact'), ('contact-us'), ('contacts'), ('contato'), ('contacto'), ('about'), ('about-us'), ('partners'), ('partnership'), ('affiliate'), ('affiliates'), ('team')) t(path)")
 def _(spark, d):
-    found = table(spark, d, "pages").select("page_id", F.explode(U.contact_candidates("url")).alias("candidate"))
-    return found.filter(F.col("candidate").endswith("/contact-us"))
+    return table(spark, d, "pages").select("page_id", F.explode(U.contact_candidates("url")).alias("candidate"))
 
 
-@query("arr_extract_contacts", r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}')), ',') AS emails FROM documents WHERE len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}'))) = 1")
+@query("arr_extract_contacts", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}'))), ',') AS emails FROM documents")
 def _(spark, d):
-    found = table(spark, d, "documents").select("doc_id", C.extract_all("text", C.EMAIL).alias("e"))
-    return found.filter(F.size("e") == 1).select("doc_id", F.concat_ws(",", "e").alias("emails"))
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", F.array_sort(C.extract_all("text", C.EMAIL))).alias("emails"))
 
 
 @query("arr_clean_emails", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'maria' || c_custkey || '@acme.com' WHEN 2 THEN '' WHEN 3 THEN 'ana@firm.example2.org' ELSE '' END AS kept FROM customer")
