@@ -6,7 +6,7 @@ histogram and its histogram over the common words (and all others together) with
 distance (base 2, so 0 to 1). A document is rejected when a distance passes its threshold, and each comparison is made
 only for documents that are long enough. The word threshold of a language is a share of the distance that a text without
 any of its common words has, so that such a text can reach it, with a term for short texts. Base rules count short and
-self-repeating texts. The registered query turns the share off, as its SQL holds one threshold for all languages.
+self-repeating texts.
 
 Cases: null and empty texts have no words and fail the base rule; a null language counts as the empty one; a language
 with fewer than `min_reference_words` words has no reference, and its documents are judged by the base rule alone;
@@ -191,7 +191,7 @@ def judge(docs: DataFrame, *, carry: list[str] | None = None, lang: str = "lang"
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    judged = judge(docs, carry=["doc_id"], word_share=None)
+    judged = judge(docs, carry=["doc_id"])
     return judged.select("row.doc_id", *(c.split()[0] for c in BASE.split(", ") if "distance" not in c))
 
 
@@ -215,15 +215,17 @@ tot AS (SELECT lang, sum(n) AS total FROM rw GROUP BY 1 HAVING sum(n) >= {MIN_RE
 top AS (SELECT rw.lang, word, n FROM rw JOIN tot ON rw.lang = tot.lang QUALIFY row_number() OVER (PARTITION BY rw.lang ORDER BY n DESC, word) <= {COMMON}),
 qw AS (SELECT lang, word, n / total AS q FROM top JOIN tot USING (lang) UNION ALL SELECT lang, NULL, (max(total) - sum(n)) / max(total) FROM top JOIN tot USING (lang) GROUP BY 1),
 qc AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM rc WHERE lang IN (SELECT lang FROM tot)),
+th AS (SELECT lang, {WORD_SHARE} * {WORD_SHARE} * (log2(2 / (1 + o)) + 1 - o + CASE WHEN o > 0 THEN o * log2(2 * o / (1 + o)) ELSE 0 END) / 2 AS without, {WORD_SPREAD} * bins / (8 * ln(2)) AS spread
+  FROM (SELECT lang, count(word) AS bins, max(CASE WHEN word IS NULL THEN q END) AS o FROM qw GROUP BY 1)),
 dw AS (SELECT doc_id, v.lang, top.word, count(*) AS n FROM (SELECT doc_id, lang, unnest(p) AS word FROM v WHERE len(p) >= {MIN_WORDS}) v LEFT JOIN top ON v.lang = top.lang AND v.word = top.word GROUP BY 1, 2, 3),
 pw AS (SELECT doc_id, lang, word, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM dw),
 jw AS (SELECT v.doc_id, coalesce(pw.p, 0) AS p, qw.q FROM v JOIN qw ON v.lang = qw.lang LEFT JOIN pw ON pw.doc_id = v.doc_id AND pw.word IS NOT DISTINCT FROM qw.word WHERE len(v.p) >= {MIN_WORDS}),
 jc AS (SELECT v.doc_id, c[k] / list_sum(c) AS p, q FROM v JOIN qc ON v.lang = qc.lang WHERE list_sum(c) >= {MIN_CHARS}),
 js AS (SELECT 'w' AS kind, doc_id, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS d FROM jw GROUP BY 2
   UNION ALL SELECT 'c', doc_id, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 FROM jc GROUP BY 2),
-b AS (SELECT v.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS n FROM v LEFT JOIN dup ON dup.doc_id = v.doc_id LEFT JOIN rep ON rep.doc_id = v.doc_id),
+b AS (SELECT v.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS n, least({MAX_WORD_DISTANCE}, sqrt(without + spread / greatest(1, len(p)))) AS most FROM v LEFT JOIN th ON th.lang = v.lang LEFT JOIN dup ON dup.doc_id = v.doc_id LEFT JOIN rep ON rep.doc_id = v.doc_id),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (base_failed OR coalesce(sqrt(greatest(0, jc.d)) > {MAX_CHAR_DISTANCE} + 1 / sqrt(n), false) OR coalesce(sqrt(greatest(0, jw.d)) > {MAX_WORD_DISTANCE}, false)) AS kept
+  NOT (base_failed OR coalesce(sqrt(greatest(0, jc.d)) > {MAX_CHAR_DISTANCE} + 1 / sqrt(n), false) OR coalesce(sqrt(greatest(0, jw.d)) > most, false)) AS kept
 FROM f LEFT JOIN js jc ON jc.doc_id = f.doc_id AND jc.kind = 'c' LEFT JOIN js jw ON jw.doc_id = f.doc_id AND jw.kind = 'w'
 """

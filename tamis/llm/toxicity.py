@@ -3,12 +3,13 @@
 A document is a bag of sentences. A logistic model over a sentence's words and their beginnings gives each sentence a
 score, a document's score is their noisy-or (one minus the product of one minus each), and the likelihood of the documents' labels under
 that score trains the sentence model, so sentences need no labels. Afterwards the sentences above one half are the
-offending ones. Training takes a sample of labelled documents, the first by a hash of their id, of at most
+offending ones. Training takes a sample of labelled documents, the first by a hash of their id and text, of at most
 MAX_TRAINING_DOCUMENTS and MAX_TRAINING_BYTES; every document is scored over its whole text.
 
 Cases: null and empty texts have one empty sentence and the score of the bias alone; a document with several labels
-trains once, with the largest; null labels and labels without a document don't train; repeated rows are scored each;
-without any training document all scores are 0; labels, language, source and id are never inputs of a score.
+trains once, with the largest; null labels and labels without a document don't train, nor count for the sample's bounds;
+repeated rows train and are scored each; without any labelled document all scores are 0, and if there are some but
+none fits the bounds, training fails; labels, language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -123,25 +124,25 @@ class SentenceModel:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAINING_DOCUMENTS, max_bytes: int = MAX_TRAINING_BYTES) -> DataFrame:
-    """(text, label) of labelled documents that are not held out: the first by a hash of their id, at most `most` and
-    `max_bytes` of text."""
+    """(text, label) of labelled documents that are not held out: the first by a hash of their id and text, at most `most`
+    and `max_bytes` of text. Those that don't fit into what is left of the bytes are passed over; if there are labelled
+    documents and none fits, that is an error."""
     known = labels.filter(col(label).isNotNull() & ~held_out(doc)).groupBy(col(doc).alias("_doc")).agg(F.max(col(label)).alias("label"))
-    chosen = known.orderBy(F.xxhash64("_doc"), "_doc").limit(most)
-    # `chosen` holds `most` short rows at most, which bounds the broadcast.
     texts = docs.select(col(doc).alias("_doc"), F.coalesce(col(text), F.lit("")).cast("binary").alias("text"))
-    place = [F.xxhash64("_doc"), F.xxhash64("text")]
-    found = texts.join(F.broadcast(chosen), "_doc").select(*(p.alias(f"p{i}") for i, p in enumerate(place)), "text", "label")
-    # Places and lengths first: three numbers for each of `most` rows.
-    sizes = found.select("p0", "p1", F.octet_length("text").alias("n")).orderBy("p0", "p1").limit(most).collect()
-    last, held = None, 0
-    for r in sizes:
-        held += r["n"]
-        if held > max_bytes:
-            break
-        last = (r["p0"], r["p1"])
-    if last is None:
-        return found.select("text", "label").limit(0)
-    return found.filter(F.struct("p0", "p1") <= F.struct(F.lit(last[0]).alias("p0"), F.lit(last[1]).alias("p1"))).orderBy("p0", "p1").limit(most).select("text", "label")
+    texts = texts.withColumns({"p0": F.xxhash64("_doc"), "p1": F.xxhash64("text")})
+    # Places and lengths first, without the texts: three numbers for each of `most` rows reach the driver.
+    found = texts.select("_doc", "p0", "p1", F.octet_length("text").alias("n")).join(known, "_doc")
+    chosen, held = Counter(), 0
+    for r in found.filter(F.col("n") <= max_bytes).orderBy("p0", "p1").limit(most).collect():
+        if held + r["n"] <= max_bytes:
+            held += r["n"]
+            chosen[r["p0"], r["p1"], int(r["label"])] += 1
+    if not chosen and found.head(1):
+        raise ValueError(f"no labelled document fits into {most} documents of {max_bytes} bytes")
+    # `most` rows of four numbers at most, which bounds the broadcast; a repeated row is there as often as it was chosen.
+    places = F.broadcast(docs.sparkSession.createDataFrame([(*p, n) for p, n in chosen.items()], "p0 long, p1 long, label int, n int"))
+    once = texts.join(places, ["p0", "p1"]).dropDuplicates(["p0", "p1"])
+    return once.select("text", "label", F.explode(F.sequence(F.lit(1), "n"))).select("text", "label")
 
 
 def score_documents(docs: DataFrame, model: SentenceModel, *, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -355,7 +355,18 @@ def test_toxicity_sample_is_bounded_in_bytes(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
     all_ = toxicity.training_sample(docs, labels).count()
     assert toxicity.training_sample(docs, labels, max_bytes=1050).count() == 10 < all_
-    assert toxicity.training_sample(docs, labels, most=7).count() == 7 and toxicity.training_sample(docs, labels, max_bytes=50).count() == 0
+    assert toxicity.training_sample(docs, labels, most=7).count() == 7
+    with pytest.raises(ValueError, match="no labelled document"):
+        toxicity.training_sample(docs, labels, max_bytes=50)
+
+
+def test_toxicity_sample_passes_over_what_does_not_count(spark):
+    # Documents longer than all bytes, one of them first by hash in some seed, and labels of documents that aren't there.
+    docs = docs_of(spark, ["x" * (5000 if i < 20 else 100) + str(i) for i in range(40)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(1000 + i, 1, 1) for i in range(3000)], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_sample(docs, labels, most=100, max_bytes=2000).collect()
+    assert len(sample) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20, 40)) and all(len(r["text"]) < 200 for r in sample)
+    assert 0 < toxicity.training_sample(docs, labels, most=12, max_bytes=12_000).count() <= 12
 
 
 def test_toxicity_sample_and_scores(spark):

@@ -1,5 +1,7 @@
 """The SQL of the training-data operators against their queries over the smallest tables, and over tables that repeat ids."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -38,3 +40,17 @@ def test_line_dedup_matches_sql_on_repeated_ids(spark, tmp_path):
 
 
 
+def test_quality_rejects_by_common_words_as_in_sql(spark, tmp_path):
+    """A long text without one of its language's common words, in letters and marks like the others, goes by its words alone."""
+    rng = random.Random(5)
+    common, rare = [f"{a}{b}e" for a in "bcdfglmn" for b in "aeiou"], [f"{a}{b}{c}a" for a in "bcdfglmnprst" for b in "aeiou" for c in "lmnrst"]
+    prose = lambda share, n=150: " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n)) + "."
+    docs = [(i, prose(0.4), "en", 1) for i in range(120)] + [(500, prose(0.0), "en", 1), (501, prose(0.0, 30), "en", 1), (502, prose(0.0), None, 1), (503, None, "en", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, kept int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = QUERIES["op2_quality"](spark, str(tmp_path))
+    kept = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in found.collect()}
+    columns, data = told(str(tmp_path), "op2_quality")
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(columns, data)
+    assert kept[500] == (False, False) and kept[501] == kept[502] == (False, True) and kept[503] == (True, False)
+    assert all(kept[i] == (False, True) for i in range(120))
