@@ -21,9 +21,14 @@ def shared_dir(spark) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str = "edges", paths: list[str] | None = None) -> DataFrame:
     """The rows written to a table in the shared folder and read again; its path is added to `paths`."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     if paths is not None:
         paths.append(path)
     df.write.parquet(path)

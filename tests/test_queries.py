@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tamis.plans import contact_queries, policy_queries, record_queries
+from tamis.plans import contact_queries, policy_queries, record_queries, stream_queries
 
-QUERIES, ORACLES = record_queries.QUERIES | policy_queries.QUERIES | contact_queries.QUERIES, record_queries.ORACLES | policy_queries.ORACLES | contact_queries.ORACLES
+PLANS = (record_queries, policy_queries, contact_queries, stream_queries)
+QUERIES, ORACLES = ({k: v for p in PLANS for k, v in getattr(p, name).items()} for name in ("QUERIES", "ORACLES"))
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
