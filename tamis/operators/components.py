@@ -47,11 +47,12 @@ def _with_least(edges: DataFrame, paths: list[str]) -> DataFrame:
     return edges.join(least, "u")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 50, tables: list[str] | None = None) -> DataFrame:
     """edges (a, b), any orderable type -> (node, component): the least node that it is connected with.
 
     Nodes are those of some edge between different nodes. Every round writes its edges to the shared folder, so an
-    executor's loss costs one round at most; the tables of earlier rounds are removed.
+    executor's loss costs one round at most; the tables of earlier rounds are removed. The last one's path is added to
+    `tables`, for a caller who removes it once the result is written.
     """
     paths: list[str] = []
     now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), paths=paths)
@@ -73,4 +74,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         del paths[:-1]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if tables is not None:
+        tables += paths
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,7 +6,10 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tamis.operators.components import new_path, remove_path
+from tamis.operators.components import new_path, remove_path, stored
+from tamis.operators.linkage import Linkage
+from tamis.plans.demo import table
+from tamis.sources.change_table import ChangeTable
 from tamis.streaming.work_queue import HOUR, OUT, Rules, work_queue
 
 QUERIES, ORACLES = {}, {}
@@ -67,3 +70,44 @@ def leased_queue(spark, d):
     moves.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     remove_path(spark, marks)
     return spark.read.schema(OUT).parquet(out)
+
+
+@query(
+    "ups_change_table",
+    """WITH b AS (SELECT *, (day(ts) - 1) // 8 AS batch FROM events)
+SELECT user_id, arg_max(event_type, event_id) FILTER (batch = first_batch) AS first_type, arg_max(value, (batch, event_id)) AS last_value, max(value) AS most, min(ts) AS since,
+  list_sort(list(DISTINCT event_type)) AS kinds FROM (SELECT *, min(batch) OVER (PARTITION BY user_id) AS first_batch FROM b) GROUP BY 1""",
+)
+def change_table(spark, d):
+    """UPS-1, STM-2: events in four batches of eight days, each appended as a run; the second fold meets folded runs."""
+    path = new_path(spark, "changes")
+    kept = ChangeTable(spark, path, "user_id long, first_type string, last_value double, most double, since timestamp, kinds array<string>", ["user_id"], {"first_type": "first", "most": "max", "since": "min", "kinds": "union"}, ranges=16, fan=2)
+    events = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("first_type"), F.col("value").alias("last_value"), F.col("ts").cast("timestamp").alias("since"))
+    for n in range(4):
+        batch = events.filter(F.floor((F.dayofmonth("since") - 1) / 8) == n)
+        own = batch.groupBy("user_id").agg(F.max("last_value").alias("most"), F.min("since").alias("since"), F.collect_set("first_type").alias("kinds"))
+        last = batch.groupBy("user_id").agg(*(F.max_by(c, "event_id").alias(c) for c in ("first_type", "last_value")))
+        kept.append(own.join(last, "user_id"), n)
+    out = stored(kept.read().withColumn("kinds", F.array_sort("kinds")), "changed")
+    remove_path(spark, path)
+    return out
+
+
+@query(
+    "ded_incremental_linkage",
+    """WITH RECURSIVE k AS (SELECT p_partkey AS id, 'b' || p_brand || ':' || p_size || ':' || p_type AS k FROM part UNION ALL SELECT p_partkey, 'p:' || p_retailprice || ':' || p_size FROM part),
+h AS (SELECT k, min(id) AS a FROM k GROUP BY k), e AS (SELECT DISTINCT h.a, k.id AS b FROM k JOIN h USING (k) WHERE h.a <> k.id), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, x) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.x) SELECT id, min(x) AS entity FROM r GROUP BY id""",
+)
+def incremental_linkage(spark, d):
+    """DED-6: parts that arrive in three batches, by a hash of their key, linked as they come."""
+    path = new_path(spark, "linkage")
+    size = F.col("p_size").cast("string")
+    keys = F.array(F.concat(F.lit("b"), "p_brand", F.lit(":"), size, F.lit(":"), "p_type"), F.concat(F.lit("p:"), F.col("p_retailprice").cast("string"), F.lit(":"), size))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), keys.alias("keys"))
+    linkage = Linkage(spark, path, ranges=16)
+    for n in range(3):
+        linkage.add(parts.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == n), n)
+    out = stored(linkage.entities(), "linked")
+    remove_path(spark, path)
+    return out

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tamis.operators.core import upsert
-from tamis.sources.sinks import read_table, replace_table
+from tamis.sources.change_table import ChangeTable
+from tamis.sources.sinks import replace_table
 
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
@@ -23,29 +22,37 @@ def windowed_counts(stream: DataFrame, at: str, by: list[str], width: str, late:
     return stream.withWatermark(at, late).groupBy(F.window(at, width).alias("window"), *by).agg(F.count("*").alias("n"))
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, *, key: str, now: Callable[[], Column], empty: DataFrame, buckets: int = 16) -> StreamingQuery:
-    """STM-2: every micro-batch is merged into the table by key, with the batch's number as run id. The table has a versioned
-    folder for each bucket of keys, of which a batch rewrites those that it touches; a batch that runs again after a
-    failure finds in each bucket the state before it or its own result, which merging again doesn't change."""
+#: How columns of upserted records follow from their changes; others take the last value that isn't null.
+UPSERT = {"stage": "first", "first_seen": "first", "run_ids": "union"}
+
+
+def upsert_changes(batch: DataFrame, *, key: str, run_id: str, now: Column, ord_: str = "ord") -> DataFrame:
+    """What a batch of records changes in a table under the rules of UPSERT: a row per key, its later values over earlier
+    ones, with the run, the time, and what a record that is new gets."""
+    folds = [F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(ord_))).alias(c) for c in batch.columns if c not in (key, ord_, "notes")]
+    one = batch.groupBy(key).agg(*folds, F.lit(run_id).alias("_run"))
+    stage = F.when(F.col("stage") != "", F.col("stage")) if "stage" in one.columns else F.lit(None)
+    first = F.col("first_seen") if "first_seen" in one.columns else F.lit(None)
+    made = {"stage": F.coalesce(stage, F.lit("new")), "first_seen": F.coalesce(first, now), "last_seen": now, "run_ids": F.array("_run")}
+    return one.withColumns(made).drop("_run")
+
+
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, *, key: str, now: Callable[[], Column], empty: DataFrame, buckets: int = 16, fan: int = 8) -> StreamingQuery:
+    """STM-2, UPS-1: every micro-batch is merged into the table by key, with the batch's number as run id. It costs what the
+    batch holds: its changes are appended as a run (see ChangeTable), which readers merge and which folds from time to time.
+    A batch that runs again after a failure is passed over if it was committed, and is no more than an unlisted run if not."""
+    kept = ChangeTable(stream.sparkSession, table, empty.schema, [key], UPSERT, ranges=buckets, fan=fan)
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
-        # At most `buckets` numbers.
-        for b in sorted(r[0] for r in dealt.select("_bucket").distinct().collect()):
-            at = f"{table}/bucket={b}"
-            current = read_table(spark, at)
-            merged = upsert(empty if current is None else current, dealt.filter(F.col("_bucket") == b).drop("_bucket"), key=key, run_id=f"batch-{n}", now=now())
-            replace_table(merged.drop("change"), at)
-        dealt.unpersist()
+        kept.append(upsert_changes(batch, key=key, run_id=f"batch-{n}", now=now()), n)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_upserted(spark: SparkSession, table: str, buckets: int = 16) -> DataFrame | None:
+def read_upserted(spark: SparkSession, table: str) -> DataFrame | None:
     """The table that `upsert_stream` keeps; null before its first batch."""
-    parts = [p for b in range(buckets) if (p := read_table(spark, f"{table}/bucket={b}")) is not None]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    kept = ChangeTable.open(spark, table)
+    return kept.read().na.fill("", ["notes"]) if kept else None
 
 
 def cooled_down(now: Column, done: Column, hours: float) -> Column:
