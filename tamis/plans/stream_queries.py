@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tamis.operators.components import new_path, remove_path, stored
 from tamis.operators.linkage import Linkage
 from tamis.plans.demo import table
 from tamis.sources.change_table import ChangeTable
+from tamis.sources.json_ranges import json_records
 from tamis.streaming.work_queue import HOUR, OUT, Rules, work_queue
 
 QUERIES, ORACLES = {}, {}
@@ -111,3 +113,29 @@ def incremental_linkage(spark, d):
     out = stored(linkage.entities(), "linked")
     remove_path(spark, path)
     return out
+
+
+@query("src_json_ranges", "SELECT doc_id, sha256(text) AS text_sha, lang, source, n_chars FROM documents")
+def json_ranges(spark, d):
+    """SRC-1, JSN-1: documents written as arrays, a file for each task, and read back in ranges that cut them anywhere."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path, part, wide = new_path(spark, "arrays"), "spark.sql.files.maxPartitionBytes", F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+
+    def as_array(batches):
+        sign = "["
+        for batch in batches:
+            lines = [sign + batch.column(0)[0].as_py()] + ["," + x for x in batch.column(0).to_pylist()[1:]] if batch.num_rows else []
+            sign = "," if lines else sign
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if sign == "[" else "]"])], ["value"])
+
+    docs.select(wide.alias("value")).mapInArrow(as_array, "value string").write.text(path)
+    before = spark.conf.get(part)
+    spark.conf.set(part, str(1 << 20))
+    try:
+        records, _ = json_records(spark, path, docs.schema)
+        out = stored(records.withColumn("text_sha", F.sha2("text", 256)).drop("text"), "records")
+    finally:
+        spark.conf.set(part, before)
+    remove_path(spark, path)
+    return out

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis.sources.json_ranges import json_records
+
 #: The declared columns of stored records that the operators use; others pass through.
 RECORD = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "source", "query", "url", "domain", "platform", "title", "name", "snippet", "lead_type", "segment", "country", "priority", "stage", "notes", "entity_key")]
@@ -16,13 +18,16 @@ RECORD = T.StructType(
 )
 
 
-def json_store(spark: SparkSession, paths: str | list[str], schema: T.StructType = RECORD, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """SRC-1..3: (records, corrupt): records of JSON files under a declared schema, and what could not be parsed with the
-    file it is in. A file is one array of records, or (multi_line=False) has a record in each line."""
-    raw = spark.read.option("wholetext", multi_line).option("ignoreCorruptFiles", True).text(paths)
+def json_store(spark: SparkSession, paths: str | list[str], schema: T.StructType = RECORD, multi_line: bool = True, field: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-1..3: (records, corrupt) of JSON files under a declared schema. A file is one array of records, in a field of an
+    object if one is named, read in ranges (see json_records), and corrupt are the files that aren't whole, with their kind;
+    or (multi_line=False) it has a record in each line, and corrupt are the lines that don't parse, with their file."""
+    if multi_line:
+        records, files = json_records(spark, paths, schema, field)
+        return records, files.filter("kind != 'OK'")
+    raw = spark.read.option("ignoreCorruptFiles", True).text(paths)
     raw = raw.filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
-    whole = F.col("value") if multi_line else F.concat(F.lit("["), "value", F.lit("]"))
-    parsed = raw.withColumn("records", F.from_json(whole, T.ArrayType(schema)))
+    parsed = raw.withColumn("records", F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(schema)))
     return parsed.select(F.inline("records")), parsed.filter("records is null").select("file", "value")
 
 
