@@ -20,10 +20,11 @@ from tamis.functions.text import normalize_space
 #: Texts, numbers and flags that rules read. `text` is all visible text with names and addresses, `visible` the one that a
 #: reader sees, `identity` names and addresses only, `query` the search that found the row. Contacts are counted after
 #: cleaning: n_emails to n_makers; best_type is the kind of the best contact, owned_best and owned_email tell that it, or an
-#: address, belongs to the platform; n_direct counts direct outbound links, n_data_makers named decision makers.
-TEXTS = ("name", "title", "snippet", "url", "domain", "platform", "bucket", "segment", "lead_type", "priority", "source_intent", "qualification_status", "quality_status", "entity_type", "stage", "notes", "deep_status", "best_type", "country", "text", "visible", "identity", "query", "tier", "audience")
+#: address, belongs to the platform, profile_best that it is the profile of the source, owned_links that links of the platform's are
+#: still attached; n_direct counts direct outbound links, and direct_links has them, joined by blanks, after cleaning.
+TEXTS = ("name", "title", "snippet", "url", "domain", "platform", "bucket", "segment", "lead_type", "priority", "source_intent", "qualification_status", "quality_status", "entity_type", "stage", "notes", "deep_status", "best_type", "country", "text", "visible", "identity", "query", "tier", "audience", "direct_links")
 NUMBERS = ("score", "commercial_score", "contact_confidence", "n_emails", "n_phones", "n_forms", "n_links", "n_direct", "n_websites", "n_makers", "n_maker_links", "n_countries", "path_parts", "hours_since_deep", "hours_running", "hours_since_trail", "hours_since_gap")
-FLAGS = ("owned_best", "owned_email", "has_best", "placeholder_email", "known_url", "never_enriched", "manual_keep")
+FLAGS = ("owned_best", "owned_email", "has_best", "placeholder_email", "profile_best", "owned_links", "never_enriched", "manual_keep")
 
 #: Names of the vocabularies, by what they are asked of.
 PATTERNS = (
@@ -33,6 +34,7 @@ PATTERNS = (
     "synthetic", "infra", "infra_domain", "cfd_context", "payments", "cfd_noise", "video_identity", "job_domain", "marketing", "farm_domain", "explainer", "reach_out", "software", "review_page", "bank_domain", "insurance", "news", "bad_media_domain", "finance_role", "consumer",
     "content_domain", "weak_name", "seller_profile", "prop_name", "prop_category", "partner_role", "broker_site", "social_noise", "target", "generic_page", "reference_site", "malformed_title", "broker_noise", "insider", "actual_signal", "finance_noise", "specialist_words", "trusted_bucket", "research_signal",
     "exchange_domain", "false_positive_domain", "press", "cache_page", "telegram_page", "social_directory", "social_words", "platform_page", "platform_noise", "factory", "factory_words", "market_words", "market_own", "prunable", "latin", "blocked_query", "query_rank", "event_words", "exhibitor_words", "smart_noise", "trail_noise", "identity_trading", "ui_noise", "ui_explainer", "intent",
+    "article", "learning_path", "explainer_path", "explainer_contact", "marketing_domain", "payments_trading", "audit_icp",
     "bad_terms", "hot_segment", "recruiting_segment", "own_profile", "decision_link", "company_link", "whatsapp", "booking", "telegram", "instagram", "linkedin",
 )
 
@@ -43,15 +45,16 @@ REJECTION = [
     ("official broker/brokerage page", "official_broker"),
     ("missing strict forex/CFD/trading ICP signal", "NOT strict_icp"),
     ("non-trading .cfd domain/page", "domain LIKE '%.cfd' AND NOT has(visible, cfd_context)"),
-    ("payments/money-transfer page", "has(visible, payments) AND NOT has(visible, strong_trading)"),
+    ("payments/money-transfer page, not trading ICP", "has(visible, payments) AND NOT has(visible, payments_trading)"),
     ("non-trading CFD/acronym noise", "has(text, cfd_noise) AND NOT has(text, cfd_context)"),
     ("legacy YouTube result without trading identity", "has(url, video_url) AND has(snippet, synthetic) AND NOT has(identity, video_identity)"),
     ("job listing/careers page", "has(domain, job_domain) OR has(text, job)"),
     ("generic market/chart page", "has(url, market_page)"),
-    ("generic social-media/marketing page", "has(text, marketing) AND NOT strong_trading"),
-    ("generic article/reference page", "has(domain, farm_domain) OR (has(text, explainer) AND NOT partner_entity)"),
-    ("generic explainer/education page", "has(text, explainer) AND NOT has(text, reach_out)"),
+    ("generic social-media/marketing page", "(has(domain, marketing_domain) OR has(text, marketing)) AND NOT strong_trading"),
+    ("generic article/reference page", "has(domain, farm_domain)"),
+    ("generic explainer/reference page", "(has(text, explainer) OR has(text, explainer_path)) AND NOT has(text, explainer_contact)"),
     ("non-trading business software page", "has(text, software)"),
+    ("generic article/reference page", "has(text, article) AND NOT has(domain, farm_domain) AND (NOT partner_entity OR has(text, learning_path))"),
     ("generic ranking/review page", "(has(domain, review_domain) OR has(text, review_page)) AND NOT has(text, reach_out)"),
     ("generic bank/asset-management institution page", "has(domain, bank_domain) AND NOT (strong_trading AND partner_entity)"),
     ("insurance broker, not trading broker", "has(text, insurance) AND NOT strong_trading"),
@@ -94,8 +97,16 @@ SIGNALS = [
     ("blocked", "prop_firm OR entity_type IN ('review_or_seo', 'job_posting', 'directory_or_registry', 'broker_page') OR segment = 'Broker Site' OR has(text, broker_site) OR (has(text, social_noise) AND NOT target) OR (has(text, generic_page) AND best_score < 72 AND NOT target) OR (has(text, review) AND NOT has(text, reach_out)) OR (best_score < 45 AND NOT target)"),
     ("contact_points", "(CASE WHEN n_emails > 0 THEN 24 ELSE 0 END) + (CASE WHEN n_forms > 0 THEN 14 ELSE 0 END) + (CASE WHEN n_direct > 0 THEN 16 ELSE 0 END) + (CASE WHEN n_phones > 0 THEN 14 ELSE 0 END) + (CASE WHEN has_best THEN 18 ELSE 0 END) + (CASE WHEN n_makers > 0 THEN 14 ELSE 0 END) + (CASE WHEN n_maker_links > 0 THEN 10 ELSE 0 END)"),
     ("source_only", "bucket IN ('mql5', 'myfxbook', 'tradingview', 'specialist', 'forum') AND contact_points <= 0 AND n_websites = 0"),
-    ("completeness", "(CASE WHEN n_emails > 0 THEN 30 ELSE 0 END) + (CASE WHEN n_phones > 0 THEN 20 ELSE 0 END) + (CASE WHEN n_forms > 0 THEN 20 ELSE 0 END) + (CASE WHEN n_websites > 0 THEN 10 ELSE 0 END) + (CASE WHEN n_makers > 0 THEN 20 ELSE 0 END)"),
-    ("contact_score", "(CASE WHEN n_emails > 0 THEN 30 ELSE 0 END) + (CASE WHEN n_phones > 0 THEN 25 ELSE 0 END) + (CASE WHEN n_forms > 0 THEN 18 ELSE 0 END) + (CASE WHEN n_websites > 0 THEN 10 ELSE 0 END) + (CASE WHEN decision_path THEN 20 ELSE 0 END) + (CASE WHEN has_best THEN 20 ELSE 0 END) + (CASE WHEN has(identity, whatsapp) THEN 40 ELSE 0 END) + (CASE WHEN has(identity, telegram) THEN 35 ELSE 0 END)"),
+    ("best_real", "has_best AND best_type <> 'website' AND NOT owned_best AND NOT profile_best"),
+    ("completeness", "(CASE WHEN n_emails > 0 THEN 30 ELSE 0 END) + (CASE WHEN n_phones > 0 THEN 20 ELSE 0 END) + (CASE WHEN n_forms > 0 THEN 20 ELSE 0 END) + (CASE WHEN n_websites > 0 THEN 10 ELSE 0 END) + (CASE WHEN n_makers > 0 THEN 20 ELSE 0 END) + (CASE WHEN n_maker_links > 0 THEN 15 ELSE 0 END) + (CASE WHEN n_links > 0 THEN 10 ELSE 0 END) + (CASE WHEN has_best THEN 25 ELSE 0 END)"),
+    ("routes", "(CASE WHEN has(direct_links, whatsapp) THEN 40 ELSE 0 END) + (CASE WHEN has(direct_links, telegram) THEN 35 ELSE 0 END) + (CASE WHEN n_emails > 0 THEN 30 ELSE 0 END) + (CASE WHEN n_phones > 0 THEN 25 ELSE 0 END) + (CASE WHEN n_forms > 0 THEN 18 ELSE 0 END)"),
+    ("contact_score", "routes + (CASE WHEN n_websites > 0 THEN 5 ELSE 0 END) + (CASE WHEN decision_path THEN 15 ELSE 0 END) + (CASE WHEN best_real THEN 20 ELSE 0 END)"),
+    ("report_contact_score", "routes + (CASE WHEN n_websites > 0 THEN 10 ELSE 0 END) + (CASE WHEN decision_path THEN 20 ELSE 0 END) + (CASE WHEN has_best THEN 20 ELSE 0 END)"),
+    ("decision_real", "n_emails > 0 OR n_phones > 0 OR n_forms > 0 OR n_direct > 0 OR best_real"),
+    ("path_head", "lower(split_part(split_part(split_part(url, '/', 4), '?', 1), '#', 1))"),
+    ("text_and_bucket", "lower(concat(text, ' ', bucket))"),
+    # The visible text without the search that found it.
+    ("visible_own", "CASE WHEN query <> '' AND instr(visible, query) > 0 THEN concat(substr(visible, 1, instr(visible, query) - 1), substr(visible, instr(visible, query) + length(query))) ELSE visible END"),
 ]
 
 #: CLS-8: kinds of entity, the first that holds; the last without any.
@@ -159,7 +170,8 @@ WORKING_GATES = [
     ("no reference site", "NOT has(domain, reference_site) AND NOT has(url, reference_site)"),
     ("not video", "platform <> 'YouTube' AND NOT has(url, video_url)"),
     ("no market page", "NOT has(url, market_page)"),
-    ("a path on profile hosts", "NOT (bucket IN ('forum', 'reddit', 'instagram', 'x') AND NOT known_url)"),
+    # Hosts whose root or whose pages of these paths are nobody's.
+    ("a path on profile hosts", "NOT (((domain = 'forexfactory.com' OR domain LIKE '%.forexfactory.com') AND path_head = '') OR ((domain = 'reddit.com' OR domain LIKE '%.reddit.com') AND path_head NOT IN ('user', 'u')) OR ((domain = 'instagram.com' OR domain LIKE '%.instagram.com') AND path_head IN ('p', 'reel', 'reels', 'stories', 'explore')) OR (domain IN ('x.com', 'twitter.com') AND path_head IN ('i', 'share', 'intent', 'search', 'home')))"),
     ("not a broker's site", "segment <> 'Broker Site'"),
     ("priority", "NOT (priority = 'D' AND score < 45)"),
     ("lead type", "lead_type IN ('partner', 'recruitment', 'institution') OR qualification_status = 'research_candidate'"),
@@ -212,7 +224,8 @@ SALES_GATES = [
     ("contact", "contact_score >= 45"),
 ]
 
-#: FLT-12: reasons to prune beside the hard ones, all that hold.
+# Fixed values.
+#: FLT-12: reasons to prune after those of rejection, all that hold.
 PRUNE = [
     ("commercial noise policy", "blocked"),
     ("platform/help/widget/infra domain", "has(domain, infra_domain)"),
@@ -250,13 +263,15 @@ NOISE = [
     ("tradingview_source_only_noise", "bucket = 'tradingview' AND NOT (has_best OR n_emails > 0 OR n_forms > 0 OR n_direct > 0) AND NOT has(url, own_profile)"),
 ]
 
-#: FLT-14: more of what is cleaned up, over text and bucket.
+# Fixed values.
+#: FLT-14: more of what is cleaned up, over text and bucket as one text; the first that holds.
 CLEANUP = [
-    ("tradingview_not_target_lead", "has(text, market_words) OR bucket = 'tradingview'"),
-    ("payments_platform_noise", "has(text, payments)"),
-    ("sports_reference_noise", "has(text, consumer)"),
-    ("document_template_noise", "has(text, software)"),
-    ("event_exhibitor_list_not_target", "has(text, event_words) AND has(text, exhibitor_words)"),
+    ("tradingview_not_target_lead", "contains(text_and_bucket, 'tradingview')"),
+    ("payments_platform_noise", "contains(text_and_bucket, 'payments.google.com') OR contains(text_and_bucket, 'google payments') OR contains(text_and_bucket, 'google pay')"),
+    ("sports_reference_noise", "contains(text_and_bucket, 'basketball-reference.com') OR contains(text_and_bucket, 'basketball standings') OR contains(text_and_bucket, 'nba standings')"),
+    ("document_template_noise", "contains(text_and_bucket, 'overleaf.com') OR contains(text_and_bucket, 'latex templates')"),
+    ("event_exhibitor_list_not_target", "(contains(text_and_bucket, 'expo') OR contains(text_and_bucket, 'conference') OR contains(text_and_bucket, 'fair')) AND (contains(text_and_bucket, 'exhibitor') OR contains(text_and_bucket, 'booth list'))"),
+    ("event_exhibitor_document_not_target", "contains(text_and_bucket, 'forex expo') AND contains(text_and_bucket, 'scribd.com')"),
 ]
 
 #: FLT-15: why a new record isn't stored.
@@ -378,20 +393,21 @@ DUE = [
     ("", "TRUE"),
 ]
 
-#: CLS-16: what an audit finds suspicious.
+# Fixed values.
+#: CLS-16: what an audit finds suspicious, all that hold. Addresses that are placeholders are not listed.
 SUSPICIOUS = [
-    ("high score without real contact", "best_score >= 75 AND NOT real_contact"),
-    ("best contact owned by the platform", "has_best AND owned_best"),
-    ("platform or placeholder address", "owned_email OR placeholder_email"),
-    ("no visible trading evidence", "NOT has(visible, strict_icp)"),
-    ("synthetic snippet", "has(snippet, synthetic)"),
-    ("weak name", "has(name, weak_name)"),
-    ("blocked by policy", "blocked"),
-    ("rejected by rules", "n_hard_rejections > 0"),
-    ("website only", "website_only"),
-    ("source only", "source_only"),
-    ("research source", "NOT actual_lead"),
-    ("country unknown", "country IN ('', 'Unknown')"),
+    ("placeholder/generic emails", "placeholder_email"),
+    ("platform-owned email still present", "owned_email"),
+    ("bestContact is the source/platform profile", "has_best AND profile_best"),
+    ("bestContact is platform/widget/infra-owned URL", "has_best AND owned_best"),
+    ("high-score lead without real decision contact", "best_score >= 75 AND NOT decision_real"),
+    ("high-score lead without actual ICP terms in result/profile text", "best_score >= 75 AND NOT has(visible, audit_icp)"),
+    ("score likely inflated by synthetic search snippet", "best_score >= 75 AND has(snippet, synthetic)"),
+    ("generic or weak identity/title", "best_score >= 75 AND has(name, weak_name)"),
+    ("social profile appears query-driven, not profile-driven", "bucket IN ('linkedin', 'instagram', 'tiktok', 'x', 'facebook') AND best_score >= 75 AND NOT has(identity, audit_icp) AND NOT has(visible_own, audit_icp)"),
+    ("specialist/platform lead has weak contact score", "bucket IN ('mql5', 'myfxbook', 'fxblue', 'zulutrade', 'specialist') AND contact_score < 45 AND best_score >= 75"),
+    ("platform-owned links still attached", "owned_links"),
+    ("website-only route, not execution-ready", "n_websites > 0 AND NOT decision_real"),
 ]
 
 
@@ -419,7 +435,7 @@ def _q(text: str) -> str:
     return text.replace("'", "''")
 
 
-def steps(hours: tuple[int, int, int, int] = (24, 72, 336, 720)) -> list[tuple[str, str]]:
+def steps(hours: tuple[int, int, int, int] = (1, 1, 6, 2)) -> list[tuple[str, str]]:
     """Every derived column after those that it reads. hours: until a record is due again without contact, when hot, else,
     and at most."""
     contactless, hot, other, rotation = hours
@@ -461,7 +477,7 @@ def steps(hours: tuple[int, int, int, int] = (24, 72, 336, 720)) -> list[tuple[s
         ("api_gate", gate(API_GATES)),
         ("snapshot_gate", gate(SNAPSHOT_GATES)),
         ("sales_gate", gate(SALES_GATES)),
-        ("prune_reasons", all_of(PRUNE)),
+        ("prune_reasons", all_of([(f"hard reject: {label}", cond) for label, cond in REJECTION] + PRUNE)),
         ("protected", "manual_keep OR notes <> '' OR lower(stage) NOT IN ('', 'new', 'research', 'rejected')"),
         ("noise_reason", f"CASE WHEN protected THEN 'protected_manual_work' ELSE {first_of(NOISE)} END"),
         ("cleanup_reason", first_of(CLEANUP)),
@@ -508,7 +524,7 @@ def steps(hours: tuple[int, int, int, int] = (24, 72, 336, 720)) -> list[tuple[s
 class Policy:
     """All derived columns for a set of vocabularies; a pattern that isn't given matches nothing."""
 
-    def __init__(self, patterns: dict[str, str], hours: tuple[int, int, int, int] = (24, 72, 336, 720)):
+    def __init__(self, patterns: dict[str, str], hours: tuple[int, int, int, int] = (1, 1, 6, 2)):
         unknown = set(patterns) - set(PATTERNS)
         if unknown:
             raise ValueError(f"no such vocabulary: {sorted(unknown)}")

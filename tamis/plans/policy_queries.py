@@ -33,14 +33,15 @@ DEMO = {
     "blocked_query": r"(?i)\bfunded account\b", "query_rank": r"(?i)\b(best|top)\b", "event_words": r"(?i)\b(expo|summit)\b", "exhibitor_words": r"(?i)\bexhibitors?\b", "trail_noise": r"(?i)careers?|sign in", "identity_trading": r"(?i)\b(forex|signals)\b",
     "ui_noise": r"(?i)\bhotel\b", "ui_explainer": r"(?i)\bwhat is\b", "intent": r"(?i)\bwhich broker\b", "bad_terms": r"(?i)\bcurrency rates\b", "hot_segment": r"^(IB / Partner|Affiliate|Community)$", "recruiting_segment": r"^Broker Talent$",
     "own_profile": r"(?i)(instagram|telegram)\.example/[a-z0-9]+", "decision_link": r"linkedin\.example/in/", "company_link": r"linkedin\.example/company/", "whatsapp": r"(?i)wa\.example", "booking": r"(?i)book\.example", "telegram": r"(?i)telegram\.example",
-    "instagram": r"(?i)instagram\.example", "linkedin": r"(?i)linkedin\.example",
+    "instagram": r"(?i)instagram\.example", "article": r"(?i)\b(what is|guide to)\b", "learning_path": r"/(chart|reviews)\b", "explainer_path": r"/thread/", "explainer_contact": r"(?i)\b(contact us|community|telegram)\b", "marketing_domain": r"^(.*\.)?site\.example$",
+    "payments_trading": r"(?i)\bforex trader\b", "audit_icp": r"(?i)\b(forex|signals|fund manager)\b", "linkedin": r"(?i)linkedin\.example",
 }
 
 _NAMES = "Ana Forex|Posts of the day|Acme markets|Signals|Gold Trader Club|Bruno Lima|Zenith Academy|fundednow team|Copy Trading Lab|The Economist desk|Maria Fund|Chart page"
 _TITLES = "Founder|Forex community|Fund manager|Country manager|Review of brokers|Public profile|Dashboard|Affiliate manager|Directory of traders|Owner|Academy|Expo 2024"
-_TEXTS = "Forex signals and copy trading for Brazil, contact us on telegram|What is a CFD? Basics of trading|Acme markets official client portal, open account|Head of a fund manager team in fx|Which broker do you use? Community forum|Apply for this job: vacancy in a bank|Breaking news from the economist|Money transfers and currency rates|Extracted candidate for gold trader|Prop firm challenge with affiliate program|Ranking and review of signals|Football club dashboard|Expo exhibitors list, summit of partners|Insurance and payroll software|Photos and videos of a hotel|Gold trader academy course, contact us"
-_HOSTS = "linkedin.example|instagram.example|telegram.example|acme.example|forum.example|wiki.example|reviews.example|funded.example|video.example|jobs.example|signalhub.example|site.example|bank.example"
-_PATHS = "in/ana|company/ib|thread/12|markets/eur|chart|reviews/top|partners/br|public|seller|user7"
+_TEXTS = "Forex signals and copy trading for Brazil, contact us on telegram|What is a CFD? Basics of trading|Acme markets official client portal, open account|Head of a fund manager team in fx|Which broker do you use? Community forum|Apply for this job: vacancy in a bank|Breaking news from the economist|Money transfers and currency rates|Extracted candidate for gold trader|Prop firm challenge with affiliate program|Ranking and review of signals|Football club dashboard|Expo exhibitors list, summit of partners|Insurance and payroll software|Photos and videos of a hotel|Gold trader academy course, contact us|Seen on TradingView charts|We take Google Pay here|NBA standings of today|Overleaf LaTeX templates|Forex expo list on scribd.com|Conference with exhibitor list"
+_HOSTS = "linkedin.example|instagram.example|telegram.example|acme.example|forum.example|wiki.example|reviews.example|funded.example|video.example|jobs.example|signalhub.example|site.example|bank.example|www.reddit.com|instagram.com|x.com|forexfactory.com"
+_PATHS = "in/ana|company/ib|thread/12|markets/eur|chart|reviews/top|partners/br|public|seller|user7|user/z|reel/3|search?q=a|"
 _BUCKETS = "linkedin|instagram|telegram|forum|web|mql5|myfxbook|specialist|tradingview|x|reddit|discord|ecosystem"
 _SEGMENTS = "IB / Partner|Affiliate|Trading Education|Community|Creator / Influencer|Event / Expo|Broker Site|Fund / Asset Manager|Broker Talent|Unclear|Prop / Funded Trading"
 
@@ -57,18 +58,18 @@ _n = {c: f"CAST((o_orderkey * {f} + o_custkey) % {m} % {k} AS INT)" for c, f, m,
     ("n_emails", 3, 7, 3), ("n_phones", 5, 11, 2), ("n_forms", 7, 13, 2), ("n_links", 11, 5, 3), ("n_direct", 13, 6, 2), ("n_websites", 17, 4, 2), ("n_makers", 19, 17, 2), ("n_maker_links", 23, 9, 2), ("n_countries", 3, 3, 3),
     ("path_parts", 5, 4, 4), ("contact_confidence", 29, 101, 101), ("score", 37, 101, 101), ("commercial_score", 53, 97, 97), ("hours_since_deep", 31, 800, 800), ("hours_running", 7, 5, 5), ("hours_since_trail", 11, 24, 24), ("hours_since_gap", 13, 6, 6))}
 #: Leads with all facts, one for each order; the same text in both engines.
-_ROWS = f"""SELECT o_orderkey AS id, {_pick(_NAMES, 7, 12)} AS name, {_pick(_TITLES, 5, 12)} AS title, {_pick(_TEXTS, 3, 16)} AS snippet, {_pick(_HOSTS, 11, 13)} AS domain, {_pick(_PATHS, 13, 10)} AS path,
+_ROWS = f"""SELECT o_orderkey AS id, {_pick(_NAMES, 7, 12)} AS name, {_pick(_TITLES, 5, 12)} AS title, {_pick(_TEXTS, 3, 22)} AS snippet, {_pick(_HOSTS, 11, 17)} AS domain, {_pick(_PATHS, 13, 14)} AS path,
   {_pick(_BUCKETS, 17, 13)} AS bucket, {_pick(_SEGMENTS, 19, 11)} AS segment, {_pick('partner|recruitment|institution|research', 23, 4)} AS lead_type, {_pick('A|B|C|D', 29, 4)} AS priority,
   {_pick('partner|intent|forum|social|specialist|ecosystem|recruitment', 31, 7)} AS source_intent, {_pick('research_candidate|rejected||qualified', 37, 4)} AS qualification_status, {_pick('qualified|rejected|manual_review|trash', 41, 4)} AS quality_status,
   {_pick('company|prop_firm_company|job_posting|decision_maker||social_profile|partner_entity|company|company|social_profile|partner_entity', 43, 11)} AS entity_type, {_pick('|new|contacted|research', 47, 4)} AS stage, {_pick('||||called', 53, 5)} AS notes,
   {_pick('running|done|', 59, 3)} AS deep_status, {_pick('email|website|form||social', 61, 5)} AS best_type, {_pick('Brazil|Unknown||Spain', 67, 4)} AS country, {_pick('best forex ib|expo exhibitors|which broker|funded account', 71, 4)} AS query, {_pick('||12k followers', 73, 3)} AS audience,
   {', '.join(f'{e} AS {c}' for c, e in _n.items())},
-  {_flag(3, 7)} AS owned_best, {_flag(5, 9)} AS owned_email, {_flag(7, 2)} AS has_best, {_flag(11, 23)} AS placeholder_email, {_flag(13, 3)} AS known_url, {_flag(17, 4)} AS never_enriched, {_flag(19, 29)} AS manual_keep, o_orderdate AS last_seen
+  {_flag(3, 7)} AS owned_best, {_flag(5, 9)} AS owned_email, {_flag(7, 2)} AS has_best, {_flag(11, 23)} AS placeholder_email, {_flag(13, 3)} AS profile_best, {_flag(29, 8)} AS owned_links, {_pick('|https://wa.example/1|https://telegram.example/ana|https://telegram.example/b https://wa.example/2', 79, 4)} AS direct_links, {_flag(17, 4)} AS never_enriched, {_flag(19, 29)} AS manual_keep, o_orderdate AS last_seen
   FROM orders"""
 _FACTS = f"""SELECT *, 'https://' || domain || '/' || path AS url, split_part(domain, '.', 1) AS platform, name || ' ' || title || ' ' || snippet AS visible, name || ' ' || title || ' https://' || domain || '/' || path AS identity,
   name || ' ' || title || ' ' || snippet || ' https://' || domain || '/' || path AS text, '' AS tier FROM ({_ROWS}) r"""
 FACTS_SQL = f"facts AS ({_FACTS})"
-POLICY = Policy(DEMO)
+POLICY = Policy(DEMO, hours=(24, 72, 336, 300))
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,7 +112,7 @@ policy_query("pol_icp_signals", "strong_trading", "partner_entity", "specialist"
 policy_query("pol_contact_signals", "validated_contact", "actionable_contact", "real_contact", "decision_contact", "owned_decision_contact", "decision_path", "website_only", "contactless")
 policy_query("pol_page_signals", "forum_page", "event_page", "directory_page", "direct_profile", "company_or_person", "generic_portal", "contact_first")
 policy_query("pol_blocked", "prop_firm", "target", "blocked")
-policy_query("pol_scores", "contact_points", "completeness", "contact_score", "source_only", "outreach", "gap_score")
+policy_query("pol_scores", "contact_points", "completeness", "contact_score", "report_contact_score", "source_only", "outreach", "gap_score")
 policy_query("pol_channel", "channel", "play", "next_action", "likelihood", "strength")
 policy_query("pol_qualify", "icp_tier", "meeting_priority", "hot", "qualification_reasons", "red_flags", "qualified_contactable")
 policy_query("pol_due", "enrichable", "due", "refresh_hours")
@@ -119,6 +120,79 @@ policy_query("pol_work_targets", "trail_target", "needs_trail", "gap_target", "n
 policy_query("pol_suspicious", "suspicious", "n_suspicious")
 
 
+def hit(column: str, name: str) -> str:
+    return f"regexp_matches({column}, '{DEMO[name]}')"
+
+
+def listed(*cases: tuple[str, str]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{label}' END" for label, cond in cases) + "], lambda r: r IS NOT NULL), '; ')"
+
+
+#: Rules of the oracle below are written anew, as the lists in policies.py are what is tested; the signals that they read
+#: (a strict ICP, an official broker, commercial noise) have oracles of their own.
+_farm, _contact = hit("domain", "farm_domain"), hit("text", "explainer_contact")
+HAND_REJECTIONS = [
+    ("synthetic search snippet without visible ICP evidence", f"{hit('snippet', 'synthetic')} AND NOT {hit('visible', 'strict_icp')}"), ("platform/help/widget/infra result", f"{hit('text', 'infra')} OR {hit('domain', 'infra_domain')}"),
+    ("official broker/brokerage page", "official_broker"), ("missing strict forex/CFD/trading ICP signal", "NOT strict_icp"), ("non-trading .cfd domain/page", f"ends_with(domain, '.cfd') AND NOT {hit('visible', 'cfd_context')}"),
+    ("payments/money-transfer page, not trading ICP", f"{hit('visible', 'payments')} AND NOT {hit('visible', 'payments_trading')}"), ("non-trading CFD/acronym noise", f"{hit('text', 'cfd_noise')} AND NOT {hit('text', 'cfd_context')}"),
+    ("legacy YouTube result without trading identity", f"{hit('url', 'video_url')} AND {hit('snippet', 'synthetic')} AND NOT {hit('identity', 'video_identity')}"), ("job listing/careers page", f"{hit('domain', 'job_domain')} OR {hit('text', 'job')}"),
+    ("generic market/chart page", hit("url", "market_page")), ("generic social-media/marketing page", f"NOT strong_trading AND ({hit('domain', 'marketing_domain')} OR {hit('text', 'marketing')})"),
+    ("generic article/reference page", _farm), ("generic explainer/reference page", f"NOT {_contact} AND ({hit('url', 'explainer_path')} OR {hit('text', 'explainer')})"), ("non-trading business software page", hit("text", "software")),
+    ("generic article/reference page", f"NOT {_farm} AND {hit('text', 'article')} AND ({hit('url', 'learning_path')} OR NOT partner_entity)"), ("generic ranking/review page", f"NOT {hit('text', 'reach_out')} AND ({hit('domain', 'review_domain')} OR {hit('text', 'review_page')})"),
+    ("generic bank/asset-management institution page", f"{hit('domain', 'bank_domain')} AND (NOT strong_trading OR NOT partner_entity)"), ("insurance broker, not trading broker", f"{hit('text', 'insurance')} AND NOT strong_trading"),
+    ("generic news/government result", f"{hit('text', 'news')} AND NOT strong_trading"), ("generic finance analyst/media result", f"{hit('text', 'finance_role')} AND NOT strong_trading"), ("consumer/sports/forum noise", hit("text", "consumer")),
+]
+_strict, _video, _weak = hit("visible", "strict_icp"), hit("url", "video_url"), hit("name", "weak_name")
+HAND_PRUNE = [(f"hard reject: {label}", cond) for label, cond in HAND_REJECTIONS] + [
+    ("commercial noise policy", "blocked"), ("platform/help/widget/infra domain", hit("domain", "infra_domain")), ("known non-lead/content/government domain", f"{hit('domain', 'content_domain')} AND NOT {_strict}"),
+    ("synthetic search snippet inflated lead", f"{hit('snippet', 'synthetic')} AND best >= 60"), ("weak/generic identity with high score", f"{_weak} AND best >= 75"), ("placeholder/platform email contamination", "placeholder_email OR owned_email"),
+    ("best contact is platform-owned URL", "has_best AND owned_best"), ("high-score lead without real decision contact", "best >= 75 AND NOT route"), ("content/community lead without contact route", "bucket IN ('forum', 'reddit', 'web') AND best >= 70 AND NOT route"),
+    ("discord/community lead without contact route", "bucket = 'discord' AND best >= 65 AND NOT route"), ("query-driven social result", f"bucket IN ('linkedin', 'instagram', 'tiktok', 'x', 'facebook') AND {hit('snippet', 'synthetic')}"),
+    ("platform strategy profile without owned contact route", f"bucket IN ('fxblue', 'zulutrade', 'specialist') AND NOT route AND {hit('url', 'specialist_url')}"), ("YouTube lead without contact route", f"{_video} AND NOT route"),
+    ("weak/contaminated YouTube lead", f"{_video} AND (owned_email OR NOT {_strict})"), ("high score without visible ICP evidence", f"NOT {_strict} AND best >= 85 AND NOT {hit('url', 'seller_profile')}"), ("insufficient lead evidence text", "length(text) < 18"),
+]
+_icp = hit("visible", "audit_icp")
+HAND_SUSPICIOUS = [
+    ("placeholder/generic emails", "placeholder_email"), ("platform-owned email still present", "owned_email"), ("bestContact is the source/platform profile", "has_best AND profile_best"), ("bestContact is platform/widget/infra-owned URL", "has_best AND owned_best"),
+    ("high-score lead without real decision contact", "best >= 75 AND NOT decided"), ("high-score lead without actual ICP terms in result/profile text", f"best >= 75 AND NOT {_icp}"), ("score likely inflated by synthetic search snippet", f"best >= 75 AND {hit('snippet', 'synthetic')}"),
+    ("generic or weak identity/title", f"best >= 75 AND {_weak}"), ("social profile appears query-driven, not profile-driven", f"best >= 75 AND bucket IN ('linkedin', 'instagram', 'tiktok', 'x', 'facebook') AND NOT {hit('identity', 'audit_icp')} AND NOT {hit('left_over', 'audit_icp')}"),
+    ("specialist/platform lead has weak contact score", "best >= 75 AND sales_points < 45 AND bucket IN ('mql5', 'myfxbook', 'fxblue', 'zulutrade', 'specialist')"), ("platform-owned links still attached", "owned_links"), ("website-only route, not execution-ready", "n_websites > 0 AND NOT decided"),
+]
+_SIGNALS, _AFTER = POLICY.query("facts", ["strict_icp", "official_broker", "strong_trading", "partner_entity", "blocked", "enrichable", "outreach"])
+_SUM = "(n_emails > 0)::INT * 30 + (n_phones > 0)::INT * {phone} + (n_forms > 0)::INT * {form}"
+_ROUTES = f"(regexp_matches(direct_links, '{DEMO['whatsapp']}'))::INT * 40 + (regexp_matches(direct_links, '{DEMO['telegram']}'))::INT * 35 + {_SUM.format(phone=25, form=18)}"
+_makers = "(n_makers > 0 OR n_maker_links > 0)::INT"
+HAND = f"""WITH {FACTS_SQL}, {_SIGNALS},
+n AS (SELECT *, CASE WHEN commercial_score <> 0 THEN commercial_score ELSE score END AS best, n_emails + n_phones + n_forms + n_links > 0 OR (has_best AND best_type <> '' AND best_type <> 'website') AS route,
+  has_best AND best_type <> 'website' AND NOT profile_best AND NOT owned_best AS real_best, {_SUM.format(phone=20, form=20)} + (n_websites > 0)::INT * 10 + (n_makers > 0)::INT * 20 + (n_maker_links > 0)::INT * 15 + (n_links > 0)::INT * 10 + has_best::INT * 25 AS complete,
+  CASE WHEN contains(visible, query) AND query <> '' THEN left(visible, strpos(visible, query) - 1) || right(visible, length(visible) - strpos(visible, query) - length(query) + 1) ELSE visible END AS left_over,
+  lower(text || ' ' || bucket) AS flat, lower(regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1)) AS head FROM {_AFTER}),
+c AS (SELECT *, n_emails + n_phones + n_forms + n_direct > 0 OR real_best AS decided, {_ROUTES} + (n_websites > 0)::INT * 5 + {_makers} * 15 + real_best::INT * 20 AS sales_points, {_ROUTES} + (n_websites > 0)::INT * 10 + {_makers} * 20 + has_best::INT * 20 AS report_points FROM n)"""
+
+
+def by_hand(name: str, **columns: str) -> None:
+    """Puts SQL that doesn't come from the policy's rules in place of an oracle that does."""
+    ORACLES[name] = f"{HAND} SELECT id, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM c"
+
+
+def counted(cases: list[tuple[str, str]]) -> str:
+    return "CAST(" + " + ".join(f"coalesce(({cond})::INT, 0)" for _, cond in cases) + " AS INT)"
+
+
+by_hand("pol_rejection_reasons", reject_reasons=listed(*HAND_REJECTIONS), n_rejections=counted(HAND_REJECTIONS), n_hard_rejections=counted([r for r in HAND_REJECTIONS if r[1] != "NOT strict_icp"]))
+by_hand("pol_prune_reasons", prune_reasons=listed(*HAND_PRUNE))
+by_hand("pol_suspicious", suspicious=listed(*HAND_SUSPICIOUS), n_suspicious=counted(HAND_SUSPICIOUS))
+policy_query("pol_completeness", "completeness", "contact_score", "report_contact_score")
+by_hand("pol_completeness", completeness="complete", contact_score="sales_points", report_contact_score="report_points")
+_hours = "CASE WHEN complete < 35 THEN 24 WHEN outreach >= 78 OR priority = 'A' THEN 72 ELSE 336 END"
+by_hand("pol_due", enrichable="enrichable", refresh_hours=_hours, due=f"CASE WHEN NOT enrichable THEN '' WHEN never_enriched THEN 'never' WHEN hours_since_deep >= {_hours} THEN CASE WHEN complete < 35 THEN 'contactless_due' ELSE 'scheduled_due' END WHEN hours_since_deep >= 300 THEN 'rotation_due' ELSE '' END")
+by_hand("pol_cleanup_reason", cleanup_reason="""CASE WHEN flat LIKE '%tradingview%' THEN 'tradingview_not_target_lead' WHEN regexp_matches(flat, 'payments\\.google\\.com|google payments|google pay') THEN 'payments_platform_noise'
+  WHEN regexp_matches(flat, 'basketball-reference\\.com|basketball standings|nba standings') THEN 'sports_reference_noise' WHEN regexp_matches(flat, 'overleaf\\.com|latex templates') THEN 'document_template_noise'
+  WHEN regexp_matches(flat, 'expo|conference|fair') AND regexp_matches(flat, 'exhibitor|booth list') THEN 'event_exhibitor_list_not_target' WHEN flat LIKE '%forex expo%' AND flat LIKE '%scribd.com%' THEN 'event_exhibitor_document_not_target' ELSE '' END""")
+policy_query("pol_profile_paths", "path_head")
+by_hand("pol_profile_paths", path_head="head")
+
+
 def query(name: str, sql: str):
     def register(f):
         QUERIES[name] = f

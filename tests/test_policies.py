@@ -6,10 +6,10 @@ from tamis.functions import policies
 from tamis.functions.policies import Policy
 
 VOCABULARY = {name: f"~{name}~" for name in policies.PATTERNS}
-POLICY = Policy(VOCABULARY)
+POLICY = Policy(VOCABULARY, hours=(24, 72, 336, 720))
 GOOD = {
     "url": "https://a.example/x ~specialist_url~", "platform": "Web", "name": "A", "title": "T", "domain": "a.example", "text": "a text of a lead ~target~ ~actual_signal~", "visible": "", "identity": "", "bucket": "web", "segment": "Affiliate",
-    "lead_type": "partner", "priority": "A", "score": 90, "commercial_score": 90, "n_emails": 1, "n_links": 1, "country": "Spain", "known_url": True,
+    "lead_type": "partner", "priority": "A", "score": 90, "commercial_score": 90, "n_emails": 1, "n_links": 1, "country": "Spain",
 }
 
 
@@ -44,7 +44,8 @@ def test_export_gates(judged):
 def test_working_gates(judged):
     stops = [
         ({}, ""), ({"domain": ""}, "address"), (with_("domain", "reference_site"), "no reference site"), (with_("url", "specialist_url", "video_url"), "not video"), (with_("url", "market_page", "specialist_url"), "no market page"),
-        ({"bucket": "reddit", "known_url": False}, "a path on profile hosts"), ({"priority": "D", "score": 44}, "priority"), ({"priority": "D", "score": 45}, ""), ({"lead_type": "research"}, "lead type"),
+        ({"domain": "www.reddit.com", "url": "https://www.reddit.com/r/x ~specialist_url~"}, "a path on profile hosts"), ({"domain": "reddit.com", "url": "https://reddit.com/U/x ~specialist_url~"}, ""), ({"domain": "x.com", "url": "https://x.com/search?q=1 ~specialist_url~"}, "a path on profile hosts"), ({"domain": "instagram.com", "url": "https://instagram.com/reel/1 ~specialist_url~"}, "a path on profile hosts"),
+        ({"domain": "forexfactory.com", "url": "https://forexfactory.com/#~specialist_url~"}, "a path on profile hosts"), ({"priority": "D", "score": 44}, "priority"), ({"priority": "D", "score": 45}, ""), ({"lead_type": "research"}, "lead type"),
         ({"lead_type": "research", "qualification_status": "research_candidate"}, ""), ({"url": "https://a.example/x"}, ""), (with_("text", "consumer"), "not rejected"), (with_("text", "event_page"), "actual lead"), ({"name": "~malformed_title~"}, "proper name"),
         (with_("text", "broker_noise"), "no broker's noise"), (with_("text", "broker_noise", "insider"), ""), (with_("text", "finance_noise"), "no finance noise"), ({"text": "nothing that tells of trade"}, "trading signal"),
         ({"bucket": "mql5", "n_emails": 0, "n_links": 0}, "contact or maker"), ({"bucket": "mql5", "n_emails": 0, "n_links": 0, "n_makers": 1}, ""), ({"commercial_score": 0, "score": 34}, "score or trusted source"), ({"commercial_score": 0, "score": 34, "bucket": "~trusted_bucket~"}, ""),
@@ -55,7 +56,7 @@ def test_working_gates(judged):
 def test_each_rejection_reason(judged):
     cases = [
         {"snippet": "~synthetic~"}, with_("text", "infra"), {**with_("domain", "official_domain")}, {"url": "https://a.example/x"}, {"domain": "a.cfd"}, with_("visible", "payments"), with_("text", "cfd_noise"),
-        {**with_("url", "video_url"), "snippet": "~synthetic~"}, with_("text", "job"), with_("url", "market_page"), with_("text", "marketing"), with_("domain", "farm_domain"), with_("text", "explainer"), with_("text", "software"), with_("domain", "review_domain"),
+        {**with_("url", "video_url"), "snippet": "~synthetic~"}, with_("text", "job"), with_("url", "market_page"), with_("text", "marketing"), with_("domain", "farm_domain"), with_("text", "explainer"), with_("text", "software"), with_("text", "article"), with_("domain", "review_domain"),
         with_("domain", "bank_domain"), with_("text", "insurance"), with_("text", "news"), with_("domain", "bad_media_domain"), with_("text", "finance_role"), with_("text", "consumer"),
     ]
     found = judged(cases, "reject_reasons", "n_rejections")
@@ -94,10 +95,39 @@ def test_tiers_and_their_caps(judged):
 
 
 def test_due_reasons(judged):
-    cases = [({"never_enriched": True}, "never"), ({"hours_since_deep": 24}, "contactless_due"), ({"hours_since_deep": 23}, ""), ({"hours_since_deep": 72, "n_phones": 1}, "scheduled_due"), ({"hours_since_deep": 71, "n_phones": 1}, ""), ({"never_enriched": True, "deep_status": "running"}, ""), ({"never_enriched": True, "segment": "Broker Site"}, "")]
+    cases = [({"never_enriched": True}, "never"), ({"hours_since_deep": 24, "n_links": 0}, "contactless_due"), ({"hours_since_deep": 23, "n_links": 0}, ""), ({"hours_since_deep": 72, "n_phones": 1}, "scheduled_due"), ({"hours_since_deep": 71, "n_phones": 1}, ""), ({"never_enriched": True, "deep_status": "running"}, ""), ({"never_enriched": True, "segment": "Broker Site"}, "")]
     assert [x for (x,) in judged([c for c, _ in cases], "due")] == [d for _, d in cases]
 
 
+def test_completeness_and_contact_scores(judged):
+    none = {"n_emails": 0, "n_links": 0}
+    cases = [
+        ({**none, "n_forms": 1, "n_maker_links": 1, "n_links": 1, "has_best": True}, (70, 53, 58)), ({**none, "n_emails": 2, "n_phones": 1, "n_websites": 3, "n_makers": 1}, (80, 75, 85)),
+        ({**none, "direct_links": "~whatsapp~ ~telegram~"}, (0, 75, 75)), ({**none, "has_best": True, "best_type": "website"}, (25, 0, 20)), ({**none, "has_best": True, "best_type": "email", "profile_best": True}, (25, 0, 20)), (none, (0, 0, 0)),
+    ]
+    assert judged([c for c, _ in cases], "completeness", "contact_score", "report_contact_score") == [x for _, x in cases]
+
+
+def test_suspicious_rows(judged):
+    icp = {"visible": "~audit_icp~", "identity": "~audit_icp~"}
+    cases = [
+        ({**icp}, ""), ({**icp, "placeholder_email": True, "owned_email": True, "owned_links": True}, "placeholder/generic emails; platform-owned email still present; platform-owned links still attached"),
+        ({**icp, "has_best": True, "profile_best": True, "owned_best": True}, "bestContact is the source/platform profile; bestContact is platform/widget/infra-owned URL"), ({**icp, "n_emails": 0, "score": 75, "commercial_score": 0}, "high-score lead without real decision contact"),
+        ({**icp, "n_emails": 0, "score": 74, "commercial_score": 0}, ""), ({}, "high-score lead without actual ICP terms in result/profile text"), ({**icp, "snippet": "~synthetic~", "name": "~weak_name~"}, "score likely inflated by synthetic search snippet; generic or weak identity/title"),
+        ({"bucket": "x", "visible": "found by ~audit_icp~ search", "query": "~audit_icp~ search"}, "social profile appears query-driven, not profile-driven"), ({"bucket": "x", "visible": "~audit_icp~ ~audit_icp~", "query": "~audit_icp~"}, ""),
+        ({**icp, "bucket": "mql5"}, "specialist/platform lead has weak contact score"), ({**icp, "bucket": "mql5", "n_phones": 1}, ""), ({**icp, "n_emails": 0, "n_websites": 1, "commercial_score": 10}, "website-only route, not execution-ready"),
+    ]
+    assert [x for (x,) in judged([c for c, _ in cases], "suspicious")] == [x for _, x in cases]
+
+
+def test_cleanup_and_prune_reasons(judged):
+    texts = [("On TradingView", "tradingview_not_target_lead"), ("GOOGLE PAY", "payments_platform_noise"), ("nba standings", "sports_reference_noise"), ("latex templates", "document_template_noise"), ("a fair with a booth list", "event_exhibitor_list_not_target"), ("the forex expo on scribd.com", "event_exhibitor_document_not_target"), ("a fair", "")]
+    assert [x for (x,) in judged([{"text": t} for t, _ in texts], "cleanup_reason")] == [r for _, r in texts]
+    assert judged([{"text": "", "bucket": "tradingview"}], "cleanup_reason") == [("tradingview_not_target_lead",)]
+    (row,) = judged([{**with_("text", "software"), "visible": "~strict_icp~", "owned_email": True}], "prune_reasons")
+    assert row == ("hard reject: non-trading business software page; placeholder/platform email contamination",)
+
+
 def test_vocabularies_are_checked():
     with pytest.raises(ValueError):
         Policy({"no such": "x"})
