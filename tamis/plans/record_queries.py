@@ -14,6 +14,7 @@ from tamis.functions import text as T
 from tamis.functions import urls as U
 from tamis.operators import core as O
 from tamis.operators import reports as R
+from tamis.operators.terms import find_terms
 from tamis.plans.demo import LEADS, domain_sql, leads, safe_url_sql, table, url_part
 from tamis.sources import pages as P
 from tamis.sources.sinks import csv_lines, snapshot
@@ -137,7 +138,7 @@ def _(spark, d):
 @query("join_contains_terms", "SELECT p_partkey, t.term FROM part JOIN (VALUES ('steel'), ('brass'), ('promo')) t(term) ON contains(lower(p_type), t.term)")
 def _(spark, d):
     terms = spark.createDataFrame([("steel",), ("brass",), ("promo",)], "term string")
-    return table(spark, d, "part").join(F.broadcast(terms), F.lower("p_type").contains(F.col("term"))).select("p_partkey", "term")
+    return find_terms(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", terms).select("p_partkey", "term")
 
 
 @query("join_template_regions", "WITH t AS (SELECT n_nationkey AS i, n_name AS family_text FROM nation), r AS (SELECT list(r_name ORDER BY r_regionkey) AS names FROM region) SELECT CAST(i AS INT) AS idx, family_text || ' ' || names[CAST(i % len(names) AS INT) + 1] AS query FROM t, r")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.operators.components import new_path, remove_path, stored
 from tamis.operators.linkage import Linkage
+from tamis.operators.search_index import SearchIndex
+from tamis.operators.terms import find_terms
 from tamis.plans.demo import table
 from tamis.sources.change_table import ChangeTable
 from tamis.sources.json_ranges import json_records
@@ -139,3 +143,30 @@ def json_ranges(spark, d):
         spark.conf.set(part, before)
     remove_path(spark, path)
     return out
+
+
+@query(
+    "join_many_terms",
+    """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark), d AS (SELECT doc_id, lower(text) AS text FROM documents),
+w AS (SELECT doc_id, text, unnest(range(1, length(text) - 2)) AS i FROM d WHERE length(text) >= 4)
+SELECT doc_id, term, count(*) AS n FROM w JOIN t ON left(term, 4) = substr(text, i, 4) WHERE starts_with(substr(text, i, 64), term) GROUP BY 1, 2""",
+)
+def many_terms(spark, d):
+    """JOIN-5, STR-6: all words of the benchmark in all documents, within words too, in one pass."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
+    return find_terms(table(spark, d, "documents").select("doc_id", "text"), "text", words)
+
+
+@query("flt_indexed_search", "SELECT q, doc_id FROM documents, (VALUES ('license'), ('the '), ('e'), ('@example.com'), ('no such words')) s(q) WHERE contains(lower(text), trim(q))")
+def indexed_search(spark, d):
+    """FLT-1, FLT-26: documents indexed in two batches, and five searches: rare, common, of one letter, with marks, in vain."""
+    path = new_path(spark, "search")
+    index, docs = SearchIndex(spark, path, ranges=16), table(spark, d, "documents").select("doc_id", "text")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for n in (0, 1):
+        index.add(docs.filter(half == n), n, "doc_id", ["text"])
+    rows = docs.count()
+    found = [index.search(q, rows).select(F.lit(q).alias("q"), F.col("id").alias("doc_id")) for q in ("license", "the ", "e", "@example.com", "no such words")]
+    out = stored(reduce(DataFrame.union, found), "found")
+    remove_path(spark, path)
+    return out
