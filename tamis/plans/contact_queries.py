@@ -12,6 +12,7 @@ from tamis.functions import text as T
 from tamis.functions import urls as U
 from tamis.operators import core as O
 from tamis.plans.demo import domain_sql, safe_url_sql, table, url_part
+from tamis.sources.page_trees import matched, page_nodes, with_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +161,14 @@ def _(spark, d):
     contact = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("a"), F.col("c_custkey").cast("string"), F.lit("@own.example"))).otherwise(F.lit("+44 12345678"))
     shown = C.display(F.lit(""), F.col("c_name"), F.lit("d"), contact, F.lit(None).cast("string"))
     return table(spark, d, "customer").select("c_custkey", shown["title"].alias("title"), shown["href"].alias("href"))
+
+
+@query("ext_page_trees", r"""WITH p AS (SELECT page_id, regexp_replace(html, '<(style|script)>.*?</(style|script)>', '', 'g') AS h FROM pages),
+n AS (SELECT page_id, unnest(regexp_extract_all(h, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href, unnest(regexp_extract_all(h, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS t FROM p),
+a AS (SELECT page_id, unnest(regexp_extract_all(h, '<(title|h1)>([^<]*)<', 1)) AS name, unnest(regexp_extract_all(h, '<(title|h1)>([^<]*)<', 2)) AS t FROM p UNION ALL SELECT page_id, 'ad', unnest(regexp_extract_all(h, '<div class="ad">([^<]*)<', 1)) FROM p)
+SELECT page_id, 'menu' AS name, href, trim(regexp_replace(replace(t, '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM n UNION ALL SELECT page_id, name, NULL, trim(regexp_replace(replace(t, '&amp;', '&'), '\s+', ' ', 'g')) FROM a""")
+def _(spark, d):
+    """EXT-5 to EXT-7: links of menus, titles, headings and ads of all pages, by selectors over their trees."""
+    nodes = page_nodes(table(spark, d, "pages"))
+    found = matched(nodes, {"menu": ["nav ul li a[href]"], "title": ["head title"], "h1": ["article h1"], "ad": ["div.ad"]})
+    return with_text(found, nodes).select("page_id", "name", "href", "text")
