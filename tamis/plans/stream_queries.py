@@ -6,10 +6,11 @@ from datetime import timedelta
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.operators.components import new_path, remove_path, stored
+from tamis.operators.crawl import crawl_links
 from tamis.operators.linkage import Linkage
 from tamis.operators.search_index import SearchIndex
 from tamis.operators.terms import find_terms
@@ -170,3 +171,35 @@ def indexed_search(spark, d):
     out = stored(reduce(DataFrame.union, found), "found")
     remove_path(spark, path)
     return out
+
+
+CRAWL = {"depth": 3, "per_site": 70, "total": 1500}
+
+
+def _crawl_sql() -> str:
+    """The rounds one after the other."""
+    per_site, total = CRAWL["per_site"], CRAWL["total"]
+    pick = "SELECT url, site, ord FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ord, url) AS n FROM {0}) LEFT JOIN ({1}) u USING (site) WHERE n + coalesce(used, 0) <= {2} ORDER BY ord, url LIMIT {3}"
+    steps = [
+        "l AS MATERIALIZED (SELECT src, dst, p_brand AS site, ord FROM (SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS src, l_partkey AS dst, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) JOIN part ON p_partkey = dst WHERE src IS NOT NULL)",
+        "s AS (SELECT p_partkey AS url, p_brand AS site, p_partkey AS ord FROM part WHERE p_size = 7)",
+        f"v0 AS MATERIALIZED (SELECT url, site, 0 AS depth, ord FROM ({pick.format('s', 'SELECT NULL AS site, 0 AS used WHERE false', per_site, total)}))",
+        "a0 AS (SELECT * FROM v0)",
+    ]
+    for k in range(1, CRAWL["depth"] + 1):
+        steps.append(f"f{k} AS (SELECT dst AS url, arg_min(l.site, l.ord) AS site, min(l.ord) AS ord FROM l JOIN v{k - 1} ON src = v{k - 1}.url WHERE dst NOT IN (SELECT url FROM a{k - 1}) GROUP BY 1)")
+        used = f"SELECT site, count(*) AS used FROM a{k - 1} GROUP BY 1"
+        steps.append(f"v{k} AS MATERIALIZED (SELECT url, site, {k} AS depth, ord FROM ({pick.format(f'f{k}', used, per_site, f'(SELECT greatest(0, {total} - count(*)) FROM a{k - 1})')}))")
+        steps.append(f"a{k} AS MATERIALIZED (SELECT * FROM a{k - 1} UNION ALL SELECT * FROM v{k})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT url, site, CAST(depth AS INT) AS depth, CAST(ord AS BIGINT) AS ord FROM a{CRAWL['depth']}"
+
+
+@query("ext_crawl_rounds", _crawl_sql())
+def crawl_rounds(spark, d):
+    """EXT-8: parts as pages that link to the next part of an order, brands as sites; the budgets are the feature."""
+    part = table(spark, d, "part")
+    before = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    steps = table(spark, d, "lineitem").select(before.alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ord"))
+    links = steps.filter("src is not null").join(part.select(F.col("p_partkey").alias("dst"), F.col("p_brand").alias("site")), "dst")
+    seeds = part.filter("p_size = 7").select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("site"), F.col("p_partkey").cast("long").alias("ord"))
+    return crawl_links(seeds, links, **CRAWL)
