@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.operators.changes import change_feed, write_version
 from tamis.operators.components import new_path, remove_path, stored
 from tamis.operators.crawl import crawl_links
 from tamis.operators.linkage import Linkage
@@ -203,3 +204,27 @@ def crawl_rounds(spark, d):
     links = steps.filter("src is not null").join(part.select(F.col("p_partkey").alias("dst"), F.col("p_brand").alias("site")), "dst")
     seeds = part.filter("p_size = 7").select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("site"), F.col("p_partkey").cast("long").alias("ord"))
     return crawl_links(seeds, links, **CRAWL)
+
+
+@query(
+    "jsn_change_feed",
+    """WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_nationkey <> 3),
+n AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN upper(c_name) || '!' ELSE c_name END AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS bal FROM customer WHERE c_acctbal < 9000)
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS change, o.name AS name_before, n.name AS name_after, o.bal AS bal_before, n.bal AS bal_after
+FROM o FULL JOIN n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.name IS DISTINCT FROM n.name OR o.bal IS DISTINCT FROM n.bal""",
+)
+def feed_of_customers(spark, d):
+    """JSN-2, UPS-5: two versions of the customers, in buckets, and what changed between them."""
+    c = table(spark, d, "customer").withColumnRenamed("c_custkey", "id")
+    old = c.filter("c_nationkey <> 3").select("id", F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    name = F.when(F.col("c_acctbal") < 0, F.concat(F.upper("c_name"), F.lit("!"))).otherwise(F.col("c_name"))
+    new = c.filter("c_acctbal < 9000").select("id", name.alias("name"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")).alias("bal"))
+    paths = [new_path(spark, "version"), new_path(spark, "version")]
+    names = [f"tamis_{p.rpartition('-')[2]}" for p in paths]
+    versions = [write_version(df, n, "id", buckets=16, path=p) for df, n, p in zip((old, new), names, paths)]
+    feed = change_feed(*versions, "id").select("id", "change", *(F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in ("name", "bal") for side in ("before", "after")))
+    out = stored(feed, "feed")
+    for n, p in zip(names, paths):
+        spark.sql(f"DROP TABLE {n}")
+        remove_path(spark, p)
+    return out
