@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.functions import views as V
 from tamis.functions.policies import FLAGS, NUMBERS, TEXTS, Policy, blocked_query
 from tamis.operators import core as O
 from tamis.plans.demo import table
+from tamis.sources.sinks import csv_lines
 
 #: A demonstration vocabulary.
 DEMO = {
@@ -282,6 +284,29 @@ def _(spark, d):
     return POLICY.where(facts(spark, d), "sales_gate = ''", ["sales_gate", "contact_score", "best_score"]).select("id", *SALES_COLUMNS)
 
 
+_REACH = "n_emails > 0 OR n_forms > 0 OR n_phones > 0 OR has_best OR n_links > 0"
+_HOT = "priority = 'A' OR (CASE WHEN commercial_score <> 0 THEN commercial_score ELSE score END) >= 76"
+
+
+@query("flt_quick_views", f"WITH {FACTS_SQL} SELECT id, v AS quick FROM facts, (VALUES ('hot'), ('contactable'), ('no-contact'), ('')) q(v) WHERE CASE v WHEN 'hot' THEN {_HOT} WHEN 'contactable' THEN {_REACH} WHEN 'no-contact' THEN NOT ({_REACH}) ELSE true END")
+def _(spark, d):
+    """FLT-24: the rows of each quick view."""
+    rows = facts(spark, d)
+    hot, contact = V.is_hot("priority", "tier", "commercial_score", "score"), V.has_contact(rows, ["n_emails", "n_forms", "n_phones", "has_best", "n_links"])
+    quick = F.array_compact(F.array(*(F.when(V.quick_view(v, hot, contact), v) for v in ("hot", "contactable", "no-contact", ""))))
+    return rows.select("id", F.explode(quick).alias("quick"))
+
+
+@query("snk_download_rows", "SELECT CAST(floor(c_acctbal) AS INT) || ',web,' || CASE WHEN c_acctbal > 5000 THEN 'A' ELSE 'B' END || ',,,' || c_mktsegment || ',new,\"' || c_name || ', \"\"x\"\"\",,' || c_mktsegment || '; en,https://' || c_custkey || '.example/,,,,,,,https://' || c_custkey || '.example/ -> /send (name; mail),,,,,,,' AS value FROM customer")
+def _(spark, d):
+    """SNK-6: customers as records of a download, as lines."""
+    c = table(spark, d, "customer")
+    url = F.concat(F.lit("https://"), F.col("c_custkey").cast("string"), F.lit(".example/"))
+    form = F.array(F.struct(url.alias("page_url"), F.lit("/send").alias("action"), F.array(F.lit("name"), F.lit("mail")).alias("fields")))
+    records = c.select(F.floor("c_acctbal").cast("int").alias("commercial_score"), F.lit("web").alias("bucket"), F.when(F.col("c_acctbal") > 5000, "A").otherwise("B").alias("priority"), F.col("c_mktsegment").alias("segment"), F.lit("new").alias("stage"), F.concat("c_name", F.lit(', "x"')).alias("name"), F.array("c_mktsegment", F.lit("en")).alias("languages"), url.alias("url"), form.alias("forms"))
+    return csv_lines(V.download_rows(records))
+
+
 @query("pol_dead_letters", "SELECT user_id, event_type, count(*) AS attempts, max(CAST(floor(value) AS INT)) AS last_value, count(*) >= 3 AS dead FROM events WHERE CAST(floor(value) AS INT) % 7 = 0 GROUP BY 1, 2")
 def _(spark, d):
     """STM-8, SUP-9: failed work with its attempts; what failed often enough goes to the dead letters."""
