@@ -77,16 +77,22 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     return rows.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, F.col("_b") + F.col("_uid").bitwiseAND((1 << 33) - 1) + 1).drop("_p", "_b", "_uid")
 
 
-def limit_share(df: DataFrame, in_class: Column, order: list[Column], share: float, least: int) -> DataFrame:
+#: Rows that one task may hold in order.
+TOP = 50_000
+
+
+def limit_share(df: DataFrame, in_class: Column, order: list[Column], share: float, least: int, most_at_once: int = TOP) -> DataFrame:
     """WIN-3: the first rows of a class up to its quota, and all others.
 
-    The quota is made of two counts; the class's first rows are those of the lowest ranks.
+    The quota is made of two counts. Up to TOP rows are taken by each task's first ones, merged, so that no other row is
+    shuffled; a larger quota needs the class's ranks. Both keep the same rows.
     """
     n = df.agg(F.count_if(in_class).alias("c"), F.count_if(~in_class).alias("r")).first()
     allowed = quota(n["r"], n["c"], share, least)
     if allowed >= n["c"]:
         return df
-    kept = ranked(df.filter(in_class), order, "_rank").filter(F.col("_rank") <= allowed).drop("_rank")
+    own = df.filter(in_class)
+    kept = own.orderBy(*order).limit(allowed) if allowed <= most_at_once else ranked(own, order, "_rank").filter(F.col("_rank") <= allowed).drop("_rank")
     return df.filter(~in_class).unionByName(kept)
 
 

@@ -20,6 +20,14 @@ def test_quota():
     assert O.quota(100, 0, 0.22, 15) == 0
 
 
+def test_quota_rows_are_the_same_either_way(spark):
+    df = spark.createDataFrame([(i, i * 7 % 5, i % 3 == 0) for i in range(90)], "ord int, score int, c boolean").repartition(5)
+    order = [F.desc("score"), F.asc("ord")]
+    ways = [sorted(tuple(r) for r in O.limit_share(df, F.col("c"), order, 0.1, 4, most_at_once=m).collect()) for m in (0, 1000)]
+    first = sorted((i for i in range(90) if i % 3 == 0), key=lambda i: (-(i * 7 % 5), i))[: O.quota(60, 30, 0.1, 4)]
+    assert ways[0] == ways[1] and [r[0] for r in ways[0] if r[2]] == sorted(first)
+
+
 def test_first_per_breaks_ties_by_order(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 1, 0), (None, 2, 2), (None, 1, 3)], "k string, s int, ord int")
     assert {(r["k"], r["ord"]) for r in O.first_per(df, "k", [F.desc("s"), F.asc("ord")]).collect()} == {("a", 0), (None, 2)}
