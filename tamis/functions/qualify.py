@@ -130,7 +130,7 @@ def in_category(text: Column, category: str) -> Column:
     return t.rlike(CATEGORIES[category]) if category in CATEGORIES else F.lit(False)
 
 
-def due_code(now: Column, last: Column, complete: Column, hot: Column, *, contactless_hours: int = 12, hot_hours: int = 24, stale_hours: int = 168, rotation_hours: int = 72) -> Column:
+def due_code(now: Column, last: Column, complete: Column, hot: Column, *, contactless_hours: float = 1, hot_hours: float = 1, stale_hours: float = 6, rotation_hours: float = 2) -> Column:
     """SUP-7, STM-4: never, contactless_due, scheduled_due, rotation_due, or null."""
     age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(last)) / 3.6e9)
     ttl = F.when(complete < 35, contactless_hours).when(hot, hot_hours).otherwise(stale_hours)

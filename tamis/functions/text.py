@@ -105,11 +105,35 @@ def company_from_domain(domain: Column | str) -> Column:
     return normalize_space(F.initcap(F.regexp_replace(F.when(second, F.get(parts, n - 3)).otherwise(F.get(parts, F.lit(0))), "[-_]+", " ")))
 
 
+# Texts that a search leaves in a record, in the order in which they are taken out, and what stays for them. The
+# first one is taken out once.
+GENERATED = (
+    (r"YouTube creator/channel result for .*?(?:Related titles:|\z)", "Related titles:"),
+    (r"(?:Qwant|Extracted)\s+(?:web result|candidate|URL)\s+(?:for|from)\s+[\"'“”].*?[\"'“”]", " "),
+    (r"(?:Qwant|Extracted)\s+(?:web result|candidate|URL)\s+(?:for|from).*\z", " "),
+    (r"Matched public source:.*?(?:Source pack:|\z)", " "),
+    (r"Source pack:.*?(?:\.|\z)", " "),
+    (r"Found via [^.;]+[.;]?", " "),
+    (r"TikTok public user/profile found for .*?Matched forex/trading search context:[^.;]+[.;]?", " "),
+    (r"MQL5 public signal provider matched [^.;]+[.;]?", " "),
+    (r"Potential copy trading, signal provider, money manager or high-calibre trader lead[.;]?", " "),
+)
+
+
+def strip_generated(text: Column | str) -> Column:
+    """STR-14: a text without what searches wrote into it, blanks made single; null gives an empty one."""
+    (first, kept), *others = GENERATED
+    t = F.regexp_replace(F.coalesce(_col(text), F.lit("")), rf"(?i)\A((?s:.*?)){first}", f"$1{kept}")
+    for pattern, instead in others:
+        t = F.regexp_replace(t, f"(?i){pattern}", instead)
+    return normalize_space(t)
+
+
 def drop_after(text: Column | str, markers: list[str]) -> Column:
     """STR-14: the text without each marker word and all that follows it in its line."""
     t = _col(text)
     for m in markers:
-        t = F.regexp_replace(t, rf"(?i)\b{re.escape(m)}.*$", " ")
+        t = F.regexp_replace(t, rf"(?im)\b{re.escape(m)}.*$", " ")
     return t
 
 

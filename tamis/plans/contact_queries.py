@@ -172,3 +172,11 @@ def _(spark, d):
     nodes = page_nodes(table(spark, d, "pages"))
     found = matched(nodes, {"menu": ["nav ul li a[href]"], "title": ["head title"], "h1": ["article h1"], "ad": ["div.ad"]})
     return with_text(found, nodes).select("page_id", "name", "href", "text")
+
+
+@query("str_strip_generated", """SELECT p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN '. ' ELSE ' ' END || lower(p_brand) AS shown FROM part""")
+def _(spark, d):
+    """STR-14: part names in texts of three searches."""
+    p, size = table(spark, d, "part"), F.col("p_size") % 3
+    before = F.when(size == 0, F.concat("p_name", F.lit(". Found via "), "p_type", F.lit("; "))).when(size == 1, F.concat(F.lit('Qwant web result for "'), "p_type", F.lit('" '), "p_name", F.lit("  "))).otherwise(F.concat("p_name", F.lit(" Source pack: "), "p_type", F.lit(".")))
+    return p.select("p_partkey", T.strip_generated(F.concat(before, F.lower("p_brand"), F.lit(" extracted URL from "), "p_type")).alias("shown"))

@@ -578,7 +578,7 @@ def _(spark, d):
 @query("stm_due_queue", "WITH u AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'purchase') AS last, CAST(count(*) % 80 AS INT) AS complete, avg(value) > 50 AS hot FROM events GROUP BY 1), a AS (SELECT *, (epoch_us(TIMESTAMP '2024-01-30') - epoch_us(last)) / 3.6e9 AS age, CASE WHEN complete < 35 THEN 12 WHEN hot THEN 24 ELSE 168 END AS ttl FROM u), c AS (SELECT user_id, CASE WHEN last IS NULL THEN 'never' WHEN greatest(age, 0) >= ttl THEN CASE WHEN complete < 35 THEN 'contactless_due' ELSE 'scheduled_due' END WHEN greatest(age, 0) >= 72 THEN 'rotation_due' END AS due FROM a) SELECT user_id, due, CASE due WHEN 'contactless_due' THEN 0 WHEN 'never' THEN 1 WHEN 'scheduled_due' THEN 2 WHEN 'rotation_due' THEN 3 ELSE 9 END AS due_rank FROM c")
 def _(spark, d):
     u = table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).cast("timestamp").alias("last"), (F.count("*") % 80).cast("int").alias("complete"), (F.avg("value") > 50).alias("hot"))
-    out = u.select("user_id", Q.due_code(F.lit("2024-01-30").cast("timestamp"), F.col("last"), F.col("complete"), F.col("hot")).alias("due"))
+    out = u.select("user_id", Q.due_code(F.lit("2024-01-30").cast("timestamp"), F.col("last"), F.col("complete"), F.col("hot"), contactless_hours=12, hot_hours=24, stale_hours=168, rotation_hours=72).alias("due"))
     return out.withColumn("due_rank", Q.due_priority(F.col("due")))
 
 

@@ -46,9 +46,10 @@ def api_results(raw: DataFrame, column: str, items: str, title: str = "title", u
 
 
 def log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """SRC-10: the last n non-empty lines of a log, newest first; lines need no order of their own but the file's."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    return lines.filter(F.trim("value") != "").orderBy(F.desc("at")).limit(n)
+    """SRC-10: the last n non-empty lines of a log, newest first; lines need no order of their own but the file's: that of the
+    ranges in which it is read, and within them that of reading."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return lines.filter(F.trim("value") != "").orderBy(F.desc("block"), F.desc("at")).limit(n).drop("block")
 
 
 def status_files(spark: SparkSession, pattern: str, now) -> DataFrame:
