@@ -8,6 +8,8 @@ the page. Nothing but the markup itself is read in Python, in Arrow batches.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -77,12 +79,16 @@ class _Tree(HTMLParser):
             self.handle_data(data[6:])
 
 
-def _parse(batches):
+def _parse(batches, references: list[str] | None):
     names = [c.split()[0] for c in NODES.replace("array<string>", "a").split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    # An ampersand that begins no wanted reference is written as one; sections of plain characters have none.
+    other = references is not None and re.compile(rf"<!\[CDATA\[.*?\]\]>|&(?!(?:{'|'.join(map(re.escape, references)) or '(?!)'});)", re.S)
     for batch in batches:
         for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             html = html or ""
+            if other:
+                html = other.sub(lambda m: "&amp;" if m[0] == "&" else m[0], html)
             tree = _Tree(html.lstrip()[:100].lower().startswith(("<?xml", "<rss", "<feed")))
             tree.handle_starttag("#page", [])
             tree.feed(html)
@@ -92,11 +98,13 @@ def _parse(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
+def page_nodes(pages: DataFrame, references: Iterable[str] | None = None) -> DataFrame:
     """EXT-5 to EXT-7: (page_id, html) -> NODES. A page's first node holds all of it, and its text; other nodes' texts are
     ranges of that. Marks are the tag, classes with a dot, attributes in brackets and the id with a hash. Elements that
-    are left open end with the one around them; text of scripts and styles is left out."""
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(_parse, NODES)
+    are left open end with the one around them; text of scripts and styles is left out. Character references are decoded as
+    browsers do, also those without a semicolon; with `references`, only those named, such as "amp" or "#39", in full."""
+    wanted = None if references is None else list(references)
+    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(lambda batches: _parse(batches, wanted), NODES)
 
 
 def _steps(selector: str) -> list[list[str]]:

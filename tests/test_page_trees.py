@@ -44,3 +44,18 @@ def test_matching_is_by_ranges_within_pages(spark):
     plan = P.matched(nodes, {"x": ["ul li a"]})._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert P.matched(nodes, {}).count() == 0 and P.page_nodes(nodes.select("page_id", F.lit("").alias("html")).limit(0)).count() == 0
+
+
+def test_named_references_only(spark, tmp_path):
+    html = '<head><title>a &amp; b &quot;c&quot; &amp;lt; cut &amp</title></head><body><a href="?x=1&y=2&amp;z">&#39;</a><![CDATA[p & q]]></body>'
+    pages = spark.createDataFrame([(1, html)], "page_id int, html string")
+    text = lambda **k: P.page_nodes(pages, **k).filter("pre = 0").first()["text"]
+    assert text() == 'a & b "c" &lt; cut &\'p & q'
+    assert text(references=["amp"]) == "a & b &quot;c&quot; &lt; cut &amp&#39;p & q" and text(references=["amp", "quot", "#39"]) == 'a & b "c" &lt; cut &amp\'p & q'
+    assert text(references=[]) == "a &amp; b &quot;c&quot; &amp;lt; cut &amp&#39;p & q"
+    assert P.page_nodes(pages, references=["amp"]).filter("href is not null").first()["href"] == "?x=1&y=2&z"
+    # The query as its SQL has it.
+    from __spark_entry__ import queries
+
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert shown(queries()["ext_page_trees"](spark, str(tmp_path))) == [("title", "a & b &quot;c&quot; &lt; cut &amp")]
