@@ -117,9 +117,9 @@ class ChangeTable:
         return F.pmod(F.xxhash64(*columns), F.lit(self.ranges)).cast("int")
 
     def _write(self, folded: DataFrame) -> str | None:
-        """The run's folder; null if there are no rows."""
+        """The run's folder; null if there are no rows. Rows that have their range are dealt out by it already."""
         name = f"run-{uuid.uuid4().hex}"
-        dealt = folded.select(*self.schema.fieldNames(), self._range_of(self.spread).alias("_range")).repartition("_range")
+        dealt = folded if "_range" in folded.columns else folded.select(*self.schema.fieldNames(), self._range_of(self.spread).alias("_range")).repartition("_range")
         dealt.write.partitionBy("_range").parquet(f"{self.path}/{name}")
         fs, at = _hadoop(self.spark, self.path)
         return name if any(f.isDirectory() for f in fs.listStatus(at(f"{self.path}/{name}"))) else None
@@ -139,16 +139,18 @@ class ChangeTable:
             if f.getPath().getName().startswith("run-") and f.getPath().getName() not in named:
                 fs.delete(f.getPath(), True)
 
-    def append(self, changes: DataFrame, number: int, order: Column | None = None) -> bool:
+    def append(self, changes: DataFrame, number: int, order: Column | None = None, single: bool = False) -> bool:
         """Adds a batch (columns that it lacks are null) as one run and folds levels that are full. Several changes of a key
-        are folded first, the last that isn't null in `order` over the others. False if the number was there already."""
+        are folded first, the last that isn't null in `order` over the others; with `single` the caller sees to it that there is one row a
+        key. False if the number was there already."""
         state = self._state()
         if number <= state["upto"]:
             return False
         lacking = {f.name: F.lit(None).cast(f.dataType) for f in self.schema if f.name not in changes.columns}
         whole = changes.withColumns({f.name: lacking.get(f.name, F.col(f.name).cast(f.dataType)) for f in self.schema})
         within = {c: r if r == "union" else "last" for c, r in self.rules.items()}
-        path = self._write(_folded(whole, self.keys, order if order is not None else F.lit(0), within))
+        plain = single and "union" not in self.rules.values()
+        path = self._write(whole if plain else _folded(whole, self.keys, order if order is not None else F.lit(0), within))
         runs = state["runs"]
         if path:
             runs.append({"level": 0, "seq": max((r["seq"] for r in runs), default=-1) + 1, "path": path})
@@ -164,7 +166,7 @@ class ChangeTable:
             group = runs if everything else [r for r in runs if r["level"] == level]
             if level is None or len(group) < 2:
                 return
-            new = {"level": max(r["level"] for r in group) + 1, "seq": max(r["seq"] for r in group), "path": self._write(self._merged(group))}
+            new = {"level": max(r["level"] for r in group) + 1, "seq": max(r["seq"] for r in group), "path": self._write(self._merged_by_range(group))}
             state["runs"] = sorted([*(r for r in runs if r not in group), new], key=lambda r: r["seq"])
             self._commit(state["upto"], state["runs"])
 
@@ -175,17 +177,24 @@ class ChangeTable:
             return self.spark.createDataFrame([], there).withColumn("_seq", F.lit(0))
         return reduce(DataFrame.union, [k if ranges is None else k.filter(F.col("_range").isin(ranges)) for k in kept])
 
-    def _merged(self, runs: list[dict]) -> DataFrame:
-        return _folded(self._rows(runs), self.keys, F.col("_seq"), self.rules)
+    def _merged(self, rows: DataFrame, runs: list[dict]) -> DataFrame:
+        """Rows of one run have a key each, so nothing meets."""
+        return rows if len(runs) == 1 else _folded(rows, self.keys, F.col("_seq"), self.rules)
+
+    def _merged_by_range(self, runs: list[dict]) -> DataFrame:
+        """The same with their ranges, by which they are shuffled once, as a run has a row a key and nothing to fold before."""
+        return _folded(self._rows(runs).repartition("_range"), ["_range", *self.keys], F.col("_seq"), self.rules).select(*self.schema.fieldNames(), "_range")
 
     def read(self) -> DataFrame:
         """All rows as they are now."""
-        return self._merged(self.runs()).select(*self.schema.fieldNames())
+        runs = self.runs()
+        return self._merged(self._rows(runs), runs).select(*self.schema.fieldNames())
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """The rows whose `spread` columns have the values of a row of `wanted`; reads the ranges that those fall in."""
         sought = wanted.select(*self.spread).distinct()
         # At most `ranges` numbers.
         ranges = sorted(r[0] for r in sought.select(self._range_of(self.spread)).distinct().collect())
-        rows = self._rows(self.runs(), ranges).join(sought, self.spread, "left_semi")
-        return _folded(rows, self.keys, F.col("_seq"), self.rules).select(*self.schema.fieldNames())
+        runs = self.runs()
+        rows = self._rows(runs, ranges).join(sought, self.spread, "left_semi")
+        return self._merged(rows, runs).select(*self.schema.fieldNames())

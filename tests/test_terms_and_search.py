@@ -89,3 +89,16 @@ def _bytes(spark, df):
         return total
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", on)
+
+
+def test_postings_are_kept_by_parts(spark, tmp_path):
+    """Rows of postings grow with the pieces of a part, not with those of all texts."""
+    texts = spark.range(0, 600, 1, 1).select("id", F.concat(F.lit("common words 😀 of all, "), F.col("id").cast("string"), F.when(F.col("id") == 77, F.lit(" été rare"))).alias("t")).union(spark.createDataFrame([(601, "ab"), (602, ""), (603, None), (604, " été😀")], "id long, t string"))
+    index = SearchIndex(spark, str(tmp_path / "i"), ranges=4)
+    index.add(texts.withColumn("t", F.coalesce("t", F.concat(F.lit("common words 😀 of all, "), F.col("id").cast("string")))), 0, "id", ["t"])
+    kept = index.postings.read()
+    parts = kept.filter("ids is not null")
+    assert sum(len(r["ids"]) for r in parts.collect()) == 604 and kept.count() < 2000 * parts.count()
+    assert dict(index.rarest("été")) == {"été": 2}
+    for q, ids in (("été", [77, 604]), ("été rare", [77]), ("all, 599", [599]), ("été😀", [604]), ("zzz", [])):
+        assert sorted(r["id"] for r in index.search(q, 604).collect()) == ids, q
