@@ -85,8 +85,9 @@ def _parse(batches, references: list[str] | None):
     # An ampersand that begins no wanted reference is written as one; sections of plain characters have none.
     other = references is not None and re.compile(rf"<!\[CDATA\[.*?\]\]>|&(?!(?:{'|'.join(map(re.escape, references)) or '(?!)'});)", re.S)
     for batch in batches:
-        for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            html = html or ""
+        # A page at a time: a batch's pages aren't held as Python's texts at once.
+        for page_id, html in zip(*batch.columns):
+            page_id, html = page_id.as_py(), html.as_py() or ""
             if other:
                 html = other.sub(lambda m: "&amp;" if m[0] == "&" else m[0], html)
             tree = _Tree(html.lstrip()[:100].lower().startswith(("<?xml", "<rss", "<feed")))

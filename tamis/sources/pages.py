@@ -9,7 +9,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,22 +73,38 @@ def _joined(base: str, href: str) -> str:
         return ""
 
 
+_FORM = pa.struct([("page_url", pa.string()), ("action", pa.string()), ("method", pa.string()), ("fields", pa.list_(pa.string())), ("label", pa.string())])
+_SCHEMA = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("url", "title", "description", "body")), ("links", pa.list_(pa.string())), ("anchors", pa.list_(pa.string())), ("forms", pa.list_(_FORM))])
+#: Pages, and characters of their markup, that are held as Python's objects at a time; the batch itself stays in Arrow.
+AT_ONCE, CHARACTERS = 64, 1 << 20
+
+
 def _extract(batches):
     for pages in batches:
-        rows = []
-        for page_id, url, html in pages.itertuples(index=False):
+        rows, size = [], 0
+        for page_id, url, html in zip(*pages.columns):
+            page_id, url, html = page_id.as_py(), url.as_py(), html.as_py() or ""
             page = _Page(url or "")
-            page.feed(html or "")
+            page.feed(html)
             page.close()
             words = lambda parts: " ".join("".join(parts).split())
             about = page.meta.get("description") or page.meta.get("og:description") or page.meta.get("twitter:description") or ""
             rows.append((page_id, url, words(page.title), " ".join(about.split()), words(page.text), page.links, page.anchors, page.forms))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("page_id", "url", "title", "description", "body", "links", "anchors", "forms")])
+            size += len(html)
+            if len(rows) == AT_ONCE or size >= CHARACTERS:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """EXT-1, EXT-5, EXT-6: (page_id, url, html) -> EXTRACT."""
-    return pages.select("page_id", "url", "html").mapInPandas(_extract, EXTRACT)
+    """EXT-1, EXT-5, EXT-6: (page_id, url, html) -> EXTRACT, a few pages at a time, however many a batch has."""
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_extract, EXTRACT)
 
 
 def with_contacts(extracts: DataFrame) -> DataFrame:

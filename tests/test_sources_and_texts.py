@@ -65,3 +65,16 @@ def test_due_codes_at_the_defaults(spark):
     now = F.lit("2024-01-02").cast("timestamp")
     last = F.timestamp_micros(F.unix_micros(now) - (F.col("hours") * 3_600_000_000).cast("long"))
     assert [r[0] for r in df.select(Q.due_code(now, last, F.col("complete"), F.col("hot"))).collect()] == [r[3] for r in rows]
+
+
+def test_pages_leave_the_parser_a_few_at_a_time():
+    import pyarrow as pa
+
+    from tamis.sources import pages as P
+
+    html = ["<a href='https://x.example/'>x</a>" * 3, None, "<title>t</title>" + "b" * (P.CHARACTERS // 2)] * 100
+    given = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["https://own.example/"] * 299 + [None]), pa.array(html)], ["page_id", "url", "html"])
+    out = list(P._extract(iter([given])))
+    assert [i for b in out for i in b.column("page_id").to_pylist()] == list(range(300))
+    assert all(b.num_rows <= P.AT_ONCE and sum(len(html[i] or "") for i in b.column("page_id").to_pylist()) < 2 * P.CHARACTERS for b in out)
+    assert out[0].to_pylist()[0]["links"] == ["https://x.example/"] * 3 and out[0].to_pylist()[1]["body"] == "" and out[0].to_pylist()[2]["title"] == "t"
