@@ -40,11 +40,17 @@ def remove_path(spark, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The rows, joined by a shuffle of both sides. A stored table's files are many times smaller than its rows; Spark goes by
+    the files, and would send the rows to the driver to broadcast them."""
+    return df.hint("merge")
+
+
 def _with_least(edges: DataFrame, paths: list[str]) -> DataFrame:
     """(u, v, least): least is the smallest of u and all its neighbours: a partial aggregate and a join. The aggregate is
     stored, so that the join has plain shuffles on both sides and Spark can split a hub's rows."""
     least = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")), "least", paths)
-    return edges.join(least, "u")
+    return edges.join(shuffled(least), "u")
 
 
 def components(edges: DataFrame, max_rounds: int = 50, tables: list[str] | None = None) -> DataFrame:

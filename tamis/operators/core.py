@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.text import normalize_space
-from tamis.operators.components import components, stored
+from tamis.operators.components import components, shuffled, stored
 
 # --- gates ------------------------------------------------------------------------------------------------------------
 
@@ -178,8 +178,8 @@ def link_records(df: DataFrame, id_: str, keys: str) -> DataFrame:
     of them, so rows and not pairs go through the shuffle; entities are connected components of the ties."""
     rows = df.select(F.col(id_).alias("b"), F.explode(keys).alias("k")).filter("k is not null and k != ''")
     heads = rows.groupBy("k").agg(F.min("b").alias("a"))
-    found = components(rows.join(heads, "k").select("a", "b"))
-    return df.select(F.col(id_)).distinct().join(found, F.col(id_) == F.col("node"), "left").select(id_, F.coalesce("component", id_).alias("entity"))
+    found = components(rows.join(shuffled(heads), "k").select("a", "b"))
+    return df.select(F.col(id_)).distinct().join(shuffled(found), F.col(id_) == F.col("node"), "left").select(id_, F.coalesce("component", id_).alias("entity"))
 
 
 # --- merging ----------------------------------------------------------------------------------------------------------

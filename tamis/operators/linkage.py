@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.operators.components import components, remove_path, stored
+from tamis.operators.components import components, remove_path, shuffled, stored
 from tamis.sources.change_table import ChangeTable
 
 
@@ -33,7 +33,7 @@ class Linkage:
     def _now(self, labelled: DataFrame) -> DataFrame:
         """Rows with `label` -> the same with `entity`, the name of today."""
         known = self.merged.lookup(labelled.select("label"))
-        return labelled.join(known, "label", "left").withColumn("entity", F.coalesce("entity", "label")).drop("label")
+        return labelled.join(shuffled(known), "label", "left").withColumn("entity", F.coalesce("entity", "label")).drop("label")
 
     def add(self, batch: DataFrame, number: int, id_: str = "id", keys: str = "keys") -> None:
         """Links a batch: records with an array of keys. Null and empty keys link nothing, a null id is left out; an id that
@@ -46,15 +46,15 @@ class Linkage:
         rows = stored(rows.withColumn("k", F.when(F.col("k") != "", F.col("k"))).distinct(), "batch-keys", paths)
         ids = rows.select("id").distinct()
         of_id = self._now(self.records.lookup(ids)).withColumnRenamed("entity", "was")
-        of_id = stored(ids.join(of_id, "id", "left").select("id", F.coalesce("was", "id").alias("node"), F.col("was").isNull().alias("new")), "batch-records", paths)
+        of_id = stored(ids.join(shuffled(of_id), "id", "left").select("id", F.coalesce("was", "id").alias("node"), F.col("was").isNull().alias("new")), "batch-records", paths)
         of_key = stored(self._now(self.keys.lookup(rows.select("k"))), "batch-known-keys", paths)
         # Every key ties the nodes of its records to the least of them, or to the entity that has it: rows, not pairs.
-        nodes = rows.filter("k is not null").join(of_id, "id").select("k", "node")
-        heads = stored(nodes.groupBy("k").agg(F.min("node").alias("least")).join(of_key, "k", "left"), "batch-heads", paths)
+        nodes = rows.filter("k is not null").join(shuffled(of_id), "id").select("k", "node")
+        heads = stored(nodes.groupBy("k").agg(F.min("node").alias("least")).join(shuffled(of_key), "k", "left"), "batch-heads", paths)
         head = F.coalesce("entity", "least")
-        found = components(nodes.join(heads, "k").select(head.alias("a"), F.col("node").alias("b")), tables=paths)
+        found = components(nodes.join(shuffled(heads), "k").select(head.alias("a"), F.col("node").alias("b")), tables=paths)
         found = stored(found.withColumnRenamed("component", "entity"), "batch-entities", paths)
-        today = lambda df, c: df.join(found, F.col(c) == F.col("node"), "left").withColumn("_e", F.coalesce("entity", c)).drop("node", "entity").withColumnRenamed("_e", "entity")
+        today = lambda df, c: df.join(shuffled(found), F.col(c) == F.col("node"), "left").withColumn("_e", F.coalesce("entity", c)).drop("node", "entity").withColumnRenamed("_e", "entity")
         # Entities that were and now belong to another, with the names merged into them before.
         gone = found.filter("node != entity")
         old = gone.join(of_id.filter("not new").select("node").union(heads.filter("entity is not null").select("entity")).distinct(), "node", "left_semi")
@@ -71,5 +71,5 @@ class Linkage:
 
     def entities(self) -> DataFrame:
         """(id, entity) of all records."""
-        now = self.records.read().join(self.merged.read(), "label", "left")
+        now = self.records.read().join(shuffled(self.merged.read()), "label", "left")
         return now.select("id", F.coalesce("entity", "label").alias("entity"))

@@ -201,3 +201,11 @@ def test_dead_letters_and_renamed_columns(spark):
     assert sorted(tuple(r) for r in O.dead_letters(df, ["k"], F.col("e"), 2).collect()) == [("a", 2, 5, True), ("b", 1, 2, False)]
     rows = spark.createDataFrame([(1, " ", "x "), (2, None, None)], "i int, a string, b string")
     assert [tuple(r) for r in O.renamed(rows, {"id": "i", "name": ["a", "b"]}, {"name": "none"}).orderBy("id").collect()] == [(1, "x"), (2, "none")]
+
+
+def test_linkage_sends_no_rows_to_the_driver(spark):
+    """Stored tables of few bytes and many rows aren't broadcast."""
+    df = spark.range(200).select("id", F.array((F.col("id") % 50).cast("string"), F.lit(None).cast("string")).alias("keys"))
+    found = O.link_records(df, "id", "keys")
+    assert {r["id"]: r["entity"] for r in found.collect()} == {i: i % 50 for i in range(200)}
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
