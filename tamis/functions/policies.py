@@ -521,6 +521,54 @@ def steps(hours: tuple[int, int, int, int] = (1, 1, 6, 2)) -> list[tuple[str, st
     ]
 
 
+def literals(pattern: str) -> list[str]:
+    """Texts in small letters, one of which is in whatever holds a match, once that is in small letters; none if none of three
+    letters is known. Groups, classes, quantifiers and alternatives are followed; of flags, (?i) only."""
+    p = pattern.removeprefix("(?i)")
+
+    def alternatives(i: int) -> tuple[list[str], int]:
+        out, known = [], True
+        while True:
+            ways, run = [], ""
+            while i < len(p) and p[i] not in "|)":
+                atom, own = "", None
+                if p[i] == "(":
+                    if p.startswith("(?", i) and not p.startswith("(?:", i):
+                        raise ValueError(pattern)
+                    own, i = alternatives(i + (3 if p.startswith("(?:", i) else 1))
+                elif p[i] == "[":
+                    i = re.compile(r"\[\^?\]?(?:\\.|[^\]\\\[])*\]").match(p, i).end() - 1
+                elif p[i] == "\\":
+                    i += 1
+                    atom = "" if p[i].isalnum() else p[i]
+                elif p[i] not in "^$.":
+                    atom = p[i]
+                edge = p[i - 1 : i + 1] == "\\b" or p[i] in "^$" and not atom
+                i += 1
+                mark = p[i : i + 1]
+                if mark and mark in "?*+{":
+                    atom, own = "", own if mark == "+" else None
+                    i = p.index("}", i) + 1 if mark == "{" else i + 1
+                    i += p[i : i + 1] in ("?", "+")
+                if atom:
+                    run += atom.lower()
+                elif not edge:
+                    ways += [[run], own or [""]]
+                    run = ""
+            best = max([*ways, [run]], key=lambda w: min(map(len, w)))
+            out += best
+            known = known and min(map(len, best)) >= 3
+            if p[i : i + 1] != "|":
+                return out if known else [], i
+            i += 1
+
+    try:
+        found, end = alternatives(0)
+    except (ValueError, AttributeError, IndexError):
+        return []
+    return list(dict.fromkeys(found)) if end == len(p) and not any(set(x) & {"'", "\\"} or not x.isascii() for x in found) else []
+
+
 class Policy:
     """All derived columns for a set of vocabularies; a pattern that isn't given matches nothing."""
 
@@ -554,10 +602,15 @@ class Policy:
 
     def apply(self, leads: DataFrame, wanted: list[str] | None = None) -> DataFrame:
         """The facts with the derived columns, or with those of `wanted` and what they need."""
-        out = self.facts(leads)
-        for level in self.levels(wanted):
+        # Most patterns aren't found: their literal parts are sought first, in small letters that are made once.
+        sought = {n: x for n, p in self.patterns.items() if p and (x := literals(p))}
+        quick = lambda m: f"(({' OR '.join(f'contains(_low_{m[1]}, {x!r})' for x in sought[m[2]])}) AND {m[0]})" if m[1] in TEXTS and m[2] in sought else m[0]
+        levels = [[(name, re.sub(r"has\((\w+), (\w+)\)", quick, condition)) for name, condition in level] for level in self.levels(wanted)]
+        low = sorted({c for level in levels for _, e in level for c in re.findall(r"contains\(_low_(\w+),", e)})
+        out = self.facts(leads).withColumns({f"_low_{c}": F.lower(c) for c in low})
+        for level in levels:
             out = out.withColumns({name: F.expr(self.sql(condition)) for name, condition in level})
-        return out
+        return out.drop(*(f"_low_{c}" for c in low))
 
     def where(self, leads: DataFrame, condition: str, wanted: list[str]) -> DataFrame:
         """The rows of `apply` for which a condition on the derived columns holds. The condition stays above them: pushed down,

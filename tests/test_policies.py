@@ -133,3 +133,19 @@ def test_vocabularies_are_checked():
         Policy({"no such": "x"})
     with pytest.raises(ValueError):
         Policy({"job": "it's"})
+
+
+def test_patterns_are_sought_by_their_literals_first(spark):
+    import re
+
+    from tamis.functions.policies import Policy, literals
+
+    given = {r"(?i)\b(Review|top ten)\b": ["review", "top ten"], r"^(.*\.)?a\.example$": ["a.example"], r"(?i)\bfx\b": [], r"abc|d": [], r"abcd?e{2}fgh+": ["abc"], r"(?:one|two)+[a|b]x": ["one", "two"], r"(?u)abc": [], r"a.c\d": [], r"\)posts?": [")post"], r"(abc)?": []}
+    assert {p: literals(p) for p in given} == given
+    for p in given:
+        for text in ("Top TEN", "a REVIEW", "x.a.example", "abce efghh", "abceefgh", "twoax", "oneonebx", ")Post )post"):
+            assert not literals(p) or not re.search(p, text) or any(x in text.lower() for x in literals(p)), (p, text)
+    policy, leads = Policy({"strong_trading": r"(?i)\b(forex|gold)\b"}), spark.createDataFrame([(1, "FOREX İ"), (2, "forexx"), (3, "Gold"), (4, None), (5, "")], "id int, text string")
+    found = policy.apply(leads, ["strong_trading"])
+    assert {r["id"] for r in found.filter("strong_trading").collect()} == {1, 3} and not [c for c in found.columns if c.startswith("_low")]
+    assert "contains(" in found.select("strong_trading")._jdf.queryExecution().optimizedPlan().toString().lower()
