@@ -38,11 +38,12 @@ def strip_html(text: Column | str) -> Column:
 
 def first_sentence(text: Column | str, fallback: Column | str = "", limit: int = 220) -> Column:
     """STR-3: up to the first sentence end that white space follows; longer than `limit` is cut and ends in dots."""
-    t = normalize_space(text)
-    first = F.regexp_extract(t, r"^(.*?[.!?])(?:\s|$)", 1)
-    first = F.when(first == "", t).otherwise(first)
-    cut = F.when(F.length(first) > limit, F.concat(F.substring(first, 1, limit - 3), F.lit("..."))).otherwise(first)
-    return F.when(t == "", fallback if isinstance(fallback, Column) else F.lit(fallback)).otherwise(cut)
+    # What comes after limit + 1 letters of the text with single blanks changes nothing; blanks in it are letters, too.
+    sign = SPACE.removesuffix("+")
+    t = normalize_space(F.regexp_extract(F.coalesce(_col(text), F.lit("")), rf"^(?:{sign}*+[^{sign[1:]}){{0,{limit + 2}}}+", 0))
+    cut = lambda first: F.when(F.length(first) > limit, F.concat(F.substring(first, 1, limit - 3), F.lit("..."))).otherwise(first)
+    found = lambda t: let(F.regexp_extract(t, r"^(.*?[.!?])(?:\s|$)", 1), lambda s: let(F.when(s == "", t).otherwise(s), cut))
+    return let(t, lambda t: F.when(t == "", fallback if isinstance(fallback, Column) else F.lit(fallback)).otherwise(found(t)))
 
 
 def includes_any(text: Column | str, terms: list[str]) -> Column:

@@ -144,3 +144,19 @@ def test_clean_contacts(spark):
     assert (one_["emails"], one_["links"], one_["best_contact"], one_["best_type"]) == (["lopez@free.example"], [], "lopez@free.example", "email")
     assert (two["websites"], two["best_contact"], two["best_type"]) == (["https://b.example/"], "someone@b.example", "email")
     assert (three["best_contact"], three["best_type"]) == (None, None)
+
+
+def test_first_sentence_reads_only_what_it_needs(spark):
+    from pyspark.sql import functions as F
+
+    from tamis.functions import text as T
+
+    texts = ["", " \n ", "One. Two", "a" * 219 + ". b", "a" * 220 + ". b", "a" * 220, "a" * 221, "ab  " * 74 + ". c", "　x" * 300, "x\u0085y. z", "no end " * 500, "a.b" * 90 + " c. d", "😀 " * 111 + "!", "q?\n\n" + "r" * 9999, None, "w " * 110 + "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    t = T.normalize_space("text")
+    s = F.regexp_extract(t, r"^(.*?[.!?])(?:\s|$)", 1)
+    s = F.when(s == "", t).otherwise(s)
+    whole = F.when(F.length(s) > 220, F.concat(F.substring(s, 1, 217), F.lit("..."))).otherwise(s)
+    assert df.filter(~T.first_sentence("text").eqNullSafe(whole)).collect() == []
+    plan = df.select(T.first_sentence("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "{0,222}" in plan
