@@ -75,3 +75,45 @@ def test_stream_over_restarts_equals_a_replay(spark, tmp_path):
         own = [r for r in want if r[0] == k]
         newest = max(own, key=lambda r: (r[1], -1 if r[2] is None else r[2]))
         assert (last[k]["at_ms"], last[k]["status"]) == (newest[1], newest[5])
+
+
+def test_state_grows_with_buckets_not_with_pieces_of_work(spark, tmp_path):
+    """300 pieces of work in two buckets: odd names and kinds, more moves than leave Python at once, a late message between others."""
+    rules = Rules(lease=10 * HOUR, refresh=6 * HOUR, forget=20 * HOUR, most=2)
+    rows = [(f'{k}", \\\n[é', *r) for k, *r in messages(24_000, 300, 5)]
+    rows += [(rows[0][0], rows[-200][1], 90_000, None, None), (rows[1][0], rows[-200][1], 90_001, '"odd", []', "a")]
+    schema, late = "k string, ms long, seq long, kind string, worker string", 3 * HOUR
+    told = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    source, out, marks = told
+    progress = []
+    for some in (rows[:23_500], rows[23_500:] + [(rows[0][0], rows[5][1], 90_002, "take", "b")]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        moves = work_queue(stream, key=F.col("k"), at=F.timestamp_millis("ms"), seq=F.col("seq"), kind=F.col("kind"), worker=F.col("worker"), rules=rules, late=timedelta(milliseconds=late), buckets=2)
+        query = moves.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress += query.recentProgress
+    table = spark.createDataFrame(rows, "key string, at long, seq long, kind string, worker string")
+    expected = replay_batch(table, max(m[1] for m in rows) - late, rules)
+    key = lambda r: tuple((v is None, v) for v in r)
+    got, want = (sorted((tuple(r) for r in df.collect()), key=key) for df in (spark.read.schema(OUT).parquet(out), expected))
+    assert len(got) > 24_000 and got == want and {None, '"odd", []'} < {r[3] for r in got}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 8
+
+
+def test_a_deadline_comes_where_no_message_waits(spark, tmp_path):
+    """A bucket with work but no messages, then one with neither; what is forgotten leaves the state."""
+    rules, t = Rules(lease=10 * HOUR, refresh=6 * HOUR, forget=20 * HOUR, most=2), 1_700_000_000_000
+    schema = "k string, ms long, seq long, kind string, worker string"
+    told = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    source, out, marks = told
+    batches = [[("a", t, 1, "take", "x"), ("b", t + 5 * HOUR, 2, "take", "x")], [("b", t + 24 * HOUR, 3, "take", "x")], [("b", t + 90 * HOUR, 4, "take", "x")]]
+    for some in batches:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        moves = work_queue(stream, key=F.col("k"), at=F.timestamp_millis("ms"), seq=F.col("seq"), kind=F.col("kind"), worker=F.col("worker"), rules=rules)
+        query = moves.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {(r["at_ms"] - t) // HOUR: (r["event"], r["status"]) for r in spark.read.schema(OUT).parquet(out).collect() if r["key"] == "a"}
+    assert got == {0: ("take", "running"), 10: ("expired", "free"), 30: ("forgotten", "new")}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # b's last message
